@@ -68,12 +68,17 @@ def chunked(offsets: np.ndarray, limit: int = 2 << 20):
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; a word never crosses a row."""
+#: The hash table of letters and digits only (A-Z as a-z; every byte from 0x80 is a letter).
+LETTERS = _BYTE_LOWER.copy()
+LETTERS[[b for b in range(128) if not chr(b).isalnum()]] = 0
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word, a run of bytes that ``table`` hashes; a word never crosses a row."""
     if not len(data):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    full = ~_SPACE[data]
+    full = (table != 0)[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(full)
@@ -85,17 +90,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``, or as ``table`` has it)."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     first = starts[0]
     spans = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data) - first) - np.repeat(starts - first, spans)
-    value = (_BYTE_LOWER if lower else _BYTE)[data[first:]] * _powers(int(spans.max()))[place]
+    if table is None:
+        table = _BYTE_LOWER if lower else _BYTE
+    value = table[data[first:]] * _powers(int(spans.max()))[place]
     return mix(np.add.reduceat(value, starts - first))
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, size: int, table: np.ndarray) -> np.ndarray:
+    """A hash of the ``size`` bytes from each start (all must lie in the data)."""
+    total, powers = np.zeros(len(starts), dtype=np.uint64), _powers(size)
+    for j in range(size):
+        total += table[data[starts + j]] * powers[j]
+    return mix(total + np.uint64(size))
+
+
 def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first index of each run of ``width`` words inside one row."""
     n = len(hashes) - width + 1
@@ -140,3 +155,25 @@ def range_block(quantiles: list[int], n: int) -> Column:
     cuts = sorted({quantiles[len(quantiles) * i // n] for i in range(1, n)}) if quantiles else []
     found = F.array_position(F.sort_array(F.array(*map(F.lit, cuts), F.col("doc_id"))), F.col("doc_id")) if cuts else F.lit(1)
     return F.coalesce(found, F.lit(0)).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, per_class: int) -> DataFrame:
+    """(doc_id, text, label, share) of at most ``per_class`` training rows of each class.
+
+    Training rows are those whose crc32(doc_id as text) mod ``folds`` is not 0.
+    The sample is the rows of least hash, so it is the same in every run; its
+    size is bounded, so it is broadcast.  ``share`` is the class's share of all
+    training rows.  Null labels and ids are left out; of several labels for one id
+    the greatest counts.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values()) or 1
+    chosen = None
+    for value, n in sorted(counts.items()):
+        part = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).withColumn("share", F.lit(n / total))
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return id_text(docs).where("false").select("doc_id", "text", F.lit(0).alias("label"), F.lit(0.0).alias("share"))
+    return id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "share")

@@ -1,15 +1,21 @@
 """Queries of the training-data operators, and SQL where it can express them."""
 
 from almagest.llm.byte_bpe import op3_byte_bpe
+from almagest.llm.media import op9_media
 from almagest.llm.order_minhash import op5_order_minhash
+from almagest.llm.quality import op8_quality
 from almagest.llm.substring_dedup import op1_substring_dedup
 from almagest.llm.token_files import op7_token_files
+from almagest.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_order_minhash": op5_order_minhash,
     "op7_token_files": op7_token_files,
+    "op8_quality": op8_quality,
+    "op9_media": op9_media,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Words of each document by position; DuckDB's \s in a class is ASCII white space.
