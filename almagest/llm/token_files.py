@@ -25,9 +25,15 @@ from almagest.llm.common import chunked, corpus_size, id_text, range_block, text
 from almagest.sources.runtime import materialise, new_path
 
 class _Memo(dict):
-    """Encoded runs without ASCII white space: no token of the vocabulary spans such white space."""
+    """Ids of runs without ASCII white space, lower-cased: no match of the tokenizer's pattern spans such white space.
 
-    LIMIT = 600_000
+    Two generations bound the memory: runs not met since the last change of
+    generation are forgotten.
+    """
+
+    LIMIT = 650_000
+    _TAIL = ".,;:!?"
+    _MARK = " \x01 "  # a match of its own between words of letters
 
     def __init__(self, path: str, dtype):
         from tokenizers import Tokenizer
@@ -36,17 +42,53 @@ class _Memo(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
-
-    def learn(self, runs: list[bytes]) -> dict:
-        """Encodes the runs not known yet, a batch at a time."""
-        new = list({r for r in runs if r not in self})
-        if len(self) + len(new) > self.LIMIT:
+        self.older: dict[bytes, bytes] = {}
+        self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
+
+    def _encode(self, runs: list[str]) -> None:
+        """The library's ids of each run; words of letters are given to it many at a time."""
+        letters, size = [r for r in runs if r.isalpha()], np.dtype(self.dtype).itemsize
+        for i in range(0, len(letters), 512):
+            part = letters[i : i + 512]
+            ids = np.array(self.tokenizer.encode(self._MARK.join(part), add_special_tokens=False).ids)
+            cuts = np.flatnonzero(ids == self.mark) * size
+            raw = ids.astype(self.dtype).tobytes()
+            for word, lo, hi in zip(part, [0, *(cuts + size).tolist()], [*cuts.tolist(), len(raw)]):
+                self[word.encode()] = raw[lo:hi]
+        others = [r for r in runs if not r.isalpha()]
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            for run, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self[run.encode()] = np.array(e.ids, dtype=self.dtype).tobytes()
+
+    def _missing(self, runs: set) -> list[bytes]:
+        new, older = [], self.older
+        for run in runs:
+            if run not in self:
+                known = older.get(run)
+                if known is None:
+                    new.append(run)
+                else:
+                    self[run] = known
+        return new
+
+    def learn(self, runs: set) -> dict:
+        """Makes sure that all of ``runs`` are known."""
+        if len(self) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
-            new = list(set(runs))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for run, e in zip(part, self.tokenizer.encode_batch([r.decode() for r in part], add_special_tokens=False)):
-                self[run] = np.array(e.ids, dtype=self.dtype).tobytes()
+        cores, joined = set(), []
+        for run in self._missing(runs):
+            text = run.decode()
+            core = text.rstrip(self._TAIL)
+            if core and len(core) < len(text) and core[-1].isalpha():  # a letter and these marks are matched apart
+                joined.append((run, core.encode(), text[len(core) :].encode()))
+                cores.update(joined[-1][1:])
+            else:
+                cores.add(run)
+        self._encode([c.decode() for c in self._missing(cores)])
+        for run, core, tail in joined:
+            self[run] = self[core] + self[tail]
         return self
 
 
@@ -63,9 +105,9 @@ def encode_texts(column: pa.Array, path: str, end_id: int, dtype: str) -> list[b
     memo, out, end = _memo(path, dtype), [], np.array([end_id], dtype=dtype).tobytes()
     data, offsets = text_bytes(column)
     raw = data.tobytes()
-    for lo, hi in chunked(offsets, 1 << 20):
-        texts = [raw[offsets[i] : offsets[i + 1]].split() for i in range(lo, hi)]
-        known = memo.learn([run for runs in texts for run in runs])
+    for lo, hi in chunked(offsets, 4 << 20):
+        texts = [raw[offsets[i] : offsets[i + 1]].lower().split() for i in range(lo, hi)]  # the normaliser lower-cases too
+        known = memo.learn(set().union(*texts))
         out += [b"".join(map(known.__getitem__, runs)) + end for runs in texts]
     return out
 
@@ -127,16 +169,18 @@ def _write_range(table: pa.Table, folder: str, path: str, end_id: int, length: i
 
 
 def _read_range(table: pa.Table, folder: str) -> pa.Table:
-    """The documents of one range out of its file."""
+    """The documents of one range out of its file; ``base`` ids lie in the files before it."""
     table = table.sort_by([("place", "ascending")])
     store, _ = _filesystem(folder)
     ids = read_stream(store, table.column("file")[0].as_py()).astype("<u4")
-    ends = np.cumsum(table.column("n_tokens").to_numpy())
-    parts = np.split(ids, ends[:-1]) if len(ends) else []
-    return pa.table({"block": table.column("block"), "doc_id": table.column("doc_id"), "first": pa.array(ends - table.column("n_tokens").to_numpy(), pa.int64()), "n_tokens": table.column("n_tokens"), "ids": pa.array([p.tobytes() for p in parts], pa.binary())})
+    sizes = table.column("n_tokens").to_numpy()
+    ends = np.cumsum(sizes)
+    raw, cuts = ids.tobytes(), (ends * 4).tolist()
+    parts = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+    return pa.table({"doc_id": table.column("doc_id"), "start": pa.array(ends - sizes + table.column("base").to_numpy(), pa.int64()), "n_tokens": table.column("n_tokens"), "ids": pa.array(parts, pa.binary())})
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 2, length: int = 2048, dtype: str = "<u2", folder: str | None = None, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_token_files(docs: DataFrame, path: str, end_id: int = 2, length: int = 2048, dtype: str = "<u2", folder: str | None = None, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Write the files; return the index (block, place, doc_id, n_tokens, file) and the folder.
 
     ``folder`` is one that driver and executors share (by default under
@@ -148,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, length: int =
     _, size, quantiles = corpus_size(docs)
     folder = folder or new_path(docs.sparkSession, "token-files")
     blocks = max(1, -(-size // block_bytes))
-    blocked = docs.withColumn("block", range_block(quantiles, blocks)).repartition(blocks, "block")
+    blocked = docs.withColumn("block", range_block(quantiles, blocks)).repartition(2 * blocks, "block")
     index = blocked.groupBy("block").applyInArrow(lambda t: _write_range(t, folder, path, end_id, length, dtype), "block int, place long, doc_id long, n_tokens long, file string")
     return materialise(index, "token-index"), folder
 
@@ -162,8 +206,8 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
     sizes = index.groupBy("block").agg(F.sum("n_tokens").alias("n"))  # one row a file
     before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("block", before.alias("base"))
-    rows = index.groupBy("block").applyInArrow(lambda t: _read_range(t, folder), "block int, doc_id long, first long, n_tokens long, ids binary")
-    return rows.join(starts, "block").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    rows = index.join(starts, "block").groupBy("block")
+    return rows.applyInArrow(lambda t: _read_range(t, folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

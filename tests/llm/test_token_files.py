@@ -46,3 +46,10 @@ def test_random_access(tmp_path):
         got, mask = tf.sequence(source, 713, per_batch=10)
     assert got.tolist() == ids[713 * 7 : 714 * 7].tolist() and mask.all()
     assert (tf.read_stream(store, f"{tmp_path}/a/x.arrow") == ids).all()
+
+
+def test_memo_equals_library_on_mixed_text():
+    texts = ["I'LL go—. Don't! x1, 2?! é́, ÀB;; \x01 a\x01b ½. Ⅷ, ß. ΑΣ. “q”. ", "İstanbul, K. ǅ! a—!b ?! ...", "İ, ́x."] * 2
+    got = tf.encode_texts(pa.array(texts), PATH, 2, "<u2")
+    for t, raw in zip(texts, got):
+        assert np.frombuffer(raw, "<u2").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids + [2]
