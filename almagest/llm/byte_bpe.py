@@ -40,7 +40,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder for one vocabulary of byte tokens and their merge ranks."""
 
-    MEMO = 600_000
+    #: Entries kept of each memo, which bound a worker's memory.
+    UNITS, PIECES, PAIRS = 250_000, 350_000, 500_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -48,11 +49,15 @@ class ByteBPE:
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token[::-1].decode("latin-1"), (len(token), rank))
+            self.automaton.add_word(token[::-1].decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        #: The longest token that is a proper prefix of each, or -1.
+        self.shorter = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1) for token, rank in ranks.items()}
+        self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation of pieces before
 
     def _merged(self, data: bytes) -> list[bytes]:
         """Plain merging by rank, for the two tokens of a pair."""
@@ -65,12 +70,12 @@ class ByteBPE:
         return parts
 
     def _compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            if len(self.pairs) >= 4 * self.MEMO:
+            if len(self.pairs) >= self.PAIRS:
                 self.pairs.clear()
             a, b = self.tokens[left], self.tokens[right]
-            known = self.pairs[left, right] = self._merged(a + b) == [a, b]
+            known = self.pairs[left << 32 | right] = self._merged(a + b) == [a, b]
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -78,47 +83,52 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(piece[::-1].decode("latin-1")):  # the longest first at each end
-            starts[n - 1 - end].append(match)
-        dead = bytearray(n + 1)
-        ids, sizes, tried, pos, at = [], [], [], 0, 0
-        while pos < n:
-            here = starts[pos]
-            while at < len(here):
-                size, token = here[at]
-                if not dead[pos + size] and (not ids or self._compatible(ids[-1], token)):
+        n, shorter, sizes, compatible = len(piece), self.shorter, self.sizes, self._compatible
+        longest = [-1] * n
+        for end, token in self.automaton.iter(piece[::-1].decode("latin-1")):  # the longest first at each end
+            if longest[n - 1 - end] < 0:
+                longest[n - 1 - end] = token
+        ids, pos, token, left = [], 0, longest[0], -1
+        dead = None
+        while True:
+            while token >= 0:
+                end = pos + sizes[token]
+                if (dead is None or not dead[end]) and (left < 0 or compatible(left, token)):
                     break
-                at += 1
-            if at < len(here):
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                sizes.append(size)
-                tried.append(at)
-                pos, at = pos + size, 0
-            elif ids:
-                dead[pos] = 1
-                ids.pop()
-                pos -= sizes.pop()
-                at = tried.pop() + 1
+                if end == n:
+                    return ids
+                pos, left, token = end, token, longest[end]
             else:
-                raise ValueError("the vocabulary lacks a byte")
-        return ids
+                if not ids:
+                    raise ValueError("the vocabulary lacks a byte")
+                if dead is None:
+                    dead = bytearray(n + 1)
+                dead[pos] = 1
+                last = ids.pop()
+                pos -= sizes[last]
+                left = ids[-1] if ids else -1
+                token = shorter[last]
 
     def _unit(self, unit: str) -> bytes:
-        ids = []
+        parts = []
         for piece in self.find(unit):
             known = self.pieces.get(piece)
+            if known is None and (known := self.older.get(piece)) is not None:
+                self.pieces[piece] = known
             if known is None:
-                known = self.encode_piece(piece.encode())
+                ids = self.encode_piece(piece.encode())
+                known = struct.pack(f"<{len(ids)}i", *ids)
                 if len(piece) < 64:
-                    if len(self.pieces) >= self.MEMO:
-                        self.pieces.clear()
+                    if len(self.pieces) >= self.PIECES:
+                        self.older, self.pieces = self.pieces, {}
                     self.pieces[piece] = known
-            ids += known
-        raw = struct.pack(f"<{len(ids)}i", *ids)
+            parts.append(known)
+        raw = b"".join(parts)
         if len(unit) < 64:
-            if len(self.units) >= self.MEMO:
+            if len(self.units) >= self.UNITS:
                 self.units.clear()
             self.units[unit] = raw
         return raw
