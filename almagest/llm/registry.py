@@ -2,6 +2,7 @@
 
 from almagest.llm.byte_bpe import op3_byte_bpe
 from almagest.llm.media import op9_media
+from almagest.llm.mixing import op4_source_mixing
 from almagest.llm.ngram_join import op2_ngram_jaccard_join
 from almagest.llm.order_minhash import op5_order_minhash
 from almagest.llm.quality import op8_quality
@@ -9,15 +10,24 @@ from almagest.llm.substring_dedup import op1_substring_dedup
 from almagest.llm.token_files import op7_token_files
 from almagest.llm.toxicity import op10_toxicity
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_source_mixing": op4_source_mixing,
     "op5_order_minhash": op5_order_minhash,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 #: Words of each document by position.
