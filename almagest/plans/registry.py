@@ -1,4 +1,8 @@
 """All queries on the driver's tables, by name, and the SQL each must equal."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from almagest.plans import snapshots
+
+_MODULES = (snapshots,)
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
