@@ -132,11 +132,11 @@ def snapshot_convergence(spark, sf):
 @query("snapshot_credibility", f"""WITH {_VIEW}, r AS (SELECT technology, snapshot, sum(CAST(left(family, 1) AS DOUBLE)) / 3.0 AS reliability_weighted_mentions, count(*) FILTER (WHERE status = 'F') * 1.0 / count(*) AS accepted_mention_ratio,
  count(*) FILTER (WHERE kind = 'N') * 1.0 / count(*) AS speculative_claim_ratio, count(*) FILTER (WHERE kind = 'R') * 1.0 / count(*) AS negated_claim_ratio, count(DISTINCT document) AS independent_evidence_family_count,
  ln(1 + count(*)) - ln(1 + count(DISTINCT document)) AS claim_to_evidence_gap, avg(confidence) AS mean_extraction_confidence FROM v GROUP BY technology, snapshot)
-SELECT technology, snapshot, round(reliability_weighted_mentions, 6) AS reliability_weighted_mentions, round(accepted_mention_ratio, 6) AS accepted_mention_ratio, round(speculative_claim_ratio, 6) AS speculative_claim_ratio, round(negated_claim_ratio, 6) AS negated_claim_ratio,
- independent_evidence_family_count, round(claim_to_evidence_gap, 6) AS claim_to_evidence_gap, round(mean_extraction_confidence, 6) AS mean_extraction_confidence FROM r""")
+SELECT technology, snapshot, round(reliability_weighted_mentions, 9) AS reliability_weighted_mentions, round(accepted_mention_ratio, 9) AS accepted_mention_ratio, round(speculative_claim_ratio, 9) AS speculative_claim_ratio, round(negated_claim_ratio, 9) AS negated_claim_ratio,
+ independent_evidence_family_count, round(claim_to_evidence_gap, 9) AS claim_to_evidence_gap, round(mean_extraction_confidence, 9) AS mean_extraction_confidence FROM r""")
 def snapshot_credibility(spark, sf):
     view = _view(spark, sf).withColumn("tier", F.left("family", F.lit(1)).try_cast("double"))
-    return _round(f.credibility(view))
+    return _round(f.credibility(view), 9)
 
 
 @query("claim_conflict", f"""WITH {_VIEW}, s AS (SELECT technology, snapshot, organization, document, bool_or(kind <> 'R') AS pos, bool_or(kind = 'R') AS neg FROM v GROUP BY ALL),
