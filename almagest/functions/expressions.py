@@ -153,7 +153,8 @@ def language_guess(text: Column) -> Column:
     """Russian by the share of Cyrillic letters, English by common words, else unknown."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     cyrillic = F.length(F.regexp_replace(text, r"[^\p{IsCyrillic}]", ""))
-    markers = F.regexp_count(F.lower(text), F.lit(r"\b(the|and|of|to|in|is)\b"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    markers = F.size(F.filter(words, lambda w: w.isin("the", "and", "of", "to", "in", "is")))
     return F.when(cyrillic * 10 > letters * 3, "ru").when(markers >= 3, "en").otherwise("unknown")
 
 
