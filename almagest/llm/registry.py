@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and SQL where it can express them."""
 
 from almagest.llm.byte_bpe import op3_byte_bpe
+from almagest.llm.context_mixing import op6_context_mixing
 from almagest.llm.media import op9_media
 from almagest.llm.mixing import op4_source_mixing
 from almagest.llm.ngram_join import op2_ngram_jaccard_join
@@ -23,6 +24,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mixing": op4_source_mixing,
     "op5_order_minhash": op5_order_minhash,
+    "op6_context_mixing": op6_context_mixing,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
     "op9_media": op9_media,
