@@ -72,8 +72,9 @@ def cosine(a: Column, b: Column) -> Column:
     """0 for empty, unequal or zero vectors; clamped to [-1, 1]."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm(a) * norm(b))))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & ~F.isnan(value), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
+    value = F.try_divide(dot, norm(a) * norm(b))
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & value.isNotNull() & ~F.isnan(value)
+    return F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).otherwise(F.lit(0.0))
 
 
 def unit(vector: Column) -> Column:
