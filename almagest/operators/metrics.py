@@ -71,5 +71,5 @@ def bootstrap(df: DataFrame, family: str, value: str, draws: int = 200, seed: in
     u = F.pmod(F.xxhash64("f", "d", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
     drawn = sums.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("d").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    means = drawn.groupBy("d").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

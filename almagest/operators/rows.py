@@ -54,7 +54,7 @@ def replace_versions(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
 
 
 def evenly(df: DataFrame, order: list[Column], limit: int, phase: float = 0.0) -> DataFrame:
-    """``limit`` rows evenly spaced in ``order``."""
+    """``limit`` rows evenly spaced in ``order``; for name lists, as all rows are numbered in one task."""
     numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
     step = F.col("_n") / F.lit(limit)
     place = F.floor((F.col("_i") + 1 - phase) / step) != F.floor((F.col("_i") - phase) / step)
