@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import id_text
+from almagest.llm.common import id_text, trim
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: A run without white space and one space before it, or white space: no match of a pattern crosses these.
@@ -41,7 +41,7 @@ class ByteBPE:
     """Encoder and decoder for one vocabulary of byte tokens and their merge ranks."""
 
     #: Entries kept of each memo, which bound a worker's memory.
-    UNITS, PIECES, PAIRS = 250_000, 350_000, 500_000
+    UNITS, PIECES, PAIRS = 150_000, 200_000, 300_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -112,6 +112,10 @@ class ByteBPE:
                 left = ids[-1] if ids else -1
                 token = shorter[last]
 
+    def forget(self) -> None:
+        """Empty the memos of units and pieces: a worker process outlives its tasks, and idle ones must not hold memory."""
+        self.units, self.pieces, self.older = {}, {}, {}
+
     def _unit(self, unit: str) -> bytes:
         parts = []
         for piece in self.find(unit):
@@ -139,7 +143,11 @@ class ByteBPE:
         return b"".join([known(u) or unit(u) for u in _UNITS.findall(text)])
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return decode_ids(self.tokens, ids)
+
+
+def decode_ids(tokens: dict[int, bytes], ids: list[int]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -148,6 +156,12 @@ def load(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def load_tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id, all that a decoder needs."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 def _encoded(batches, path: str, pattern: str):
     bpe = load(path, pattern)
     for batch in batches:
@@ -157,14 +171,17 @@ def _encoded(batches, path: str, pattern: str):
             offsets = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+    bpe.forget()
+    trim()
 
 
-def _decoded(batches, path: str, pattern: str):
-    bpe = load(path, pattern)
+def _decoded(batches, path: str):
+    tokens = load_tokens(path)
     for batch in batches:
         column = batch.column("ids")
-        texts = [None if ids is None else bpe.decode(ids) for ids in (column[i].values.to_numpy().tolist() if column[i].is_valid else None for i in range(len(column)))]
+        texts = [None if ids is None else decode_ids(tokens, ids) for ids in (column[i].values.to_numpy().tolist() if column[i].is_valid else None for i in range(len(column)))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+        trim()
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,14 +195,19 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     return id_text(docs, id_col, text_col).mapInArrow(lambda it: _encoded(it, path, pattern), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the ids; null ids give null."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path, pattern), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``decode`` of ``encode`` in one pass, which spares a second worker process a task."""
+    return id_text(docs, id_col, text_col).mapInArrow(lambda it: _decoded(_encoded(it, path, pattern), path), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes whole texts; counts and digests per document."""
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

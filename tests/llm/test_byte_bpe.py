@@ -49,3 +49,9 @@ def test_nulls_and_clashes(spark):
     got = sorted((str(r.doc_id), len(r.ids)) for r in byte_bpe.encode(docs, PATH).collect())
     assert got == [("1", 0), ("1", 0), ("2", 2), ("None", 0)]
     assert byte_bpe.digests(docs.where("doc_id = 9"), PATH).collect() == []
+
+
+def test_decode_operator_equals_round_trip(spark):
+    docs = spark.createDataFrame([(1, "naïve café 123"), (2, None)], "doc_id long, text string")
+    a = byte_bpe.decode(byte_bpe.encode(docs, PATH), PATH).orderBy("doc_id").collect()
+    assert a == byte_bpe.round_trip(docs, PATH).orderBy("doc_id").collect() and bytes(a[0].decoded).decode() == "naïve café 123"
