@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunked, id_text, labelled_sample, text_bytes, word_hashes, words
+from almagest.llm.common import chunked, id_text, labelled_sample, text_bytes, trim, word_hashes, words
 
 #: Statistics of a text, in column order.
 STATISTICS = (
@@ -88,6 +88,7 @@ def _with_statistics(batches):
         parts = [statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunked(offsets)]
         table = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, table.T)], names=[*batch.schema.names[:-1], *STATISTICS])
+        trim()
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

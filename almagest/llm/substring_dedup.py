@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.common import chunked, corpus_size, mix, pack_sorted, range_block, text_bytes, unpack_sorted, windows, word_hashes, words
+from almagest.llm.common import chunked, corpus_size, mix, pack_sorted, range_block, text_bytes, trim, unpack_sorted, windows, word_hashes, words
 
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -209,10 +209,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     groups = max(4, -(-n_words // group_words))
     plan = prefix_plan(docs, min_words, max(1000, n_words // (4 * groups)), n_words)
     blocked = docs.withColumn("block", range_block(quantiles, blocks)).repartition(blocks, "block")
-    leaves = blocked.groupBy("block").applyInArrow(lambda t: _send(t, min_words, plan, groups), "grp int, block int, leaves binary")
-    answers = leaves.groupBy("grp").applyInArrow(_subtree, "block int, grp int, bits binary")
+    leaves = blocked.groupBy("block").applyInArrow(lambda t: trim(_send(t, min_words, plan, groups)), "grp int, block int, leaves binary")
+    answers = leaves.groupBy("grp").applyInArrow(lambda t: trim(_subtree(t)), "block int, grp int, bits binary")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["rest"], *T.StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>").fields])
-    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _remove(t, a, min_words, plan, groups), schema)
+    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trim(_remove(t, a, min_words, plan, groups)), schema)
     return out.select("doc_id", "n_words", "n_removed", "kept", "spans", *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)))
 
 

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunked, corpus_size, id_text, range_block, text_bytes
+from almagest.llm.common import chunked, corpus_size, id_text, range_block, text_bytes, trim
 from almagest.sources.runtime import materialise, new_path
 
 class _Memo(dict):
@@ -193,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, length: int =
     folder = folder or new_path(docs.sparkSession, "token-files")
     blocks = max(1, -(-size // block_bytes))
     blocked = docs.withColumn("block", range_block(quantiles, blocks)).repartition(2 * blocks, "block")
-    index = blocked.groupBy("block").applyInArrow(lambda t: _write_range(t, folder, path, end_id, length, dtype), "block int, place long, doc_id long, n_tokens long, file string")
+    index = blocked.groupBy("block").applyInArrow(lambda t: trim(_write_range(t, folder, path, end_id, length, dtype)), "block int, place long, doc_id long, n_tokens long, file string")
     return materialise(index, "token-index"), folder
 
 
@@ -207,7 +207,7 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("block", before.alias("base"))
     rows = index.join(starts, "block").groupBy("block")
-    return rows.applyInArrow(lambda t: _read_range(t, folder), "doc_id long, start long, n_tokens long, ids binary")
+    return rows.applyInArrow(lambda t: trim(_read_range(t, folder)), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

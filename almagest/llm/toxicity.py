@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.common import LETTERS, chunked, labelled_sample, prefix_hashes, text_bytes, word_hashes, words
+from almagest.llm.common import LETTERS, chunked, labelled_sample, prefix_hashes, text_bytes, trim, word_hashes, words
 
 _PREFIXES = (4, 5, 6, 7, 8)
 _LEVEL = np.uint64(3)
@@ -221,6 +221,7 @@ def _scored(batches, model: Model):
         data, offsets = text_bytes(batch.column("text"))
         scores = [_sigmoid(model.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in chunked(offsets)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], "score"])
+        trim()
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
