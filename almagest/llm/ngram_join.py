@@ -6,8 +6,10 @@ its transpose holds the overlap of every pair.  It is never formed whole:
 1. Blocking.  Sets of sizes a and b that reach the threshold differ in at most
    d elements, d following from the sizes.  Documents are put into size classes
    and their n-grams dealt by hash into more than d parts, so two linked
-   documents have a part in common that is equal and not empty (a document with
-   more empty parts than the spare ones lists these too).  The hash of a part is
+   documents have a part in common that is equal and *strong*: it has an n-gram
+   that is not among the frequent ones, which are listed beforehand (a document
+   with more weak or empty parts than the spare ones lists these too, so no link
+   depends on the list).  The hash of a part is
    a signature; each one ties its documents to the least of them, a block of
    texts at a time, so no pairs of a group are listed.  What is tied together is
    a *family*, outside of which no link can exist.
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunked, corpus_size, id_text, mix, pack_sorted, text_bytes, unpack_sorted, windows, word_hashes, words
+from almagest.llm.common import chunked, corpus_size, id_text, mix, pack_sorted, text_bytes, trim, unpack_sorted, windows, word_hashes, words
 from almagest.operators.components import connected_components
 from almagest.sources.runtime import materialise
 
+#: N-grams that this share of the documents has count as frequent; at most (mean set size) / share of them exist.
+FREQUENT = 1 / 1500
 _SALT = mix(np.arange(1, 6, dtype=np.uint64))
 TILE = 1024
 
@@ -50,7 +54,7 @@ class SizeClasses:
             least, spare = self.low[max(k - 1, 0)], 0
             for _ in range(30):  # spare parts for those that chance leaves empty
                 parts = differ + 1 + spare
-                empty = parts * (1 - 1 / parts) ** least
+                empty = parts * (1 - 0.7 / parts) ** least if parts > 1 else 0.0  # up to three tenths of a set may be frequent
                 spare = int(np.ceil(empty + 4 * np.sqrt(empty))) if empty > 1e-4 else 0
                 if differ + 1 + spare <= parts:
                     break
@@ -86,8 +90,15 @@ def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return where[new], found[new]
 
 
-def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each part of each set, for its own size class and the next."""
+def _member(line: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(line):
+        return np.zeros(len(x), dtype=bool)
+    return line[np.minimum(np.searchsorted(line, x), len(line) - 1)] == x
+
+
+def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes: SizeClasses, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of each strong part of each set, for its own size class and the next; ``frequent`` ascends."""
+    strong = ~_member(frequent, grams)
     classes.reach(int(sizes.max(initial=1)) * 2 + 2)
     parts_of, spare_of = np.array(classes.parts), np.array(classes.spare)
     full = sizes > 0
@@ -103,8 +114,9 @@ def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes:
         np.add.at(total, slot, value)
         count = np.bincount(slot, minlength=len(total))
         owner = np.repeat(np.arange(len(sizes)), n_parts)
-        empties = np.bincount(owner[count == 0], minlength=len(sizes))
-        listed = (count > 0) | (empties > spare_of[own + up])[owner]
+        good = np.bincount(slot[strong], minlength=len(total)) > 0
+        weak = np.bincount(owner[~good], minlength=len(sizes))
+        listed = good | (weak > spare_of[own + up])[owner]
         place = np.arange(len(total)) - base[owner]
         key = mix(total + mix(((own + up)[owner].astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(1)) + (count > 0).astype(np.uint64)))
         out_rows.append(owner[listed])
@@ -115,10 +127,31 @@ def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes:
 _PROFILE = "kind int, doc_id long, n long, k1 long, k2 long, shard int, keys binary, ids binary"
 
 
-def _profile(batches, n: int, percent: int, shards: int):
+def _frequent(batches, n: int):
+    """N-grams that more than their share of a batch's documents have (more than five at least); a frequent one is so in some batch."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        parts = [sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)[1] for lo, hi in chunked(offsets)]
+        for quarter in range(4 if parts else 0):  # a quarter of the n-grams is sorted at a time
+            here = np.sort(np.concatenate([p[(p & np.uint64(3)) == np.uint64(quarter)] for p in parts]))
+            at = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if len(here) else np.zeros(0, np.int64)
+            count = np.diff(np.append(at, len(here)))
+            often = count >= max(6, FREQUENT * len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(here[at[often]].view(np.int64)), pa.array(count[often], pa.int64())], names=["gram", "c"])
+        del parts
+        trim()
+
+
+def frequent_grams(docs: DataFrame, n: int, n_docs: int) -> np.ndarray:
+    rows = docs.select("text").mapInArrow(lambda it: _frequent(it, n), "gram long, c long")
+    found = rows.groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= max(6, FREQUENT * n_docs / 2)).select("gram").toPandas()
+    return np.sort(found.gram.to_numpy(np.int64).view(np.uint64))
+
+
+def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
     """Per batch: a row (kind 0) per document; signatures with their least document (1); ties within the batch (2)."""
     classes = SizeClasses(percent)
-    for batch in batches:
+    for batch in (b.slice(lo, 4000) for b in batches for lo in range(0, len(b), 4000)):
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("doc_id")
         known = np.asarray(ids.is_valid())
@@ -131,7 +164,7 @@ def _profile(batches, n: int, percent: int, shards: int):
                 total = np.zeros(hi - lo, dtype=np.uint64)
                 np.add.at(total, rows, mix(grams ^ salt))
                 out.append(total)
-            sig_rows, sig = signatures(rows, grams, sizes, classes)
+            sig_rows, sig = signatures(rows, grams, sizes, classes, frequent)
             ok = known[lo:hi][sig_rows]
             all_sizes.append(sizes)
             doc.append(number[lo:hi][sig_rows[ok]])
@@ -161,6 +194,7 @@ def _profile(batches, n: int, percent: int, shards: int):
         rows.append((pa.array(kinds, pa.int32()), none, none, none, none, pa.array([s[0] for s in sent] + [None] * (len(ties) > 0), pa.int32()), pa.array(keys, pa.binary()), pa.array(others, pa.binary())))
         for columns in rows:
             yield pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in _PROFILE.split(", ")])
+        trim()
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -188,7 +222,7 @@ def _shard(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches, n: int):
-    for batch in batches:
+    for batch in (b.slice(lo, 2000) for b in batches for lo in range(0, len(b), 2000)):
         data, offsets = text_bytes(batch.column("text"))
         raw = []
         for lo, hi in chunked(offsets):
@@ -196,6 +230,7 @@ def _sets(batches, n: int):
             cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
             raw += [pack_sorted(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], names=[*batch.schema.names[:-1], "grams"])
+        trim()
 
 
 def overlaps(rows: np.ndarray, columns: np.ndarray, sizes: np.ndarray, percent: int, dense: int = 32):
@@ -277,12 +312,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     of one id are one document.  Other columns are ignored.
     """
     docs = id_text(docs, id_col, text_col)
-    _, size, _ = corpus_size(docs, 2)
-    shards = max(4, -(-size // (24 << 20)))
-    profile = materialise(docs.mapInArrow(lambda it: _profile(it, n, percent, shards), _PROFILE), "ngram-profile")
+    n_docs, size, _ = corpus_size(docs, 2)
+    frequent = frequent_grams(docs, n, n_docs)
+    shards = max(4, -(-size // (8 << 20)))
+    profile = materialise(docs.mapInArrow(lambda it: _profile(it, n, percent, shards, frequent), _PROFILE), "ngram-profile")
     rows = profile.where("kind = 0").select("doc_id", "n", "k1", "k2")
     ties = profile.where("kind = 2").select("keys", "ids").mapInArrow(_ties, "a long, b long")
-    far = profile.where("kind = 1").select("shard", "keys", "ids").groupBy("shard").applyInArrow(_shard, "a long, b long")
+    far = profile.where("kind = 1").select("shard", "keys", "ids").groupBy("shard").applyInArrow(lambda t: trim(_shard(t)), "a long, b long")
     family = connected_components(ties.unionByName(far), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
     members = materialise(rows.where("doc_id is not null and n > 0").distinct().join(family, "doc_id"), "ngram-members")
@@ -307,7 +343,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("bin", "family", "i", "j", "tile", "n", "copies")).alias("at"))
     grams = docs.join(wanted, "doc_id").select("doc_id", "at", "text").mapInArrow(lambda it: _sets(it, n), "doc_id long, at array<struct<bin:long,family:long,i:long,j:long,tile:long,n:long,copies:long>>, grams binary")
     grams = grams.select("doc_id", F.explode("at").alias("p"), "grams").select("doc_id", "p.*", "grams")
-    linked = materialise(grams.groupBy("bin").applyInArrow(lambda t: _link(t, percent), "doc_id long, least long, links long"), "ngram-links")
+    linked = materialise(grams.groupBy("bin").applyInArrow(lambda t: trim(_link(t, percent)), "doc_id long, least long, links long"), "ngram-links")
 
     edges = linked.select("doc_id", F.col("least").alias("first")).unionByName(copies)
     component = connected_components(edges, "doc_id", "first").select(F.col("node").alias("doc_id"), "component")
