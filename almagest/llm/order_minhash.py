@@ -7,11 +7,15 @@ k-mers are taken, put back into text order and hashed as a tuple, so a component
 agrees only where both the content and its order agree.  The share of equal
 components estimates how near two texts are in edits.
 
-The orders are rotations of one 64-bit hash order: the least k-mers of order i
-are those that follow point i on the ring of hash values.  One sort of the
-k-mers with the points among them therefore serves all orders; copies of a k-mer
-sort by place, so the r-th copy after a point is occurrence r.  Everything is an
-array expression on one row: no join, no explosion into rows.
+The orders are rotations of one hash order: the least k-mers of order i are those
+that follow point i on the ring of hash values.  One sort of the k-mers with the
+points among them therefore serves all orders.  With ``numbered`` the hash is that
+of a k-mer and its occurrence number, so a k-mer that occurs often is drawn often,
+while the tuple holds the k-mers alone.  (Occurrences are told apart by the high 40
+bits of the k-mer's hash, 33 in texts of more than 2**24 words.)  Without it copies
+of a k-mer lie side by side and no order reads beyond the first ones, so how often
+a k-mer occurs is lost.  Everything is an array expression on one row: no join, no
+explosion into rows.
 """
 
 from __future__ import annotations
@@ -23,45 +27,73 @@ from almagest.llm.common import corpus_size, id_text, range_block
 
 _PLACE_BITS = 24  # places of longer texts are equal modulo 2**24 words
 _PLACE = (1 << _PLACE_BITS) - 1
+_WIDE_PLACE = (1 << 31) - 1
 
 
 def _hashes(text: Column) -> Column:
     return F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
 
 
-def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64) -> DataFrame:
+def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64, numbered: bool = False) -> DataFrame:
     """Add, for each text column, an array<long> of ``components`` hashes under the name it maps to.
 
     Null text gives null.  The columns must be plain ones; names that begin with
     ``_omh`` are used on the way and must not occur.
     """
     kept = df.columns
-    points = F.array(*(F.lit(-(1 << 63) + i * ((1 << 64) // components) & ~_PLACE) for i in range(components)))
+    points = F.array(*(F.lit(-(1 << 63) + i * ((1 << 64) // components) & ~_WIDE_PLACE) for i in range(components)))
     names = list(enumerate(columns))
     df = df.select(*kept, *(_hashes(F.col(c)).alias(f"_omh_w{j}") for j, c in names))
 
     def kmers(words: str) -> Column:
         w = F.col(words)
-
-        def packed(h: Column, i: Column) -> Column:
-            parts = [h, *(F.coalesce(F.get(w, i + F.lit(d)), F.lit(0).cast("long")) for d in range(1, k))]
-            return F.xxhash64(*parts).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long") % F.lit(_PLACE) + 1)
-
-        return F.when(F.size(w) > 0, F.sort_array(F.transform(w, packed)))
-
-    df = df.select(*kept, *(kmers(f"_omh_w{j}").alias(f"_omh_s{j}") for j, _ in names))
-    found = lambda s: F.filter(F.transform(F.sort_array(F.concat(F.col(s), points)), lambda x, i: F.when(x.bitwiseAND(F.lit(_PLACE)) == 0, i).otherwise(-1)), lambda i: i >= 0)
-    df = df.select(*kept, *(f"_omh_s{j}" for j, _ in names), *(found(f"_omh_s{j}").alias(f"_omh_p{j}") for j, _ in names))
-
-    def component(s: Column, at: Column, i: Column) -> Column:
+        return F.transform(w, lambda h, i: F.xxhash64(h, *(F.coalesce(F.get(w, i + F.lit(d)), F.lit(0).cast("long")) for d in range(1, k))))
+
+    def place(j: int) -> Column:
+        """The bits that hold a k-mer's place."""
+        return F.col(f"_omh_m{j}")
+
+    def packed(j: int) -> Column:
+        h = F.col(f"_omh_h{j}")
+        return F.when(F.size(h) > 0, F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(place(j))).bitwiseOR(i.cast("long") % place(j) + 1))))
+
+    def first_copies(j: int) -> Column:
+        s, key = F.col(f"_omh_s{j}"), lambda x: x.bitwiseAND(F.bitwise_not(place(j)))
+        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(s, i - 1))), i).otherwise(-1)), lambda i: i >= 0)
+
+    def by_occurrence(j: int) -> Column:
+        s, firsts = F.col(f"_omh_s{j}"), F.col(f"_omh_r{j}")
+
+        def run(at: Column, r: Column) -> Column:
+            copies = F.slice(s, at + 1, F.coalesce(F.get(firsts, r + 1), F.size(s)) - at)
+            return F.transform(copies, lambda x, n: F.xxhash64(x.bitwiseAND(F.bitwise_not(place(j))), n).bitwiseAND(F.bitwise_not(place(j))).bitwiseOR(x.bitwiseAND(place(j))))
+
+        return F.sort_array(F.flatten(F.transform(firsts, run)))
+
+    every = lambda *letters: [f"_omh_{x}{j}" for x in letters for j, _ in names]
+    df = df.select(*kept, *(kmers(f"_omh_w{j}").alias(f"_omh_h{j}") for j, _ in names))
+    bits = lambda j: F.when(F.size(f"_omh_h{j}") > _PLACE, F.lit(_WIDE_PLACE)).otherwise(F.lit(_PLACE)).cast("long") if numbered else F.lit(_PLACE).cast("long")
+    df = df.select(*kept, *every("h"), *(bits(j).alias(f"_omh_m{j}") for j, _ in names))
+    df = df.select(*kept, *every("h", "m"), *(packed(j).alias(f"_omh_s{j}") for j, _ in names))
+    if numbered:
+        df = df.select(*kept, *every("h", "m", "s"), *(first_copies(j).alias(f"_omh_r{j}") for j, _ in names))
+        df = df.select(*kept, *every("h", "m"), *(by_occurrence(j).alias(f"_omh_s{j}") for j, _ in names))
+    found = lambda j: F.filter(F.transform(F.sort_array(F.concat(F.col(f"_omh_s{j}"), points)), lambda x, i: F.when(x.bitwiseAND(place(j)) == 0, i).otherwise(-1)), lambda i: i >= 0)
+    df = df.select(*kept, *every("h", "m", "s"), *(found(j).alias(f"_omh_p{j}") for j, _ in names))
+
+    def component(j: int, at: Column, i: Column) -> Column:
+        s, h = F.col(f"_omh_s{j}"), F.col(f"_omh_h{j}")
         n = F.size(s)
         first = at - i  # k-mers before the point
         least = F.array(*(F.get(s, (first + F.lit(d)) % n) for d in range(tuple_size)))
-        by_place = F.transform(F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, _PLACE_BITS)))), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
+        if numbered:
+            by_place = F.transform(F.sort_array(F.transform(least, lambda x: x.bitwiseAND(place(j)))), lambda x: F.get(h, (x - 1).cast("int")))
+        else:
+            by_place = F.transform(F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, _PLACE_BITS)))), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
         return F.xxhash64(by_place, F.least(n, F.lit(tuple_size)))
 
     def signature(j: int) -> Column:
-        return F.transform(F.col(f"_omh_p{j}"), lambda at, i: component(F.col(f"_omh_s{j}"), at, i))
+        return F.transform(F.col(f"_omh_p{j}"), lambda at, i: component(j, at, i))
 
     return df.select(*kept, *(signature(j).alias(columns[c]) for j, c in names))
 
@@ -116,7 +148,7 @@ def fingerprint_documents(docs: DataFrame, k: int = 2, tuple_size: int = 2, comp
     """Per document: its fingerprint, that of its edited text, and both likenesses."""
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     rows = rows.select("doc_id", "block", "ghost", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    rows = fingerprints(rows, {"text": "a", "edited": "b"}, k, tuple_size, components)
+    rows = fingerprints(rows, {"text": "a", "edited": "b"}, k, tuple_size, components, numbered=True)
     rows = rows.withColumn("c", F.lead("a").over(_descending())).where(~F.col("ghost"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 

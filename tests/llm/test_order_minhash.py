@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,31 @@ def test_equal_texts_and_edit_sensitivity(spark):
 def test_native(spark):
     plan = omh.op5_order_minhash(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_numbered_against_brute_force(spark):
+    """The order key hashes the k-mer's high bits and its occurrence number; the tuple holds k-mers alone."""
+    texts = ["a b a b a c d e", "q", "the cat sat on the mat the cat sat", "x " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    m = 8
+    got = [r.f for r in omh.fingerprints(df, {"t": "f"}, 2, 2, m, numbered=True).collect()]
+    spark_hash = lambda *v: spark.range(1).select(F.xxhash64(*v)).head()[0]
+    for text, f in zip(texts, got):
+        words = [*re.split(" ", text), None]
+        pairs = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(zip(words, words[1:]))], "a string, b string, i int")
+        kmers = [r.h for r in pairs.orderBy("i").select(F.xxhash64(F.xxhash64("a"), F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("b"))).alias("h")).collect()]
+        rows = [(h & ~omh._PLACE, kmers[:i].count(h), i) for i, h in enumerate(kmers)]
+        keys = spark.createDataFrame(rows, "h long, n int, i int").select(F.xxhash64("h", "n").alias("key"), "i").collect()
+        for c in range(m):
+            point = -(1 << 63) + c * ((1 << 64) // m)
+            ring = sorted(((r.key & ~omh._PLACE) - point) % (1 << 64) for r in keys)
+            place = {((r.key & ~omh._PLACE) - point) % (1 << 64): r.i for r in keys}
+            least = [kmers[i] for i in sorted(place[x] for x in (ring * 2)[:2])]
+            assert f[c] == spark_hash(F.array(*(F.lit(v).cast("long") for v in least)), F.lit(min(2, len(kmers))))
+
+
+def test_repetition_counts_matter(spark):
+    rows = [(1, "a b " * 10), (2, "a b " * 1000), (3, "a b " * 1000)]
+    rows = {r.doc_id: r for r in omh.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert rows[3].near_next == 1.0  # equal texts
+    assert rows[2].near_next < 0.7 and rows[2].fingerprint != rows[1].fingerprint
