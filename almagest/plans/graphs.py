@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# suppliers that serve one customer's order: a graph of a few hundred nodes and many edges; parts by order: a sparse one
+# parts that share an order, which grow with the tables; nations that share more orders than the average pair, which do not
 _PART_EDGES = "e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(DISTINCT a.l_orderkey) AS contexts FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL)"
 _NATION_EDGES = "n AS (SELECT DISTINCT c_nationkey AS k, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey UNION SELECT DISTINCT s_nationkey, l_orderkey FROM supplier JOIN lineitem ON s_suppkey = l_suppkey), x AS (SELECT a.k AS src, b.k AS dst, count(*) AS contexts FROM n a JOIN n b ON a.o_orderkey = b.o_orderkey AND a.k < b.k GROUP BY ALL), t AS (SELECT avg(contexts) AS m FROM x), e AS (SELECT src, dst, contexts FROM x, t WHERE contexts > m)"
 _BOTH = "b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
@@ -112,29 +112,42 @@ def pagerank(spark, sf):
     return g.pagerank(_nations(spark, sf), nodes, iterations=8, tolerance=0.0).select("node", F.round("rank", 6).alias("rank"))
 
 
+@query("part_pagerank")
+def part_pagerank(spark, sf):
+    """All parts, to convergence."""
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
+    return g.pagerank(_parts(spark, sf), nodes).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query("part_structural_hole")
+def part_structural_hole(spark, sf):
+    return g.structural_hole(_parts(spark, sf)).select("node", F.round("structural_hole", 6).alias("structural_hole"))
+
+
+@query("part_neighbour_profile")
+def part_neighbour_profile(spark, sf):
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("brand"))
+    out = g.neighbour_profile(_parts(spark, sf), brands, "brand")
+    return out.select("node", F.abs(F.round("neighbour_entropy", 6)).alias("neighbour_entropy"), F.round("crossing_share", 6).alias("crossing_share"), "neighbours")
+
+
 @query("k_core")
 def k_core(spark, sf):
-    return g.k_core(_nations(spark, sf))
+    return g.k_core(_parts(spark, sf))
 
 
-def _grouped(spark, sf):
-    """One graph a source family: parts that share an order of that priority and customer's nation."""
-    m = mentions(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), "c_nationkey"), "customer")
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("organization"), "s_nationkey")
-    rows = m.join(s, "organization").select("family", F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).where("a <> b")
-    pairs = rows.select("family", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).groupBy("family", "src", "dst").agg(F.count("*").alias("n"))
-    mean = pairs.groupBy("family").agg(F.avg("n").alias("mean"))
-    return pairs.join(mean, "family").where("n > mean").select("family", "src", "dst")
+def _one_graph(spark, sf):
+    return _parts(spark, sf).select(F.lit("parts").alias("graph"), "src", "dst")
 
 
 @query("communities")
 def communities(spark, sf):
-    return g.communities(_grouped(spark, sf), "family")
+    return g.communities(_one_graph(spark, sf), "graph")
 
 
 @query("betweenness")
 def betweenness(spark, sf):
-    return g.betweenness(_grouped(spark, sf), "family").withColumn("betweenness", F.round("betweenness", 9))
+    return g.betweenness(_one_graph(spark, sf), "graph").withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("two_hop_sample")

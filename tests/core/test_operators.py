@@ -16,6 +16,7 @@ from almagest.operators import rows as r
 from almagest.operators import search as s
 from almagest.operators import vectors as v
 from almagest.operators.components import connected_components
+from almagest.plans import graphs
 from almagest.sources import files
 
 D = dt.date
@@ -46,6 +47,55 @@ def test_path_of_three(spark):
     assert row.neighbour_entropy == pytest.approx(math.log(2)) and row.crossing_share == 1.0
 
 
+def part_graph(spark, sf):
+    """The neighbours of each part, from the tables themselves."""
+    orders, near = {}, {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(r[0], set()).add(r[1])
+    for parts in orders.values():
+        for a in parts:
+            near.setdefault(a, set()).update(parts - {a})
+    return {a: sorted(b) for a, b in near.items() if b}
+
+
+def test_graph_queries_run_over_the_parts(spark):
+    sf = "/root/testdata/sf0.001"
+    near = part_graph(spark, sf)
+    assert len(near) > 100
+    core, left = {}, {a: set(b) for a, b in near.items()}
+    while left:
+        low = min(left, key=lambda a: len(left[a]))
+        core[low] = max(len(left[low]), max(core.values(), default=0))
+        for b in left.pop(low):
+            left[b].discard(low)
+    assert as_dict(graphs.k_core(spark, sf), "node", "core") == core
+
+    between = dict.fromkeys(near, 0.0)
+    for root in near:
+        depth, paths, order = {root: 0}, {root: 1}, [root]
+        for a in order:
+            for b in near[a]:
+                if b not in depth:
+                    depth[b], paths[b] = depth[a] + 1, 0
+                    order.append(b)
+                paths[b] += paths[a] if depth[b] == depth[a] + 1 else 0
+        credit = dict.fromkeys(order, 0.0)
+        for b in reversed(order):
+            for a in near[b]:
+                credit[a] += paths[a] / paths[b] * (1 + credit[b]) if depth[a] == depth[b] - 1 else 0
+            between[b] += credit[b] if b != root else 0
+    scale = (len(near) - 1) * (len(near) - 2)
+    got = as_dict(graphs.betweenness(spark, sf), "node", "betweenness")
+    assert got.keys() == near.keys() and all(abs(got[a] - between[a] / scale) < 2e-9 for a in near)
+
+    hole = as_dict(graphs.part_structural_hole(spark, sf), "node", "structural_hole")
+    for a in near:
+        c = sum((1 / len(near[a]) + sum(1 / len(near[a]) / len(near[q]) for q in near[a] if b in near[q])) ** 2 for b in near[a])
+        assert hole[a] == pytest.approx(min(1, max(0, 1 - c)), abs=2e-6)
+    assert as_dict(graphs.part_neighbour_profile(spark, sf), "node", "neighbours") == {a: len(b) for a, b in near.items()}
+    assert {r.node for r in graphs.communities(spark, sf).collect()} == set(near)
+
+
 def test_k_core_of_a_clique_with_a_tail(spark):
     e = edges(spark, (1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (4, 5), (5, 6), (7, 8))
     assert as_dict(g.k_core(e), "node", "core") == {1: 3, 2: 3, 3: 3, 4: 3, 5: 1, 6: 1, 7: 1, 8: 1}
