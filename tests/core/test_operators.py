@@ -1,7 +1,9 @@
 import datetime as dt
 import io
 import math
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,35 @@ def test_graph_queries_run_over_the_parts(spark):
     assert {r.node for r in graphs.communities(spark, sf).collect()} == set(near)
 
 
+def test_ranks_and_labels_run_to_the_end(spark):
+    pairs = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5)]
+    near = {a: [y if x == a else x for x, y in pairs if a in (x, y)] for a in range(1, 7)}  # 6 has no edge
+    ranks, rounds, change = dict.fromkeys(near, 1 / 6), 0, 1.0
+    while change >= 1e-10:
+        new = {a: (0.15 + 0.85 * ranks[6]) / 6 + 0.85 * sum(ranks[b] / len(near[b]) for b in near[a]) for a in near}
+        ranks, rounds, change = new, rounds + 1, sum(abs(new[a] - ranks[a]) for a in near)
+    got = as_dict(g.pagerank(edges(spark, *pairs), spark.createDataFrame([(a,) for a in near], "node long")), "node", "rank")
+    assert 20 < rounds < 100 and all(got[a] == pytest.approx(ranks[a], abs=1e-9) for a in near)
+
+    rng = random.Random(633041629)
+    assert (rng.choice([60, 120, 300, 800]), rng.choice([2, 3, 4, 6]), rng.randrange(3)) == (800, 6, 1)
+    pairs = {tuple(sorted(rng.sample(range(800), 2))) for _ in range(2400)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label, moved, rounds = {a: a for a in near}, True, 0
+    while moved:
+        moved, rounds = False, rounds + 1
+        for a in sorted(near):
+            votes = Counter(label[b] for b in near[a])
+            best = [v for v, c in votes.items() if c == max(votes.values())]
+            if label[a] not in best:
+                label[a], moved = min(best), True
+    got = g.communities(edges(spark, *pairs).withColumn("k", F.lit(0)), "k")
+    assert 20 < rounds < 100 and as_dict(got, "node", "community") == label
+
+
 def test_k_core_of_a_clique_with_a_tail(spark):
     e = edges(spark, (1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (4, 5), (5, 6), (7, 8))
     assert as_dict(g.k_core(e), "node", "core") == {1: 3, 2: 3, 3: 3, 4: 3, 5: 1, 6: 1, 7: 1, 8: 1}
