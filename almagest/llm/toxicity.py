@@ -6,8 +6,9 @@ times", hashed to 64 bits of which the last two are that level.  The model is
 fitted on a bounded sample of labelled rows.  Besides log loss and an L1
 penalty it pays for every *counterfactual pair*: a labelled text and the same text with
 its identity terms swapped for others of the same kind must score alike, so a
-group that is named is no evidence by itself.  Texts that name no group get a
-pair in which a group is named, and one in which another is.
+group that is named is no evidence by itself.  A text that names groups is paired
+with each substitute; every text that names none gets a pair in which a group is
+named, and one in which another is.
 """
 
 from __future__ import annotations
@@ -113,6 +114,24 @@ def swapped(found: np.ndarray, groups: list[list[np.ndarray]], turn: int) -> np.
     return out
 
 
+def counterfactual_pairs(found: list[np.ndarray], groups: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What the two texts of each pair have and the other has not; what they share has no part in the gap."""
+    if not groups:
+        return []
+    terms, most = np.array([term[0] for g in groups for term in g]), max(len(g) for g in groups)
+    pairs, unnamed = [], 0
+    for text in found:
+        if np.isin(terms, text & ~_LEVEL).any():
+            others = {out.tobytes(): out for out in (swapped(text, groups, turn) for turn in range(most - 1))}
+        else:
+            group = groups[unnamed % len(groups)]
+            places = {(unnamed // len(groups) + turn) % len(group) for turn in range(2)}
+            others = {k: np.union1d(text, group[k]) for k in places}
+            unnamed += 1
+        pairs += [(np.setdiff1d(text, o, assume_unique=True), np.setdiff1d(o, text, assume_unique=True)) for o in others.values()]
+    return pairs
+
+
 def fit_features(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray, identity=IDENTITY_TERMS, l1: float = 3e-5, counterfactual: float = 1.0, selected: int = 4000, steps: int = 300, term_features=None) -> Model:
     """Fit on the distinct features of each sample text.
 
@@ -143,12 +162,7 @@ def fit_features(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray
         ok = chosen[place] == flat
         return np.repeat(np.arange(len(rows)), size)[ok], place[ok]
 
-    named = np.isin(keys & ~_LEVEL, [f[0] for g in groups for f in g] if groups else [])
-    named = np.bincount(np.repeat(np.arange(len(found)), [len(f) for f in found])[named], minlength=len(found)) > 0
-    pairs = [(found[i], swapped(found[i], groups, turn)) for i in np.flatnonzero(named) for turn in range(2)]
-    for i in np.flatnonzero(~named)[: 200 if groups else 0]:
-        group = groups[i % len(groups)]
-        pairs.append((found[i], np.union1d(found[i], group[i // len(groups) % len(group)])))
+    pairs = counterfactual_pairs(found, groups)
     r, c = matrix(found)
     ra, ca = matrix([p[0] for p in pairs])
     rb, cb = matrix([p[1] for p in pairs])
@@ -162,11 +176,8 @@ def fit_features(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray
     curve = 0.25 * np.bincount(c, weights=(weight * row_size)[r], minlength=len(chosen))
     if m:
         spread = np.bincount(ra, minlength=m) + np.bincount(rb, minlength=m)
-        shared = np.intersect1d(ra * len(chosen) + ca, rb * len(chosen) + cb)  # equal on both sides: no part in the gap
-        spread = spread - 2 * np.bincount(shared // len(chosen), minlength=m)
         for rows, cols in ((ra, ca), (rb, cb)):
-            lone = ~np.isin(rows * len(chosen) + cols, shared)
-            curve += 2 * counterfactual / m * np.bincount(cols[lone], weights=spread[rows[lone]], minlength=len(chosen))
+            curve += 2 * counterfactual / m * np.bincount(cols, weights=spread[rows], minlength=len(chosen))
     step, bias_step = 1 / np.maximum(curve, 1e-9), 1 / (0.25 * (weight * row_size).sum())
     look, look_bias = w, bias
     for _ in range(steps):  # accelerated proximal gradient

@@ -62,3 +62,15 @@ def test_edges(spark):
     assert got.count() == 4 and len(set(tx.score(docs, model).select("score").toPandas().score)) == 1
     assert tx.fit(docs, labels.where("false")).scores(["a"])[0] == 0.5
     assert tx.score(docs.where("false"), model).collect() == []
+
+
+def test_every_text_has_pairs():
+    groups = [tx._term_features(("muslims", "jews", "hindus")), tx._term_features(("gay", "queer"))]
+    texts = [f"w{i} plain" for i in range(500)] + ["w1 muslims", "w2 gay jews"]
+    found = tx.features_of(texts)
+    pairs = tx.counterfactual_pairs(found, groups)
+    assert len(pairs) == 500 * 2 + 2 + 2
+    own = {int(t) & ~3 for g in groups for term in g for t in term}
+    for a, b in pairs:
+        assert {int(x) & ~3 for x in (*a, *b)} <= own and len(b)
+    assert sum(len(a) > 0 for a, _ in pairs) == 4
