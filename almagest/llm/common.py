@@ -159,7 +159,10 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def corpus_size(docs: DataFrame, quantiles: int = 1024) -> tuple[int, int, list[int]]:
-    """Rows, text bytes, and evenly spaced quantiles of doc_id, over all rows."""
+    """Rows, text bytes, and evenly spaced quantiles of doc_id, over all rows.
+
+    Quantiles count rows, not bytes, so a range of long documents holds more text.
+    """
     row = docs.agg(
         F.count(F.lit(1)),
         F.sum(F.octet_length("text").cast("long")),
@@ -169,7 +172,7 @@ def corpus_size(docs: DataFrame, quantiles: int = 1024) -> tuple[int, int, list[
 
 
 def range_block(quantiles: list[int], n: int) -> Column:
-    """Number of the doc_id range that a row is in: a pure function of doc_id, ascending with it, null first."""
+    """Number of the doc_id range that a row is in: a pure function of doc_id, ascending with it, null first.  At most one block more than there are quantiles."""
     cuts = sorted({quantiles[len(quantiles) * i // n] for i in range(1, n)}) if quantiles else []
     found = F.array_position(F.sort_array(F.array(*map(F.lit, cuts), F.col("doc_id"))), F.col("doc_id")) if cuts else F.lit(1)
     return F.coalesce(found, F.lit(0)).cast("int")

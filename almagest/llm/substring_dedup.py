@@ -198,8 +198,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     Runs are judged on the input.  Null text counts as empty: zero words, empty
     ``kept``.  A null id is smaller than any other.  Rows of one id don't remove
     each other's words, so repeated rows get equal results.  The columns named in
-    ``carry`` come back unchanged after these; others are ignored.  ``block_bytes`` of text and ``group_words`` suffixes bound what
-    one task holds, but for a longer single document.
+    ``carry`` come back unchanged after these; others are ignored.  ``block_bytes`` of text, on average, and ``group_words`` suffixes bound what
+    one task holds, but for a longer single document; past 1,024 blocks (8 GB of text
+    at 8 MB) blocks grow with the input.
     """
     rest = F.struct(F.lit(True).alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
