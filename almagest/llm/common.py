@@ -45,21 +45,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE) | np.uint64(1)
-_BYTE[_SPACE] = 0
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_POWERS = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS))
-        steps = np.full(size, _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FULL = np.ones(256, dtype=bool)
+_FULL[_SPACE] = False
+#: Masks of the first 0 to 8 bytes of a little-endian piece.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +77,21 @@ def chunked(offsets: np.ndarray, limit: int = 2 << 20):
         lo = hi
 
 
-#: The hash table of letters and digits only (A-Z as a-z; every byte from 0x80 is a letter).
-LETTERS = _BYTE_LOWER.copy()
-LETTERS[[b for b in range(128) if not chr(b).isalnum()]] = 0
+#: Letters and digits (every byte from 0x80 is a letter).
+LETTERS = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+
 
+def lower_case(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word, a run of bytes that ``table`` hashes; a word never crosses a row."""
+
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _FULL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word, a run of bytes that are ``inside``; a word never crosses a row."""
     if not len(data):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    full = (table != 0)[data]
+    full = inside[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(full)
@@ -108,25 +103,58 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE) -> t
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``, or as ``table`` has it)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``); another ``salt`` gives an independent one.
+
+    Every 8-byte piece goes through a bijection that is not linear, with a key of
+    its place, before the pieces are added up, so words of a regular build don't
+    meet as they do under a polynomial modulo 2**64.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    first = starts[0]
-    spans = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data) - first) - np.repeat(starts - first, spans)
-    if table is None:
-        table = _BYTE_LOWER if lower else _BYTE
-    value = table[data[first:]] * _powers(int(spans.max()))[place]
-    return mix(np.add.reduceat(value, starts - first))
-
-
-def prefix_hashes(data: np.ndarray, starts: np.ndarray, size: int, table: np.ndarray) -> np.ndarray:
-    """A hash of the ``size`` bytes from each start (all must lie in the data)."""
-    total, powers = np.zeros(len(starts), dtype=np.uint64), _powers(size)
-    for j in range(size):
-        total += table[data[starts + j]] * powers[j]
-    return mix(total + np.uint64(size))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    pieces = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    key = lambda k: mix(np.asarray(k).astype(np.uint64) * np.uint64(2) + np.uint64(2 * salt << 40 | 1))
+    total = mix((pieces[starts] & _MASK[np.minimum(size, 8)]) ^ key(np.zeros(1)))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) >> 3
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+        value = pieces[np.repeat(starts[long], n) + 8 * k] & _MASK[np.minimum(np.repeat(size[long], n) - 8 * k, 8)]
+        total[long] += np.add.reduceat(mix(value ^ key(k)), first)
+    return mix(total + size.astype(np.uint64))
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): words that stand for all equal ones, and for each word its stand-in's number; the bytes are compared."""
+    hashes, salt = word_hashes(data, starts, ends), 1
+    while True:
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if _same_words(data, starts, ends, first[which]):
+            return first, which
+        hashes, salt = mix(hashes + word_hashes(data, starts, ends, salt=salt)), salt + 1
+
+
+def _same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word ``other`` names."""
+    size = ends - starts
+    if not len(size):
+        return True
+    if (size != size[other]).any():
+        return False
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    pieces = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    if ((pieces[starts] ^ pieces[starts[other]]) & _MASK[np.minimum(size, 8)]).any():
+        return False
+    long = np.flatnonzero((size > 8) & (other != np.arange(len(other))))
+    n = (size[long] - 1) >> 3
+    k = 8 * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + 1)
+    left = np.minimum(np.repeat(size[long], n) - k, 8)
+    return not ((pieces[np.repeat(starts[long], n) + k] ^ pieces[np.repeat(starts[other[long]], n) + k]) & _MASK[left]).any()
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +162,12 @@ def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarra
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    first = np.flatnonzero(rows[:n] == rows[width - 1 :])
     total = np.zeros(n, dtype=np.uint64)
     for j in range(width):
+        total ^= total >> _SHIFT[2]
         total *= _BASE
         total += hashes[j : j + n]
+    first = np.flatnonzero(rows[:n] == rows[width - 1 :])
     return mix(total[first] + np.uint64(width)), first
 
 
@@ -158,24 +187,73 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def corpus_size(docs: DataFrame, quantiles: int = 1024) -> tuple[int, int, list[int]]:
-    """Rows, text bytes, and evenly spaced quantiles of doc_id, over all rows.
+#: Ranges of doc_id that a first look tells apart; blocks in all, 8 MB of cuts: past 8 TB blocks of 8 MB grow.
+FIRST_LOOK = 1024
+MOST_BLOCKS = 1 << 20
+
+
+def corpus_size(docs: DataFrame) -> tuple[int, int]:
+    """Rows and text bytes."""
+    row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).head()
+    return row[0], row[1] or 0
+
+
+def _rank(cuts: Column, x: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= x))
+
+
+def _place(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``x``: a look among every 32nd, then among the 32."""
+    if not cuts:
+        return F.lit(0)
+    lines = [F.array(*(F.lit(c).cast("long") for c in part)) for part in (cuts[::32], *(cuts[i : i + 32] for i in range(0, len(cuts), 32)))]
+    top = _rank(lines[0], x)
+    return F.when(top == 0, 0).otherwise((top - 1) * 32 + _rank(F.get(F.array(*lines[1:]), top - 1), x))
+
+
+def with_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` with an int column ``block`` that ascends with doc_id, and the number of blocks.
 
-    Quantiles count rows, not bytes, so a range of long documents holds more text.
+    A block is a range of doc_id of about ``block_bytes`` of text, at any size of
+    the corpus up to ``MOST_BLOCKS`` of them, and larger only for a longer document or for rows of
+    one id, which share a block; null ids have block 0 to themselves.  A first
+    look finds quantiles of doc_id and the bytes between them; short ranges are
+    joined and long ones are cut again at quantiles of their own.  The cuts are
+    fixed here, so the column is a pure function of doc_id however often it is
+    computed.
     """
-    row = docs.agg(
-        F.count(F.lit(1)),
-        F.sum(F.octet_length("text").cast("long")),
-        F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)], 20 * quantiles),
-    ).head()
-    return row[0], row[1] or 0, list(row[2] or [])
-
-
-def range_block(quantiles: list[int], n: int) -> Column:
-    """Number of the doc_id range that a row is in: a pure function of doc_id, ascending with it, null first.  At most one block more than there are quantiles."""
-    cuts = sorted({quantiles[len(quantiles) * i // n] for i in range(1, n)}) if quantiles else []
-    found = F.array_position(F.sort_array(F.array(*map(F.lit, cuts), F.col("doc_id"))), F.col("doc_id")) if cuts else F.lit(1)
-    return F.coalesce(found, F.lit(0)).cast("int")
+    steps = FIRST_LOOK
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 20 * steps)).head()[0]
+    cuts = sorted(set(cuts or []))
+    looked = docs.where("doc_id is not null").select("doc_id", F.octet_length("text").cast("long").alias("size"), _place(cuts, F.col("doc_id")).alias("look"))
+    sizes = {r.look: r.size or 0 for r in looked.groupBy("look").agg(F.sum("size").alias("size")).collect()}  # a row a range
+    block_bytes = max(block_bytes, -(-sum(sizes.values()) // (MOST_BLOCKS // 2)))
+    pieces = {look: min(-(-size // block_bytes), MOST_BLOCKS // steps) for look, size in sizes.items() if size > block_bytes}
+    inner = {}
+    if pieces:
+        most = max(pieces.values())
+        some = looked.where(F.col("look").isin(list(pieces))).groupBy("look").agg(F.percentile_approx("doc_id", [i / most for i in range(1, most)] or [0.5], 20 * most).alias("q"))
+        inner = {r.look: sorted({r.q[most * i // pieces[r.look] - 1] for i in range(1, pieces[r.look])}) for r in some.collect()}
+    chosen, held = [], 0
+    for look, lower in enumerate([None, *cuts]):
+        size = sizes.get(look, 0)
+        if lower is not None and held and held + size > block_bytes:
+            chosen.append(lower)
+            held = 0
+        held += size
+        if look in inner:
+            chosen += inner[look]
+            held = block_bytes  # the next range starts a block
+    chosen = sorted(set(chosen))
+    if len(chosen) < FIRST_LOOK:
+        block = _place(chosen, F.col("doc_id"))
+        return docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(block + 1).cast("int")), len(chosen) + 2
+    parts = [chosen[i : i + FIRST_LOOK] for i in range(0, len(chosen), FIRST_LOOK)]
+    table = docs.sparkSession.createDataFrame([(i, p) for i, p in enumerate(parts)], "_part int, _cuts array<long>")  # at most 8 MB
+    docs = docs.withColumn("_part", F.greatest(_place([p[0] for p in parts], F.col("doc_id")) - 1, F.lit(0)))
+    docs = docs.join(F.broadcast(table), "_part", "left")
+    block = F.col("_part") * FIRST_LOOK + F.size(F.filter("_cuts", lambda c: c <= F.col("doc_id"))) + 1
+    return docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(block).cast("int")).drop("_part", "_cuts"), len(chosen) + 2
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, per_class: int) -> DataFrame:

@@ -51,7 +51,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     size = np.diff(offsets).astype(float)
     whole = np.maximum(size, 1)
     starts, ends, rows = words(data, offsets)
-    lengths, hashes = ends - starts, word_hashes(data, starts, lower=True)
+    lengths, hashes = ends - starts, word_hashes(data, starts, ends, lower=True)
     n_words = np.bincount(rows, minlength=n).astype(float)
     per = np.maximum(n_words, 1)
     distinct, commonest = _distinct(rows, hashes, n)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.common import LETTERS, chunked, labelled_sample, prefix_hashes, text_bytes, trim, word_hashes, words
+from almagest.llm.common import LETTERS, chunked, labelled_sample, lower_case, text_bytes, trim, word_hashes, words
 
 _PREFIXES = (4, 5, 6, 7, 8)
 _LEVEL = np.uint64(3)
@@ -41,11 +41,12 @@ IDENTITY_TERMS = (
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature hash) of every word and word prefix, with repetitions."""
+    data = lower_case(data)
     starts, ends, rows = words(data, offsets, LETTERS)
-    keys, where = [word_hashes(data, starts, table=LETTERS)], [rows]
+    keys, where = [word_hashes(data, starts, ends)], [rows]
     for size in _PREFIXES:
         long = ends - starts > size
-        keys.append(prefix_hashes(data, starts[long], size, LETTERS))
+        keys.append(word_hashes(data, starts[long], starts[long] + size, salt=1))
         where.append(rows[long])
     return np.concatenate(where), np.concatenate(keys)
 
