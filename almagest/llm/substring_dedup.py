@@ -9,10 +9,17 @@ node of that depth, a repeat.  Repeats that overlap in a text are joined, which
 gives the maximal repeated spans.
 
 The suffixes never travel as text.  Documents are cut into blocks of ascending
-doc_id; a block sends each group its distinct leaves (64-bit hashes, sorted,
-difference-coded) once, whatever their number of occurrences, and the group
-answers with one bit a leaf: whether a block of smaller doc_ids has it too.  So
-a passage that a third of all documents share costs one leaf a block.
+doc_id; a block sends each group its distinct leaves once, whatever their number
+of occurrences, and the group answers with one bit a leaf: whether a block of
+smaller doc_ids has it too.  So a passage that a third of all documents share
+costs one leaf a block.  A leaf is 96 bits: 64 of one hash of its words, by which
+leaves are sorted and difference-coded, and 32 of another.  Among the 1.6e13 runs
+of 100 TB of text the expected number of different runs with equal leaves is
+0.002; no other look at the words is taken.
+
+A block sends a row a group that it has leaves for, so there are at most as many
+rows as leaves; ``block_bytes`` and ``group_words`` should grow with the memory
+of an executor, which makes rows fewer and longer.
 """
 
 from __future__ import annotations
@@ -26,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.common import chunked, corpus_size, mix, pack_sorted, range_block, text_bytes, trim, unpack_sorted, windows, word_hashes, words
+from almagest.llm.common import chunked, corpus_size, mix, pack_sorted, text_bytes, trim, unpack_sorted, windows, with_blocks, word_hashes, words
 
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
+#: A prefix that starts fewer than this share of all suffixes is never extended, so the plan has at most so many a depth; leaves of an unextended prefix are dealt on by their own hash.
+LEAST_SHARE = 1 / 65536
 
 
 def _extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -45,8 +54,8 @@ def _heavy_prefixes(batches, min_words: int, share: float):
         depths, keys, counts = [], [], []
         for lo, hi in chunked(offsets):
             part = data[offsets[lo] : offsets[hi]]
-            starts, _, rows = words(part, offsets[lo : hi + 1] - offsets[lo])
-            hashes = word_hashes(part, starts)
+            starts, ends, rows = words(part, offsets[lo : hi + 1] - offsets[lo])
+            hashes = word_hashes(part, starts, ends)
             _, first = windows(hashes, rows, min_words)
             prefix = hashes[first]
             for depth in range(1, min_words + 1):
@@ -67,14 +76,14 @@ def _heavy_prefixes(batches, min_words: int, share: float):
 
 
 def prefix_plan(docs: DataFrame, min_words: int, capacity: int, n_words: int) -> list[np.ndarray]:
-    """For each depth, the sorted prefixes with more than ``capacity`` suffixes; at most n_words / capacity a depth."""
-    share = capacity / max(n_words, 1)
+    """For each depth, the sorted prefixes with more than ``capacity`` suffixes, or ``LEAST_SHARE`` of all if that is more: at most 1 / LEAST_SHARE a depth, twice as many by chance."""
+    share = max(capacity / max(n_words, 1), LEAST_SHARE)
     if share >= 1:
         return []
     found = (
         docs.select("text").mapInArrow(lambda it: _heavy_prefixes(it, min_words, share), "depth int, prefix long, n long")
         .groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= capacity / 2).select("depth", "prefix").toPandas()
+        .where(F.col("n") >= share * n_words / 2).select("depth", "prefix").toPandas()
     )
     return [np.sort(found.loc[found.depth == d, "prefix"].to_numpy(np.int64).view(np.uint64)) for d in range(1, min_words)]
 
@@ -85,22 +94,34 @@ def _member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == x
 
 
+def _starts(group: np.ndarray, leaf: np.ndarray, other: np.ndarray, apart: bool = False) -> np.ndarray | None:
+    """Where a run of equal leaves begins; None if the second hash differs within a run of equal first ones and they may lie mixed."""
+    new, differs = np.ones(len(leaf), dtype=bool), other[1:] != other[:-1]
+    new[1:] = (leaf[1:] != leaf[:-1]) | (group[1:] != group[:-1])
+    if apart:
+        new[1:] |= differs
+    elif (differs & ~new[1:]).any():
+        return None
+    return new
+
+
 class _Block:
     """The leaves of one block of documents, in (group, hash) order."""
 
-    def __init__(self, table: pa.Table, min_words: int, plan: list[np.ndarray], groups: int):
+    def __init__(self, table: pa.Table, min_words: int, plan: list[np.ndarray], groups: int, deal: int):
         ids = pc.fill_null(table.column("doc_id").cast(pa.int64()), np.iinfo(np.int64).min)
         table = table.append_column("order", ids).sort_by([("order", "ascending")])
         self.table = table
         self.data, self.offsets = text_bytes(table.column("text"))
         ids = table.column("order").to_numpy()
         self.rank = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
-        rows, leaves, places, dealt, seen = [], [], [], [], 0
+        rows, leaves, others, places, dealt, seen = [], [], [], [], [], 0
         for lo, hi in chunked(self.offsets):
             part = self.data[self.offsets[lo] : self.offsets[hi]]
-            starts, _, row = words(part, self.offsets[lo : hi + 1] - self.offsets[lo])
-            hashes = word_hashes(part, starts)
+            starts, ends, row = words(part, self.offsets[lo : hi + 1] - self.offsets[lo])
+            hashes = word_hashes(part, starts, ends)
             leaf, first = windows(hashes, row, min_words)
+            other, _ = windows(word_hashes(part, starts, ends, salt=1), row, min_words)
             prefix = hashes[first]
             todo, at = np.arange(len(first)), prefix
             for depth, heavy in enumerate(plan, 1):
@@ -111,21 +132,27 @@ class _Block:
                 prefix[todo] = at
             rows.append(row + lo)
             leaves.append(leaf)
+            others.append((other >> np.uint64(32)).astype(np.uint32))
             places.append(first + seen)
+            if deal > 1:
+                prefix = prefix * _NEXT + other % np.uint64(deal)
             dealt.append((mix(prefix) % np.uint64(groups)).astype(np.int32))
             seen += len(starts)
         flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.rows = flat(rows, np.int64)
-        leaf, place, group = flat(leaves, np.uint64), flat(places, np.int64), flat(dealt, np.int32)
+        leaf, other, place, group = flat(leaves, np.uint64), flat(others, np.uint32), flat(places, np.int64), flat(dealt, np.int32)
         order = np.argsort(leaf)
         order = order[np.argsort(group[order].astype(np.int16 if groups < 1 << 15 else np.int32), kind="stable")]
-        self.place, leaf, group = place[order], leaf[order], group[order]
-        new = np.ones(len(leaf), dtype=bool)
-        new[1:] = (leaf[1:] != leaf[:-1]) | (group[1:] != group[:-1])
+        new = _starts(group[order], leaf[order], other[order])
+        if new is None:  # unequal runs of one 64-bit hash: they must lie apart
+            order = np.lexsort((other, leaf, group))
+            new = _starts(group[order], leaf[order], other[order], apart=True)
+        self.place, leaf, other, group = place[order], leaf[order], other[order], group[order]
         self.at = np.flatnonzero(new)
         self.which = np.cumsum(new) - 1
-        self.leaf, self.group = leaf[self.at], group[self.at]
-        self.cuts = np.searchsorted(self.group, np.arange(groups + 1))
+        self.leaf, self.other, self.group = leaf[self.at], other[self.at], group[self.at]
+        self.full = self.group[np.flatnonzero(np.diff(self.group, prepend=-1))]  # the groups that have leaves
+        self.cuts = np.append(np.searchsorted(self.group, self.full), len(self.group))
 
     def removed(self, elsewhere: np.ndarray, min_words: int) -> np.ndarray:
         """For each word, whether a window over it starts in a document of smaller doc_id too."""
@@ -138,31 +165,37 @@ class _Block:
         return np.cumsum(edges)[:-1] > 0
 
 
-def _send(table: pa.Table, min_words: int, plan, groups: int) -> pa.Table:
-    block = _Block(table, min_words, plan, groups)
-    full = [g for g in range(groups) if block.cuts[g] < block.cuts[g + 1]]
-    number = table.column("block")[0].as_py()
-    return pa.table({"grp": pa.array(full, pa.int32()), "block": pa.array([number] * len(full), pa.int32()), "leaves": pa.array([pack_sorted(block.leaf[block.cuts[g] : block.cuts[g + 1]]) for g in full], pa.binary())})
+def _send(table: pa.Table, min_words: int, plan, groups: int, deal: int) -> pa.Table:
+    block = _Block(table, min_words, plan, groups, deal)
+    spans = list(zip(block.cuts[:-1].tolist(), block.cuts[1:].tolist()))
+    return pa.table({
+        "grp": pa.array(block.full, pa.int32()), "block": pa.array(np.full(len(spans), table.column("block")[0].as_py()), pa.int32()),
+        "leaves": pa.array([pack_sorted(block.leaf[a:b]) for a, b in spans], pa.binary()), "others": pa.array([block.other[a:b].tobytes() for a, b in spans], pa.binary()),
+    })
 
 
 def _subtree(table: pa.Table) -> pa.Table:
     """Leaves of one group from all blocks: which ones hang below an inner node that a smaller block shares."""
     table = table.sort_by([("block", "ascending")])
-    parts = [unpack_sorted(x.as_buffer()) for x in table.column("leaves").combine_chunks()]
+    parts = [unpack_sorted(x.as_buffer()) for c in table.column("leaves").chunks for x in c]
     leaves = np.concatenate(parts)
+    others = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for c in table.column("others").chunks for x in c])
     order = np.argsort(leaves, kind="stable")  # runs that are sorted already
-    line = leaves[order]
+    equal = leaves[order[1:]] == leaves[order[:-1]]
+    if (equal & (others[order[1:]] != others[order[:-1]])).any():
+        order = np.lexsort((others, leaves))
+        equal = (leaves[order[1:]] == leaves[order[:-1]]) & (others[order[1:]] == others[order[:-1]])
     shared = np.zeros(len(leaves), dtype=bool)
-    shared[order[1:]] = line[1:] == line[:-1]
+    shared[order[1:]] = equal
     cuts = np.cumsum([0, *map(len, parts)])
     bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table({"block": table.column("block").cast(pa.int32()), "grp": table.column("grp").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def _remove(table: pa.Table, answers: pa.Table, min_words: int, plan, groups: int) -> pa.Table:
-    block = _Block(table, min_words, plan, groups)
+def _remove(table: pa.Table, answers: pa.Table, min_words: int, plan, groups: int, deal: int) -> pa.Table:
+    block = _Block(table, min_words, plan, groups, deal)
     elsewhere = np.zeros(len(block.leaf), dtype=bool)
-    for g, bits in zip(answers.column("grp").to_pylist(), answers.column("bits").to_pylist()):
+    for g, bits in zip(np.searchsorted(block.full, answers.column("grp").to_numpy()).tolist(), answers.column("bits").to_pylist()):
         lo, hi = block.cuts[g], block.cuts[g + 1]
         elsewhere[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
     gone = block.removed(elsewhere, min_words)
@@ -198,22 +231,23 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     Runs are judged on the input.  Null text counts as empty: zero words, empty
     ``kept``.  A null id is smaller than any other.  Rows of one id don't remove
     each other's words, so repeated rows get equal results.  The columns named in
-    ``carry`` come back unchanged after these; others are ignored.  ``block_bytes`` of text, on average, and ``group_words`` suffixes bound what
-    one task holds, but for a longer single document; past 1,024 blocks (8 GB of text
-    at 8 MB) blocks grow with the input.
+    ``carry`` come back unchanged after these; others are ignored.  ``block_bytes``
+    of text, on average, and ``group_words`` suffixes bound what one task holds,
+    but for a longer single document; rows of one id are in one block.
     """
     rest = F.struct(F.lit(True).alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
-    _, size, quantiles = corpus_size(docs)
-    blocks = max(1, -(-size // block_bytes))
+    _, size = corpus_size(docs)
     n_words = size // 6  # only sizes groups
     groups = max(4, -(-n_words // group_words))
-    plan = prefix_plan(docs, min_words, max(1000, n_words // (4 * groups)), n_words)
-    blocked = docs.withColumn("block", range_block(quantiles, blocks)).repartition(blocks, "block")
-    leaves = blocked.groupBy("block").applyInArrow(lambda t: trim(_send(t, min_words, plan, groups)), "grp int, block int, leaves binary")
+    capacity = max(1000, n_words // (4 * groups))
+    plan, deal = prefix_plan(docs, min_words, capacity, n_words), -(-int(n_words * LEAST_SHARE) // capacity)
+    blocked, blocks = with_blocks(docs, block_bytes)
+    blocked = blocked.repartition(blocks, "block")
+    leaves = blocked.groupBy("block").applyInArrow(lambda t: trim(_send(t, min_words, plan, groups, deal)), "grp int, block int, leaves binary, others binary")
     answers = leaves.groupBy("grp").applyInArrow(lambda t: trim(_subtree(t)), "block int, grp int, bits binary")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["rest"], *T.StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>").fields])
-    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trim(_remove(t, a, min_words, plan, groups)), schema)
+    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trim(_remove(t, a, min_words, plan, groups, deal)), schema)
     return out.select("doc_id", "n_words", "n_removed", "kept", "spans", *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)))
 
 

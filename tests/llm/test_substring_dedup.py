@@ -1,8 +1,12 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from almagest.llm.common import with_blocks
 from almagest.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -57,3 +61,74 @@ def test_whole_small_table(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op1_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
     want = {i: (n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute([(r["doc_id"], r["text"]) for r in t], 13)}
     assert got == want and docs.count() == len(got)
+
+
+def thue_morse(size):
+    text = "a"
+    while len(text) < size:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_words_of_regular_build_differ(spark):
+    """Thue-Morse words meet under every polynomial modulo 2**64."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{head} {word}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_leaves_of_one_hash(spark, monkeypatch):
+    """Where the first hashes meet the second ones decide."""
+    from almagest.llm import substring_dedup as sd
+
+    real = sd.windows
+    flat = lambda h, r, w: ((lambda x, at: (x & np.uint64(1), at))(*real(h, r, w)))
+    rows = [(i, " ".join(f"{c}{j}" for j in range(6))) for i, c in enumerate("abcabdeea")]
+    table = pa.table({"block": pa.array([1] * 9, pa.int32()), "doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "rest": pa.nulls(9)})
+    calls = []
+
+    def both(h, r, w):
+        calls.append(1)
+        return flat(h, r, w) if len(calls) % 2 else real(h, r, w)
+
+    monkeypatch.setattr(sd, "windows", both)
+    block = sd._Block(table, 3, [], 4, 1)
+    assert len(block.leaf) == 5 * 4
+    sent = sd._send(table, 3, [], 4, 1)
+    for g in set(sent.column("grp").to_pylist()):
+        part = sent.filter(pc.equal(sent.column("grp"), g))
+        later = part.set_column(1, "block", pa.array([2] * len(part), pa.int32()))
+        bits = sd._subtree(pa.concat_tables([later, part])).to_pylist()
+        assert [set(np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=len(part.column("others")[0].as_py()) // 4).tolist()) for b in bits] == [{0}, {1}]
+
+
+@pytest.mark.parametrize("block_bytes", [1, 40, 700])
+def test_blocks_of_any_number(spark, block_bytes):
+    """More ranges than the first look has, ascending with doc_id, of bounded bytes."""
+    rows = [(i * i - 50, "x" * (i % 23)) for i in range(3000)] + [(None, "n"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocked, n = with_blocks(docs, block_bytes)
+    got = sorted((r.doc_id, r.block, len(r.text)) for r in blocked.where("doc_id is not null").collect())
+    blocks = [b for _, b, _ in got]
+    assert blocks == sorted(blocks) and len(got) == 3000 and min(blocks) >= 1 and max(blocks) < n
+    assert {r.block for r in blocked.where("doc_id is null").collect()} == {0}
+    size = {}
+    for _, b, k in got:
+        size[b] = size.get(b, 0) + k
+    assert max(size.values()) <= 3 * block_bytes + 100
+    if block_bytes == 1:
+        assert len(size) > 1024
+    assert with_blocks(docs.where("false"), 8)[0].collect() == []
+
+
+def test_leaves_are_dealt_on_past_the_plan(spark, monkeypatch):
+    from almagest.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "LEAST_SHARE", 0.9)
+    monkeypatch.setattr(sd, "max", lambda *x: 10 if x[0] == 1000 else max(*x), raising=False)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    got = substring_dedup(docs, 3, block_bytes=300, group_words=40).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(ROWS, 3)
