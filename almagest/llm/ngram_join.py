@@ -37,6 +37,8 @@ from almagest.sources.runtime import materialise
 FREQUENT = 1 / 1500
 _SALT = mix(np.arange(1, 6, dtype=np.uint64))
 TILE = 1024
+#: Bytes of text whose signatures a worker sorts at a time.
+SLICE = 6 << 20
 
 
 class SizeClasses:
@@ -53,13 +55,16 @@ class SizeClasses:
             differ = 2 * (self.low[k + 1] - 1) * (100 - self.percent) // (100 + self.percent)
             least, spare = self.low[max(k - 1, 0)], 0
             for _ in range(30):  # spare parts for those that chance leaves empty
+                if differ + 1 + spare > max(differ + 1, least // 2 * 4 // 3):  # more would hold an n-gram each
+                    spare = max(differ + 1, least // 2 * 4 // 3) - differ - 1
+                    break
                 parts = differ + 1 + spare
                 empty = parts * (1 - 0.7 / parts) ** least if parts > 1 else 0.0  # up to three tenths of a set may be frequent
                 spare = int(np.ceil(empty + 4 * np.sqrt(empty))) if empty > 1e-4 else 0
                 if differ + 1 + spare <= parts:
                     break
-            self.parts.append(parts)
-            self.spare.append(parts - differ - 1)
+            self.parts.append(differ + 1 + spare)
+            self.spare.append(spare)
         return self
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
@@ -68,8 +73,8 @@ class SizeClasses:
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, n-gram hash), distinct and in order; a text of fewer words has its whole sequence."""
-    starts, _, rows = words(data, offsets)
-    hashes = word_hashes(data, starts, lower=True)
+    starts, ends, rows = words(data, offsets)
+    hashes = word_hashes(data, starts, ends, lower=True)
     grams, first = windows(hashes, rows, n)
     where, found = [rows[first]], [grams]
     count = np.bincount(rows, minlength=len(offsets) - 1)
@@ -127,9 +132,16 @@ def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes:
 _PROFILE = "kind int, doc_id long, n long, k1 long, k2 long, shard int, keys binary, ids binary"
 
 
+def _sliced(batches, limit: int):
+    """The batches in pieces of about ``limit`` bytes of text; a longer text is a piece of its own."""
+    for batch in batches:
+        for lo, hi in chunked(text_bytes(batch.column("text"))[1], limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def _frequent(batches, n: int):
     """N-grams that more than their share of a batch's documents have (more than five at least); a frequent one is so in some batch."""
-    for batch in batches:
+    for batch in _sliced(batches, 4 * SLICE):
         data, offsets = text_bytes(batch.column("text"))
         parts = [sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)[1] for lo, hi in chunked(offsets)]
         for quarter in range(4 if parts else 0):  # a quarter of the n-grams is sorted at a time
@@ -151,7 +163,7 @@ def frequent_grams(docs: DataFrame, n: int, n_docs: int) -> np.ndarray:
 def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
     """Per batch: a row (kind 0) per document; signatures with their least document (1); ties within the batch (2)."""
     classes = SizeClasses(percent)
-    for batch in (b.slice(lo, 4000) for b in batches for lo in range(0, len(b), 4000)):
+    for batch in _sliced(batches, SLICE):
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("doc_id")
         known = np.asarray(ids.is_valid())
@@ -180,23 +192,34 @@ def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
         least = doc[at][np.cumsum(new) - 1] if len(at) else doc
-        ties = np.unique(np.stack([doc[doc != least], least[doc != least]], axis=1), axis=0)
+        ties = _distinct(doc[doc != least], least[doc != least])
         doc, key = doc[at], key[at]
         shard = (key % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         doc, key, shard = doc[order], key[order], shard[order]
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        sent = [(s, pack_sorted(key[a:b]), np.ascontiguousarray(doc[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        kinds = [1] * len(sent) + [2] * (len(ties) > 0)
-        keys = [s[1] for s in sent] + [ties[:, 0].astype("<i8").tobytes()] * (len(ties) > 0)
-        others = [s[2] for s in sent] + [ties[:, 1].astype("<i8").tobytes()] * (len(ties) > 0)
+        at = np.flatnonzero(np.diff(shard, prepend=-1))
+        spans = zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shard)])
+        sent = [(s, pack_sorted(key[a:b]), np.ascontiguousarray(doc[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for s, a, b in spans]
+        some = len(ties[0]) > 0
+        kinds = [1] * len(sent) + [2] * some
+        keys = [s[1] for s in sent] + [ties[0].astype("<i8").tobytes()] * some
+        others = [s[2] for s in sent] + [ties[1].astype("<i8").tobytes()] * some
         none = pa.nulls(len(kinds), pa.int64())
-        rows.append((pa.array(kinds, pa.int32()), none, none, none, none, pa.array([s[0] for s in sent] + [None] * (len(ties) > 0), pa.int32()), pa.array(keys, pa.binary()), pa.array(others, pa.binary())))
+        rows.append((pa.array(kinds, pa.int32()), none, none, none, none, pa.array([s[0] for s in sent] + [None] * some, pa.int32()), pa.array(keys, pa.binary()), pa.array(others, pa.binary())))
         for columns in rows:
             yield pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in _PROFILE.split(", ")])
         trim()
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (a, b), in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -217,12 +240,11 @@ def _shard(table: pa.Table) -> pa.Table:
     new[1:] = keys[1:] != keys[:-1]
     least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
     some = ids != least
-    found = np.unique(np.stack([ids[some], least[some]], axis=1), axis=0)
-    return _pairs(found[:, 0], found[:, 1])
+    return _pairs(*_distinct(ids[some], least[some]))
 
 
 def _sets(batches, n: int):
-    for batch in (b.slice(lo, 2000) for b in batches for lo in range(0, len(b), 2000)):
+    for batch in _sliced(batches, SLICE // 2):
         data, offsets = text_bytes(batch.column("text"))
         raw = []
         for lo, hi in chunked(offsets):
@@ -312,7 +334,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     of one id are one document.  Other columns are ignored.
     """
     docs = id_text(docs, id_col, text_col)
-    n_docs, size, _ = corpus_size(docs, 2)
+    n_docs, size = corpus_size(docs)
     frequent = frequent_grams(docs, n, n_docs)
     shards = max(4, -(-size // (24 << 20)))
     profile = materialise(docs.mapInArrow(lambda it: _profile(it, n, percent, shards, frequent), _PROFILE), "ngram-profile")
@@ -322,10 +344,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     family = connected_components(ties.unionByName(far), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
     members = materialise(rows.where("doc_id is not null and n > 0").distinct().join(family, "doc_id"), "ngram-members")
-    same = ["family", "n", "k1", "k2"]
-    classes = members.groupBy(*same).agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("copies"))
-    copies = members.join(classes.where("copies > 1"), same).where("doc_id != first").select("doc_id", "first")
-    firsts = materialise(classes.select("family", "n", F.col("first").alias("doc_id"), "copies"), "ngram-classes")
+    # copies are tied to the least of their part, and those to the least of all, so no task gets all copies of a text
+    same, parted = ["family", "n", "k1", "k2"], ["family", "n", "k1", "k2", "part"]
+    members = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16 * shards)).cast("int"))
+    parts = members.groupBy(*parted).agg(F.min("doc_id").alias("local"), F.countDistinct("doc_id").alias("copies"))
+    classes = parts.groupBy(*same).agg(F.min("local").alias("first"), F.sum("copies").alias("copies"))
+    parts = materialise(parts.join(classes.withColumnRenamed("copies", "all"), same), "ngram-parts")
+    classes = materialise(classes, "ngram-classes")
+    copies = members.join(parts.where("copies > 1").select(*parted, "local"), parted).where("doc_id != local").select("doc_id", F.col("local").alias("first"))
+    copies = copies.unionByName(parts.where("local != first").select(F.col("local").alias("doc_id"), "first"))
+    firsts = classes.select("family", "n", F.col("first").alias("doc_id"), "copies")
 
     by_size = firsts.groupBy("family", "n").agg(F.count("*").alias("here"))
     order = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -348,8 +376,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     edges = linked.select("doc_id", F.col("least").alias("first")).unionByName(copies)
     component = connected_components(edges, "doc_id", "first").select(F.col("node").alias("doc_id"), "component")
     links = linked.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    per_class = classes.join(links.withColumnRenamed("doc_id", "first"), "first", "left").select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    n_links = members.join(per_class, same).groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+    per_part = parts.join(links.withColumnRenamed("doc_id", "first"), "first", "left").select(*parted, (F.coalesce("links", F.lit(0)) + F.col("all") - 1).alias("n_links"))
+    n_links = members.join(per_part, parted).groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
     out = rows.join(component, "doc_id", "left").join(n_links, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -110,3 +110,32 @@ def test_empty_table(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(nj.op2_ngram_jaccard_join(spark, "/root/testdata/sf0.001")) == brute(rows, 3, 90)
+
+
+def test_words_of_regular_build_differ(spark):
+    """Thue-Morse words meet under every polynomial modulo 2**64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{head} {word}"), (2, head.replace("w0", word.translate(str.maketrans("ab", "ba")))), (3, word), (4, word.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(nj.ngram_jaccard_join(docs, 3, 90)) == brute(rows, 3, 90)
+
+
+def test_parts_hold_several_grams():
+    """A set's signatures stay fewer than its n-grams."""
+    for percent in (80, 90):
+        r, classes = random.Random(percent), nj.SizeClasses(percent)
+        grams = np.array(sorted({r.getrandbits(64) for _ in range(300)}), dtype=np.uint64)
+        where, _ = nj.signatures(np.zeros(300, np.int64), grams, np.array([300]), classes)
+        assert len(where) < 300
+
+
+def test_many_copies_and_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(nj, "SLICE", 2000)
+    base = " ".join(f"w{i}" for i in range(60))
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(i, base) for i in range(300)] + [(1000 + i, f"{shared} " + " ".join(f"u{i}-{j}" for j in range(i % 40))) for i in range(200)] + [(2000 + i, base + f" tail{i % 3}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(nj.ngram_jaccard_join(docs)) == brute(rows, 5, 80)
