@@ -2,48 +2,55 @@
 
 Documents are encoded, closed with an end id, and laid end to end in ascending
 doc_id order.  Each doc_id range is one file: record batches with a
-fixed-size-list column ``ids`` and a fixed-size-list column ``mask`` (true for a
-token, false for the padding after the range's last token), a whole number of
-sequences a batch.  A fixed-size list has no offsets, so sequence ``k`` of a
-memory-mapped file lies at a known place and is read without a copy.
+fixed-size-list column ``ids`` and a fixed-size-list column ``mask`` (0 for the
+padding after the range's last token, 1 for a token, 2 for a document's last one).
+The documents' ids are in the schema's metadata, so a file tells all about the
+documents in it.  All batches but the last have one size and a fixed-size list has
+no offsets, so sequence ``k`` of a memory-mapped file lies at a place that
+follows from ``k``, and is read there without a copy.
 """
 
 from __future__ import annotations
 
 import posixpath
+import unicodedata
+import uuid
+import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import public_tokenizers
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunked, corpus_size, id_text, range_block, text_bytes, trim
+from almagest.llm.common import chunked, distinct_words, id_text, text_bytes, trim, with_blocks, words
 from almagest.sources.runtime import materialise, new_path
 
+PADDING, TOKEN, LAST = 0, 1, 2
+
+
 class _Memo(dict):
-    """Ids of runs without ASCII white space, lower-cased: no match of the tokenizer's pattern spans such white space.
+    """Ids of runs without ASCII white space: no match of the tokenizer's pattern, and no composed character, spans such white space.
 
     Two generations bound the memory: runs not met since the last change of
     generation are forgotten.
     """
 
-    LIMIT = 650_000
-    _TAIL = ".,;:!?"
-    _MARK = " \x01 "  # a match of its own between words of letters
+    LIMIT = 400_000
+    _TAIL = b".,;:!?"
+    _MARK = " \x01 "  # a match of its own between words of letters; no letter has its byte
 
     def __init__(self, path: str, dtype):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
         self.older: dict[bytes, bytes] = {}
-        self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
+        (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
 
     def _encode(self, runs: list[str]) -> None:
         """The library's ids of each run; words of letters are given to it many at a time."""
@@ -61,7 +68,7 @@ class _Memo(dict):
             for run, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 self[run.encode()] = np.array(e.ids, dtype=self.dtype).tobytes()
 
-    def _missing(self, runs: set) -> list[bytes]:
+    def _missing(self, runs) -> list[bytes]:
         new, older = [], self.older
         for run in runs:
             if run not in self:
@@ -72,17 +79,26 @@ class _Memo(dict):
                     self[run] = known
         return new
 
-    def learn(self, runs: set) -> dict:
-        """Makes sure that all of ``runs`` are known."""
+    @staticmethod
+    def _apart(core: bytes) -> bool:
+        """Whether marks after ``core`` are matched apart: as the tokenizer sees it, it ends in a letter (of a script that all Unicode versions have alike)."""
+        if not core:
+            return False
+        if core[-1] < 0x80:
+            return core[-1:].isalpha()
+        last = unicodedata.normalize("NFC", core.decode()).lower()[-1]
+        return last.isalpha() and ord(last) < 0x530
+
+    def learn(self, runs: list[bytes]) -> dict:
+        """Makes sure that all of ``runs``, which are distinct, are known."""
         if len(self) > self.LIMIT:
             self.older = dict(self)
             self.clear()
         cores, joined = set(), []
         for run in self._missing(runs):
-            text = run.decode()
-            core = text.rstrip(self._TAIL)
-            if core and len(core) < len(text) and core[-1].isalpha():  # a letter and these marks are matched apart
-                joined.append((run, core.encode(), text[len(core) :].encode()))
+            core = run.rstrip(self._TAIL)
+            if len(core) < len(run) and self._apart(core):
+                joined.append((run, core, run[len(core) :]))
                 cores.update(joined[-1][1:])
             else:
                 cores.add(run)
@@ -100,117 +116,170 @@ def _memo(path: str, dtype: str) -> _Memo:
     return _Memo(path, dtype)
 
 
-def encode_texts(column: pa.Array, path: str, end_id: int, dtype: str) -> list[bytes]:
-    """Ids of each text with the end id, as bytes of ``dtype``."""
-    memo, out, end = _memo(path, dtype), [], np.array([end_id], dtype=dtype).tobytes()
+def _joined(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` from each place, end to end."""
+    ends = np.cumsum(size)
+    return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - ends + size, size)]
+
+
+def encode_texts(column: pa.Array, path: str, end_id: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each with the end id, end to end; and the number of ids of each text.
+
+    Equal to the library's own on every text, its special tokens included; the
+    library sees each distinct run once.
+    """
+    memo, kind = _memo(path, dtype), np.dtype(dtype)
     data, offsets = text_bytes(column)
-    raw = data.tobytes()
+    out, sizes = [], []
     for lo, hi in chunked(offsets, 4 << 20):
-        texts = [raw[offsets[i] : offsets[i + 1]].lower().split() for i in range(lo, hi)]  # the normaliser lower-cases too
-        known = memo.learn(set().union(*texts))
-        out += [b"".join(map(known.__getitem__, runs)) + end for runs in texts]
-    return out
+        part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, ends, rows = words(part, cuts)
+        first, which = distinct_words(part, starts, ends)
+        raw = part.tobytes()
+        runs = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        known = memo.learn(runs)
+        found = [known[r] for r in runs]
+        length = np.array([len(f) for f in found] + [kind.itemsize], dtype=np.int64) // kind.itemsize
+        pool = np.frombuffer(b"".join(found) + np.array([end_id], kind).tobytes(), dtype=kind)
+        count = np.bincount(rows, minlength=hi - lo)
+        token = np.full(len(rows) + hi - lo, len(first), dtype=np.int64)  # the end id closes each text
+        closing = np.cumsum(count + 1) - 1
+        inside = np.ones(len(token), dtype=bool)
+        inside[closing] = False
+        token[inside] = which
+        size = length[token]
+        out.append(_joined(pool, (np.cumsum(length) - length)[token], size))
+        sizes.append(np.diff(np.cumsum(size)[closing], prepend=0))
+    return (np.concatenate(out), np.concatenate(sizes)) if out else (np.zeros(0, kind), np.zeros(0, np.int64))
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_stream(store: fs.FileSystem, path: str, ids: np.ndarray, length: int, per_batch: int = 512) -> None:
-    """One Arrow stream file; the last sequence is padded with zeros and masked."""
-    rows = -(-len(ids) // length)
-    kind = pa.from_numpy_dtype(ids.dtype)
-    schema = pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
+def write_stream(store: fs.FileSystem, path: str, ids: np.ndarray, sizes: np.ndarray, doc_ids: pa.Array, length: int, per_batch: int = 512) -> None:
+    """One Arrow stream file of documents of ``sizes`` ids; the last sequence is padded with zeros.
+
+    The file is written aside and then renamed, so a reader never sees a part of
+    it; a task that runs again replaces it by an equal one.
+    """
+    rows, kind = -(-len(ids) // length), pa.from_numpy_dtype(ids.dtype)
+    about = {"doc_ids": doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes(), "known": np.packbits(np.asarray(doc_ids.is_valid())).tobytes(), "n_ids": str(len(ids))}
+    schema = pa.schema([(c, pa.list_(pa.field("item", k, False), length)) for c, k in (("ids", kind), ("mask", pa.uint8()))], metadata=about)
+    full = np.zeros(rows * length, dtype=ids.dtype)
+    full[: len(ids)] = ids
+    mask = np.zeros(rows * length, dtype=np.uint8)
+    mask[: len(ids)] = TOKEN
+    mask[np.cumsum(sizes) - 1] = LAST
     store.create_dir(posixpath.dirname(path), recursive=True)
-    with store.open_output_stream(path) as sink, pa.ipc.new_stream(sink, schema) as out:
-        for lo in range(0, rows, per_batch):
-            part = ids[lo * length : (lo + per_batch) * length]
-            full = -(-len(part) // length) * length
-            mask = np.ones(full, dtype=bool)
-            if full > len(part):
-                mask[len(part) :] = False
-                part = np.concatenate([part, np.zeros(full - len(part), dtype=ids.dtype)])
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=schema.field(c).type) for c, x in (("ids", part), ("mask", mask))]
+    aside = f"{posixpath.dirname(path)}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(aside) as sink, pa.ipc.new_stream(sink, schema) as out:
+        for lo in range(0, rows * length, per_batch * length):
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[lo : lo + per_batch * length]), type=schema.field(c).type) for c, x in (("ids", full), ("mask", mask))]
             out.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
+    try:
+        store.move(aside, path)
+    except OSError:  # a store that does not replace: another run of the task has written the same
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(aside)
 
 
-def read_stream(store: fs.FileSystem, path: str) -> np.ndarray:
-    """The unmasked ids of one file in order."""
-    parts = []
+def read_stream(store: fs.FileSystem, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(doc_ids, sizes, ids) of one file: its documents' ids, their numbers of token ids, and those end to end."""
+    ids, masks = [], []
     with store.open_input_file(path) as source, pa.ipc.open_stream(source) as batches:
+        about = batches.schema.metadata
+        kind = batches.schema.field("ids").type.value_type.to_pandas_dtype()
         for batch in batches:
-            ids = batch.column("ids").flatten().to_numpy()
-            mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
-            parts.append(ids if mask.all() else ids[mask])
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint16)
-
-
-def sequence(source, k: int, per_batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``k`` of a memory-mapped or in-memory stream file and its mask; the ids are a view, not a copy."""
-    with pa.ipc.open_stream(source) as batches:
-        for at, batch in enumerate(batches):
-            if at == k // per_batch:
-                here = k % per_batch
-                return batch.column("ids").slice(here, 1).flatten().to_numpy(), batch.column("mask").slice(here, 1).flatten().to_numpy(zero_copy_only=False)
-    raise IndexError(k)
+            ids.append(batch.column("ids").flatten().to_numpy())
+            masks.append(batch.column("mask").flatten().to_numpy())
+    ids, mask = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, kind), (masks, np.uint8)))
+    numbers = np.frombuffer(about[b"doc_ids"], "<i8")
+    known = np.unpackbits(np.frombuffer(about[b"known"], np.uint8), count=len(numbers)).astype(bool)
+    sizes = np.diff(np.flatnonzero(mask == LAST) + 1, prepend=0)
+    return pa.array(numbers, mask=~known), sizes, ids[: int(sizes.sum())]
+
+
+def sequence(source: pa.NativeFile, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence ``k`` of a memory-mapped or in-memory stream file and its mask: views into it, at a computed place."""
+    source.seek(0)
+    schema = pa.ipc.read_schema(source)
+    head = source.tell()
+    first = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    step = source.tell() - head  # every batch but the last is as large
+    at, here = divmod(k, len(first))
+    if at and head + at * step >= source.size():
+        raise IndexError(k)
+    source.seek(head + at * step)
+    try:
+        message = pa.ipc.read_message(source)
+    except EOFError:
+        raise IndexError(k) from None
+    batch = pa.ipc.read_record_batch(message, schema)
+    if here >= len(batch):
+        raise IndexError(k)
+    return tuple(batch.column(c).slice(here, 1).flatten().to_numpy() for c in ("ids", "mask"))
 
 
 def _write_range(table: pa.Table, folder: str, path: str, end_id: int, length: int, dtype: str) -> pa.Table:
-    """Encodes one doc_id range and writes its file; the name is that of the range, so a task that runs again replaces it."""
+    """Encodes one doc_id range and writes its file."""
     number = table.column("block")[0].as_py()
     ids = pc.fill_null(table.column("doc_id"), np.iinfo(np.int64).min)
-    table = table.append_column("order", ids).sort_by([("order", "ascending"), ("text", "ascending")])
-    raw = encode_texts(table.column("text"), path, end_id, dtype)
+    table = table.append_column("order", ids).append_column("words", pc.fill_null(table.column("text"), "")).sort_by([("order", "ascending"), ("words", "ascending")])
+    ids, sizes = encode_texts(table.column("words"), path, end_id, dtype)
     store, base = _filesystem(folder)
-    name = f"{base}/ids-{number:08d}.arrow"
-    write_stream(store, name, np.frombuffer(b"".join(raw), dtype=dtype), length)
-    size = np.dtype(dtype).itemsize
-    return pa.table({"block": table.column("block"), "place": pa.array(np.arange(len(raw)), pa.int64()), "doc_id": table.column("doc_id"), "n_tokens": pa.array([len(r) // size for r in raw], pa.int64()), "file": pa.array([name] * len(raw))})
+    name = f"ids-{number:08d}.arrow"
+    write_stream(store, f"{base}/{name}", ids, sizes, table.column("doc_id").combine_chunks(), length)
+    return pa.table({"block": pa.array([number], pa.int32()), "file": [f"{folder}/{name}"], "n_ids": pa.array([len(ids)], pa.int64())})
+
+
+_READ = {"ids": "doc_id long, start long, n_tokens long, ids binary", "crc32": "doc_id long, start long, n_tokens long, ids_crc32 long"}
 
 
-def _read_range(table: pa.Table, folder: str) -> pa.Table:
-    """The documents of one range out of its file; ``base`` ids lie in the files before it."""
-    table = table.sort_by([("place", "ascending")])
-    store, _ = _filesystem(folder)
-    ids = read_stream(store, table.column("file")[0].as_py()).astype("<u4")
-    sizes = table.column("n_tokens").to_numpy()
-    ends = np.cumsum(sizes)
-    raw, cuts = ids.tobytes(), (ends * 4).tolist()
-    parts = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-    return pa.table({"doc_id": table.column("doc_id"), "start": pa.array(ends - sizes + table.column("base").to_numpy(), pa.int64()), "n_tokens": table.column("n_tokens"), "ids": pa.array(parts, pa.binary())})
+def _read_files(batches, digest: bool):
+    """The documents of each file; ``base`` ids lie in the files before it."""
+    for batch in batches:
+        for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+            numbers, sizes, ids = read_stream(*_filesystem(name))
+            raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes)
+            spans = list(zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist()))
+            last = pa.array([zlib.crc32(raw[a:b]) for a, b in spans], pa.int64()) if digest else pa.array([bytes(raw[a:b]) for a, b in spans], pa.binary())
+            yield pa.RecordBatch.from_arrays([numbers, pa.array(ends - sizes + base, pa.int64()), pa.array(sizes, pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+            trim()
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2, length: int = 2048, dtype: str = "<u2", folder: str | None = None, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """Write the files; return the index (block, place, doc_id, n_tokens, file) and the folder.
+    """Write the files; return the list of them (block, file, n_ids), whose order is that of the documents, and the folder.
 
     ``folder`` is one that driver and executors share (by default under
     spark.checkpoint.dir); ``dtype`` must hold every id.  Null text counts as
     empty: it gives the end id alone.  Null ids come first; rows of one id are
-    ordered by their text.  An empty table writes no file.
+    ordered by their text.  An empty table writes no file.  ``block_bytes`` of
+    text make a file, a longer document alone or rows of one id excepted.  Special
+    tokens in a text get their ids, as the library has it.
     """
     docs = id_text(docs, id_col, text_col)
-    _, size, quantiles = corpus_size(docs)
     folder = folder or new_path(docs.sparkSession, "token-files")
-    blocks = max(1, -(-size // block_bytes))
-    blocked = docs.withColumn("block", range_block(quantiles, blocks)).repartition(2 * blocks, "block")
-    index = blocked.groupBy("block").applyInArrow(lambda t: trim(_write_range(t, folder, path, end_id, length, dtype)), "block int, place long, doc_id long, n_tokens long, file string")
-    return materialise(index, "token-index"), folder
+    blocked, blocks = with_blocks(docs, block_bytes)
+    written = blocked.repartition(2 * blocks, "block").groupBy("block").applyInArrow(lambda t: trim(_write_range(t, folder, path, end_id, length, dtype)), "block int, file string, n_ids long")
+    return materialise(written, "token-index"), folder
 
 
-def read_token_files(index: DataFrame, folder: str) -> DataFrame:
-    """One row (doc_id, start, n_tokens, ids) per document, read back from the files.
+def read_token_files(files: DataFrame, digest: bool = False) -> DataFrame:
+    """One row (doc_id, start, n_tokens, ids) per document, all read back from the files.
 
     ``start`` counts the ids of all documents before it; ``ids`` are
-    little-endian unsigned 32-bit integers.
+    little-endian unsigned 32-bit integers, or with ``digest`` their unsigned
+    crc32 as ids_crc32.  No files: no rows.
     """
-    sizes = index.groupBy("block").agg(F.sum("n_tokens").alias("n"))  # one row a file
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("block", before.alias("base"))
-    rows = index.join(starts, "block").groupBy("block")
-    return rows.applyInArrow(lambda t: trim(_read_range(t, folder)), "doc_id long, start long, n_tokens long, ids binary")
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    starts = materialise(files.select("block", "file", before.alias("base")), "token-starts")
+    n = starts.count()
+    return starts.repartition(max(1, min(n, 4096)), "block").select("file", "base").mapInArrow(lambda it: _read_files(it, digest), _READ["crc32" if digest else "ids"])
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index, folder = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(index, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files, _ = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(files, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
