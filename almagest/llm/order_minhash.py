@@ -3,98 +3,93 @@
 A text is the sequence of its k-mers (``k`` words each; the last ones end with
 end marks, so that every text has one).  Equal k-mers are numbered by
 occurrence.  For each of ``components`` orders the ``tuple_size`` least numbered
-k-mers are taken, put back into text order and hashed as a tuple, so a component
-agrees only where both the content and its order agree.  The share of equal
-components estimates how near two texts are in edits.
-
-The orders are rotations of one hash order: the least k-mers of order i are those
-that follow point i on the ring of hash values.  One sort of the k-mers with the
-points among them therefore serves all orders.  With ``numbered`` the hash is that
-of a k-mer and its occurrence number, so a k-mer that occurs often is drawn often,
-while the tuple holds the k-mers alone.  (Occurrences are told apart by the high 40
-bits of the k-mer's hash, 33 in texts of more than 2**24 words.)  Without it copies
-of a k-mer lie side by side and no order reads beyond the first ones, so how often
-a k-mer occurs is lost.  Everything is an array expression on one row: no join, no
+k-mers are taken, put back into text order and hashed as a tuple (of the k-mers
+alone), so a component agrees only where both the content and its order agree.  The
+share of equal components estimates how near two texts are in edits.
+
+Orders come in twos: order 2i sorts by a hash of (k-mer, occurrence number, i), and
+order 2i + 1 is its reverse, as random as itself; hashes of different i are
+independent.  Everything is an array expression on one row: no join, no
 explosion into rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import corpus_size, id_text, range_block
+from almagest.llm.common import id_text, with_blocks
+
+#: Bits that hold a k-mer's place while equal ones are numbered; longer texts take the wide ones.
+_PLACE, _WIDE_PLACE = (1 << 24) - 1, (1 << 31) - 1
 
-_PLACE_BITS = 24  # places of longer texts are equal modulo 2**24 words
-_PLACE = (1 << _PLACE_BITS) - 1
-_WIDE_PLACE = (1 << 31) - 1
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def _hashes(text: Column) -> Column:
-    return F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
 
+def _kmers(text: Column, k: int) -> Column:
+    words = F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
+    return _let(words, lambda w: F.transform(w, lambda h, i: F.xxhash64(h, *(F.coalesce(F.get(w, i + F.lit(d)), F.lit(0).cast("long")) for d in range(1, k)))))
 
-def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64, numbered: bool = False) -> DataFrame:
-    """Add, for each text column, an array<long> of ``components`` hashes under the name it maps to.
 
-    Null text gives null.  The columns must be plain ones; names that begin with
-    ``_omh`` are used on the way and must not occur.
+def _numbered(kmers: Column) -> Column:
+    """A hash of each k-mer and its occurrence number, in no certain order, with its place: array<struct<u, p>>.
+
+    Copies are found by sorting the high 40 bits of the k-mers' hashes (33 in texts
+    of more than 2**24 words), the place in the bits below.
     """
-    kept = df.columns
-    points = F.array(*(F.lit(-(1 << 63) + i * ((1 << 64) // components) & ~_WIDE_PLACE) for i in range(components)))
-    names = list(enumerate(columns))
-    df = df.select(*kept, *(_hashes(F.col(c)).alias(f"_omh_w{j}") for j, c in names))
 
-    def kmers(words: str) -> Column:
-        w = F.col(words)
-        return F.transform(w, lambda h, i: F.xxhash64(h, *(F.coalesce(F.get(w, i + F.lit(d)), F.lit(0).cast("long")) for d in range(1, k))))
+    def ranked(h: Column, place: Column) -> Column:
+        key = lambda x: x.bitwiseAND(F.bitwise_not(place))
+        line = F.sort_array(F.transform(h, lambda x, i: key(x).bitwiseOR(i.cast("long"))))
 
-    def place(j: int) -> Column:
-        """The bits that hold a k-mer's place."""
-        return F.col(f"_omh_m{j}")
+        def runs(s: Column) -> Column:
+            first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(s, i - 1))), i).otherwise(-1)), lambda i: i >= 0)
+            several = lambda firsts: F.flatten(F.transform(firsts, lambda at, r: F.transform(F.slice(s, at + 1, F.coalesce(F.get(firsts, r + 1), F.size(s)) - at), lambda x, n: numbered(x, n))))
+            return _let(first, lambda firsts: F.when(F.size(firsts) == F.size(s), F.transform(s, lambda x: numbered(x, F.lit(0)))).otherwise(several(firsts)))
 
-    def packed(j: int) -> Column:
-        h = F.col(f"_omh_h{j}")
-        return F.when(F.size(h) > 0, F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(place(j))).bitwiseOR(i.cast("long") % place(j) + 1))))
+        def numbered(x: Column, n: Column) -> Column:
+            p = x.bitwiseAND(place).cast("int")
+            return F.struct(F.xxhash64(F.get(h, p), n).alias("u"), p.alias("p"))
 
-    def first_copies(j: int) -> Column:
-        s, key = F.col(f"_omh_s{j}"), lambda x: x.bitwiseAND(F.bitwise_not(place(j)))
-        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(s, i - 1))), i).otherwise(-1)), lambda i: i >= 0)
+        return _let(line, runs)
 
-    def by_occurrence(j: int) -> Column:
-        s, firsts = F.col(f"_omh_s{j}"), F.col(f"_omh_r{j}")
+    return _let(kmers, lambda h: _let(F.when(F.size(h) > _PLACE, F.lit(_WIDE_PLACE)).otherwise(F.lit(_PLACE)).cast("long"), lambda place: ranked(h, place)))
 
-        def run(at: Column, r: Column) -> Column:
-            copies = F.slice(s, at + 1, F.coalesce(F.get(firsts, r + 1), F.size(s)) - at)
-            return F.transform(copies, lambda x, n: F.xxhash64(x.bitwiseAND(F.bitwise_not(place(j))), n).bitwiseAND(F.bitwise_not(place(j))).bitwiseOR(x.bitwiseAND(place(j))))
 
-        return F.sort_array(F.flatten(F.transform(firsts, run)))
+def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64) -> DataFrame:
+    """Add, for each text column, an array<long> of ``components`` (an even number) hashes under the name it maps to.
 
+    Null text gives null; an empty text is one empty word.  The columns must be
+    plain ones; names that begin with ``_omh`` are used on the way and must not occur.
+    """
+    if components % 2 or components < 2:
+        raise ValueError("components must be even")
+    kept, names = df.columns, list(enumerate(columns))
     every = lambda *letters: [f"_omh_{x}{j}" for x in letters for j, _ in names]
-    df = df.select(*kept, *(kmers(f"_omh_w{j}").alias(f"_omh_h{j}") for j, _ in names))
-    bits = lambda j: F.when(F.size(f"_omh_h{j}") > _PLACE, F.lit(_WIDE_PLACE)).otherwise(F.lit(_PLACE)).cast("long") if numbered else F.lit(_PLACE).cast("long")
-    df = df.select(*kept, *every("h"), *(bits(j).alias(f"_omh_m{j}") for j, _ in names))
-    df = df.select(*kept, *every("h", "m"), *(packed(j).alias(f"_omh_s{j}") for j, _ in names))
-    if numbered:
-        df = df.select(*kept, *every("h", "m", "s"), *(first_copies(j).alias(f"_omh_r{j}") for j, _ in names))
-        df = df.select(*kept, *every("h", "m"), *(by_occurrence(j).alias(f"_omh_s{j}") for j, _ in names))
-    found = lambda j: F.filter(F.transform(F.sort_array(F.concat(F.col(f"_omh_s{j}"), points)), lambda x, i: F.when(x.bitwiseAND(place(j)) == 0, i).otherwise(-1)), lambda i: i >= 0)
-    df = df.select(*kept, *every("h", "m", "s"), *(found(j).alias(f"_omh_p{j}") for j, _ in names))
-
-    def component(j: int, at: Column, i: Column) -> Column:
-        s, h = F.col(f"_omh_s{j}"), F.col(f"_omh_h{j}")
-        n = F.size(s)
-        first = at - i  # k-mers before the point
-        least = F.array(*(F.get(s, (first + F.lit(d)) % n) for d in range(tuple_size)))
-        if numbered:
-            by_place = F.transform(F.sort_array(F.transform(least, lambda x: x.bitwiseAND(place(j)))), lambda x: F.get(h, (x - 1).cast("int")))
-        else:
-            by_place = F.transform(F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, _PLACE_BITS)))), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
-        return F.xxhash64(by_place, F.least(n, F.lit(tuple_size)))
-
-    def signature(j: int) -> Column:
-        return F.transform(F.col(f"_omh_p{j}"), lambda at, i: component(j, at, i))
+    df = df.select(*kept, *(_kmers(F.col(c), k).alias(f"_omh_h{j}") for j, c in names))
+    df = df.select(*kept, *every("h"), *(_numbered(F.col(f"_omh_h{j}")).alias(f"_omh_n{j}") for j, _ in names))
+    df = df.select(*kept, *every("h"), *(F.col(f"_omh_n{j}")[x].alias(f"_omh_{x}{j}") for x in "up" for j, _ in names))
+
+    def pair(j: int, i: int) -> Column:
+        """The tuples of order 2i and of its reverse."""
+        h, u, p = (F.col(f"_omh_{x}{j}") for x in "hup")
 
+        def tuple_hash(least: Column, t: Column) -> Column:
+            places = F.sort_array(F.transform(least, lambda v: F.get(p, (F.array_position(t, v) - 1).cast("int"))))
+            return F.xxhash64(F.transform(places, lambda at: F.get(h, at)))
+
+        def ends(t: Column) -> Column:
+            last = lambda s: F.slice(s, F.greatest(F.size(s) - tuple_size, F.lit(0)) + 1, tuple_size)
+            return _let(F.sort_array(t), lambda s: F.array(tuple_hash(F.slice(s, 1, tuple_size), t), tuple_hash(last(s), t)))
+
+        return _let(F.transform(u, lambda x: F.xxhash64(x, F.lit(i))), ends)
+
+    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.flatten(F.array(*(pair(j, i) for i in range(components // 2)))))
     return df.select(*kept, *(signature(j).alias(columns[c]) for j, c in names))
 
 
@@ -118,19 +113,12 @@ def with_next(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     come last, rows of one id in the order of their text.
     """
     docs = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    _, size, quantiles = corpus_size(docs)
-    blocks = max(1, -(-size // block_bytes))
-    base = docs.withColumn("block", range_block(quantiles, blocks))
-    heads = dict(map(tuple, base.groupBy("block").agg(F.max("doc_id")).collect()))  # one row a range
-    order = sorted(heads)
-    above = {heads[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # the range that continues with this document
-    rows = base.withColumn("ghost", F.lit(False))
-    if order:
-        ids = [i for i in above if i is not None]
-        wanted = F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if None in above else F.lit(False))
-        target = F.coalesce(*(F.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.lit(b)) for i, b in above.items()))
-        ghosts = docs.where(wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
-        rows = rows.unionByName(ghosts.select("doc_id", "text", target.alias("block"), F.lit(True).alias("ghost")))
+    base, blocks = with_blocks(docs, block_bytes)
+    heads = sorted(map(tuple, base.groupBy("block").agg(F.max("doc_id")).collect()))  # one row a range, of which there is a bounded number
+    above = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]  # the range that continues with this document
+    targets = docs.sparkSession.createDataFrame(above, "head long, target int")
+    ghosts = docs.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("doc_id", "target").agg(F.min("text").alias("text"))
+    rows = base.withColumn("ghost", F.lit(False)).unionByName(ghosts.select("doc_id", "text", F.col("target").alias("block"), F.lit(True).alias("ghost")))
     return rows.repartition(blocks, "block").withColumn("next_text", F.lead("text").over(_descending()))
 
 
@@ -145,10 +133,15 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 2, tuple_size: int = 2, components: int = 64) -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and both likenesses."""
+    """Per document: n_chars, edited_sha256, its fingerprint, that of its edited text, and both likenesses.
+
+    Null text counts as empty.  Null ids come last, rows of one id are ordered by
+    their text, and repeated rows are each other's next document.  One document
+    alone is its own next one; an empty table gives no rows.  Other columns are ignored.
+    """
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     rows = rows.select("doc_id", "block", "ghost", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    rows = fingerprints(rows, {"text": "a", "edited": "b"}, k, tuple_size, components, numbered=True)
+    rows = fingerprints(rows, {"text": "a", "edited": "b"}, k, tuple_size, components)
     rows = rows.withColumn("c", F.lead("a").over(_descending())).where(~F.col("ghost"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -39,22 +40,85 @@ def test_empty_and_single(spark):
     assert one.near_next == 1.0
 
 
+def brute(spark, texts, k, tuple_size, components):
+    """Order MinHash from its definition; only the hash function is Spark's."""
+    words = [re.split(r"[\x20\x09-\x0D]+", t) for t in texts]
+    ids = {w: h for w, h in spark.createDataFrame([(w,) for w in sorted({w for ws in words for w in ws})], "w string").select("w", F.xxhash64("w")).collect()}
+    grams = [[tuple(ids[w] for w in ws[i : i + k]) + (0,) * (i + k - len(ws)) for i in range(len(ws))] for ws in words]
+    every = sorted({g for gs in grams for g in gs})
+    hashes = {g: spark.createDataFrame([g], ", ".join(f"c{j} long" for j in range(k))).select(F.xxhash64(*(f"c{j}" for j in range(k)))).head()[0] for g in every}
+    numbered = [[(hashes[g], gs[:i].count(g)) for i, g in enumerate(gs)] for gs in grams]
+    pairs = spark.createDataFrame(sorted({x for line in numbered for x in line}), "h long, n int")
+    keys = {(r.h, r.n): r for r in pairs.select("h", "n", *(F.xxhash64(F.xxhash64("h", "n"), F.lit(i)).alias(f"k{i}") for i in range(components // 2))).collect()}
+    tuples = []
+    for line in numbered:
+        for i in range(components // 2):
+            order = sorted(range(len(line)), key=lambda p: keys[line[p]][f"k{i}"])
+            for least in (order[:tuple_size], order[-tuple_size:]):
+                tuples.append([line[p][0] for p in sorted(least)])
+    found = spark.createDataFrame([(j, t) for j, t in enumerate(tuples)], "j int, t array<long>").select("j", F.xxhash64("t")).collect()
+    flat = [h for _, h in sorted(map(tuple, found))]
+    return [flat[i * components : (i + 1) * components] for i in range(len(texts))]
+
+
 def test_against_brute_force(spark):
-    """Least occurrence-numbered k-mers of each rotated order, in text order, from the hashes Spark gives."""
-    texts = ["a b a b a c d e", "q", "the cat sat on the mat the cat sat"]
+    texts = ["a b a b a c d e", "q", "", "the cat sat on the mat the cat sat", "x " * 20, " a  b"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    m = 8
-    got = [r.f for r in omh.fingerprints(df, {"t": "f"}, 2, 2, m).collect()]
-    for text, f in zip(texts, got):
-        words = text.split()
-        pairs = spark.createDataFrame([(w, *(words[i + 1 : i + 2] or [None]), i) for i, w in enumerate(words)], "a string, b string, i int")
-        kmers = [(r.h & ~omh._PLACE, r.i) for r in pairs.select(F.xxhash64(F.xxhash64("a"), F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("b"))).alias("h"), "i").collect()]
-        for c in range(m):
-            point = -(1 << 63) + c * ((1 << 64) // m)
-            ring = sorted(kmers, key=lambda x: ((x[0] - point) % (1 << 64), x[1]))
-            least = [x[0] >> 24 & (1 << 40) - 1 for x in sorted((ring * 2)[:2], key=lambda x: x[1])]
-            want = spark.range(1).select(F.xxhash64(F.array(*(F.lit(v).cast("long") for v in least)), F.lit(min(2, len(words))))).head()[0]
-            assert f[c] == want
+    for k, size in ((2, 2), (1, 3)):
+        assert [r.f for r in omh.fingerprints(df, {"t": "f"}, k, size, 12).collect()] == brute(spark, texts, k, size, 12)
+    assert omh.fingerprints(df.select(F.lit(None).cast("string").alias("t")).limit(1), {"t": "f"}).head().f is None
+
+
+def test_components_of_short_texts_differ(spark):
+    """Orders are independent: a text of six k-mers has 15 pairs, and nearly all are drawn."""
+    df = spark.createDataFrame([("a b c d e f",), ("a b c d e f g h i",)], "t string")
+    got = [len(set(r.f)) for r in omh.fingerprints(df, {"t": "f"}, components=128).collect()]
+    assert got[0] >= 13 and got[1] >= 28
+
+
+def edits(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(line[j] + (x != y), line[j + 1] + 1, new[-1] + 1))
+        line = new
+    return line[-1]
+
+
+def test_likeness_ranks_by_edits(spark):
+    """Of texts with growing edit distance, moved blocks among them, likeness falls nearly as distance grows."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [base]
+    for n in (1, 3, 6, 12, 25, 50, 90):
+        other = list(base)
+        for _ in range(n):
+            at = r.randrange(len(other))
+            other[at : at + 1] = r.choice([[], [f"n{r.randrange(10**6)}"], [other[at], f"n{r.randrange(10**6)}"]])
+        texts.append(other)
+    texts += [base[60:] + base[:60], base[::-1]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "i int, t string")
+    found = {x.i: x.f for x in omh.fingerprints(df, {"t": "f"}, 1, 2, 256).collect()}
+    near = [sum(a == b for a, b in zip(found[0], found[i])) / 256 for i in range(len(texts))]
+    far = [edits(base, t) for t in texts]
+    assert near[0] == 1 and near[-1] < 0.1 and near[-2] < 0.75  # the same words in another order
+    same = [(a, b) for i, (a, x) in enumerate(zip(far[:8], near)) for b, y in zip(far[i + 1 : 8], near[i + 1 :]) if x <= y]
+    assert len(same) <= 2
+
+
+def chance(a, b):
+    """The probability that both least numbered word pairs of the two texts' union are common to them."""
+    sets = []
+    for text in (a, b):
+        words = [*re.split(r"[\x20\x09-\x0D]+", text), None]
+        seen, numbered = {}, set()
+        for pair in zip(words, words[1:]):
+            seen[pair] = seen.get(pair, 0) + 1
+            numbered.add((pair, seen[pair]))
+        sets.append(numbered)
+    common, union = len(sets[0] & sets[1]), len(sets[0] | sets[1])
+    return common * (common - 1) / (union * (union - 1)) if union > 1 else float(common)
 
 
 def test_equal_texts_and_edit_sensitivity(spark):
@@ -67,7 +131,10 @@ def test_equal_texts_and_edit_sensitivity(spark):
         assert (r.fingerprint == r.edited_fingerprint) <= (r.near_edited == 1)
     assert all(len(x) == 1 for x in by.values()) and len(rows) == len(texts)
     mean = lambda k: sum(r[k] for r in rows) / len(rows)
-    assert mean("near_edited") > 0.25 > 0.1 > mean("near_next")
+    want = {i: chance(t, e) for i, t, e, _ in neighbours(list(texts.items()))}
+    assert abs(mean("near_edited") - sum(want.values()) / len(want)) < 0.015 and mean("near_next") < 0.1
+    for r in rows:  # 64 draws: five deviations
+        assert abs(r.near_edited - want[r.doc_id]) < 5 * (0.25 / 64) ** 0.5
 
 
 def test_native(spark):
@@ -75,27 +142,6 @@ def test_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_numbered_against_brute_force(spark):
-    """The order key hashes the k-mer's high bits and its occurrence number; the tuple holds k-mers alone."""
-    texts = ["a b a b a c d e", "q", "the cat sat on the mat the cat sat", "x " * 40]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    m = 8
-    got = [r.f for r in omh.fingerprints(df, {"t": "f"}, 2, 2, m, numbered=True).collect()]
-    spark_hash = lambda *v: spark.range(1).select(F.xxhash64(*v)).head()[0]
-    for text, f in zip(texts, got):
-        words = [*re.split(" ", text), None]
-        pairs = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(zip(words, words[1:]))], "a string, b string, i int")
-        kmers = [r.h for r in pairs.orderBy("i").select(F.xxhash64(F.xxhash64("a"), F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("b"))).alias("h")).collect()]
-        rows = [(h & ~omh._PLACE, kmers[:i].count(h), i) for i, h in enumerate(kmers)]
-        keys = spark.createDataFrame(rows, "h long, n int, i int").select(F.xxhash64("h", "n").alias("key"), "i").collect()
-        for c in range(m):
-            point = -(1 << 63) + c * ((1 << 64) // m)
-            ring = sorted(((r.key & ~omh._PLACE) - point) % (1 << 64) for r in keys)
-            place = {((r.key & ~omh._PLACE) - point) % (1 << 64): r.i for r in keys}
-            least = [kmers[i] for i in sorted(place[x] for x in (ring * 2)[:2])]
-            assert f[c] == spark_hash(F.array(*(F.lit(v).cast("long") for v in least)), F.lit(min(2, len(kmers))))
-
-
 def test_repetition_counts_matter(spark):
     rows = [(1, "a b " * 10), (2, "a b " * 1000), (3, "a b " * 1000)]
     rows = {r.doc_id: r for r in omh.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
