@@ -94,20 +94,21 @@ def economic_class(status: Column, polarity: Column, modality: Column, factual:
 
 
 def parse_number(text: Column) -> Column:
-    """An exact decimal from text with thousand and decimal marks; NULL where the marks are ambiguous.
+    """The number that text denotes; NULL where it is none or its dots are ambiguous.
 
-    Blanks group thousands.  With both marks the last one is the decimal mark.  A
-    single mark followed by exactly three digits is ambiguous.
+    Blanks group thousands and marks at the end are dropped.  With both marks
+    commas group; commas alone group if three digits follow each, and else one is the
+    decimal mark; several dots group in the same way.  A sign and an exponent may stand.
     """
-    bare = F.regexp_replace(F.trim(text), "[\\s  ]", "")
-    dots, commas = F.regexp_count(bare, F.lit("\\.")), F.regexp_count(bare, F.lit(","))
-    as_number = (
-        F.when((dots > 0) & (commas > 0), F.when(F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), "."), F.when(bare.rlike(r"^\d{1,3}(\.\d{3})+,\d+$"), F.translate(F.regexp_replace(bare, r"\.", ""), ",", "."))).otherwise(F.when(bare.rlike(r"^\d{1,3}(,\d{3})+\.\d+$"), F.regexp_replace(bare, ",", ""))))
-        .when(dots + commas > 1, F.when(bare.rlike(r"^\d{1,3}([.,]\d{3})+$"), F.regexp_replace(bare, "[.,]", "")))
-        .when(dots + commas == 1, F.when(bare.rlike(r"^\d+[.,]\d{3}$") & ~bare.rlike(r"^0[.,]"), F.lit(None).cast("string")).when(bare.rlike(r"^\d+[.,]\d+$"), F.translate(bare, ",", ".")))
-        .when(bare.rlike(r"^\d+$"), bare)
-    )
-    return as_number.try_cast("decimal(38,10)")
+    bare = F.regexp_replace(F.regexp_replace(text, "[\\s\u00a0\u202f]", ""), "[.,]+$", "")
+    part = lambda k: F.regexp_extract(bare, r"^([+-]?)([0-9.,]+)([eE][+-]?[0-9]+)?$", k)
+    digits, no_commas = part(2), F.translate(part(2), ",", "")
+    grouped = lambda mark: digits.rlike(rf"^[0-9]{{1,3}}({mark}[0-9]{{3}})+$")
+    commas, dots = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
+    one = F.when((commas & dots) | grouped(","), no_commas).otherwise(F.translate(digits, ",", "."))
+    several = F.regexp_count(one, F.lit("[.]")) > 1
+    plain = F.when(~several, one).when(one.rlike(r"^[0-9]{1,3}([.][0-9]{3})+$"), F.translate(one, ".", ""))
+    return F.concat(part(1), plain, part(3)).try_cast("decimal(38,10)")
 
 
 def doi(text: Column) -> Column:
@@ -130,15 +131,24 @@ def plain_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
 
 
+# Words that tell a claim's polarity and modality.
+NEGATED = r"\b(?:not|no|never|cannot|can't|doesn't|didn't|don't|не|нет|невозможно|нельзя|без)\b"
+HYPOTHETICAL = r"\b(?:can|may|might|could|would|potentially|if|может|могут|могло|могли|способен|способна|способны|возможно|если|потенциально)\b"
+PLANNED = r"\b(?:will|plans?|planned|intends?|aims?|будет|будут|планир\w*|намерен\w*)\b"
+
+
+def claim_polarity(text: Column) -> Column:
+    return F.when(text.rlike("(?iU)" + NEGATED), "negated").otherwise("affirmed")
+
+
+def claim_modality(text: Column) -> Column:
+    """hypothetical before planned before reported."""
+    return F.when(text.rlike("(?iU)" + HYPOTHETICAL), "hypothetical").when(text.rlike("(?iU)" + PLANNED), "planned").otherwise("reported")
+
+
 def claim_context(text: Column) -> Column:
-    """negated, planned, hypothetical or reported, by the first rule that matches."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"\b(not|never|no longer|without)\b"), "negated")
-        .when(low.rlike(r"\b(plans?|planned|will|intends?)\b"), "planned")
-        .when(low.rlike(r"\b(may|might|could|potentially|expected)\b"), "hypothetical")
-        .otherwise("reported")
-    )
+    """struct<polarity, modality>, which are independent of each other."""
+    return F.struct(claim_polarity(text).alias("polarity"), claim_modality(text).alias("modality"))
 
 
 def section_role(heading: Column) -> Column:
@@ -150,13 +160,13 @@ def section_role(heading: Column) -> Column:
     return out.otherwise("body")
 
 
-def language_guess(text: Column) -> Column:
-    """Russian by the share of Cyrillic letters, English by common words, else unknown."""
+def language_guess(text: Column, markers: tuple[str, ...] = ("the", "and", "of", "with", "for")) -> Column:
+    """ru if three tenths of the letters are Cyrillic, en with two different marker words, else NULL."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    cyrillic = F.length(F.regexp_replace(text, r"[^\p{IsCyrillic}]", ""))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    markers = F.size(F.filter(words, lambda w: w.isin("the", "and", "of", "to", "in", "is")))
-    return F.when(cyrillic * 10 > letters * 3, "ru").when(markers >= 3, "en").otherwise("unknown")
+    cyrillic = F.length(F.regexp_replace(text, "[^\u0400-\u04ff]", ""))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))
+    found = F.size(F.array_intersect(words, F.array(*map(F.lit, markers))))
+    return F.when((letters > 0) & (cyrillic * 10 >= letters * 3), "ru").when(found >= 2, "en")
 
 
 def word_match(query: Column, name: Column) -> Column:

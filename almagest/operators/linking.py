@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almagest.functions import lexical
 from almagest.functions.expressions import arxiv, canonical_json, doi, package_name
 
 
@@ -47,54 +44,59 @@ def identifier_keys(scheme: Column, value: Column) -> Column:
     )
 
 
-_TWINS = str.maketrans("АВЕКМНОРСТХаеорсух", "ABEKMHOPCTXaeopcyx")  # fixed values: Cyrillic letters that look Latin
+@F.pandas_udf(T.StringType())
+def lexical_key(values: pd.Series) -> pd.Series:
+    """One key for spellings of one name, its words in their order."""
+    return values.map(lexical.lexical_key)
 
 
-def lexical_tokens(value: str | None) -> list[str]:
-    """Words of a name in compatibility form; twins of Latin letters folded, plurals cut, short all-capital words kept."""
-    text = unicodedata.normalize("NFKC", value or "").replace("+", " plus ").replace("&", " and ")
-    out = []
-    for word in re.findall(r"\w+", text):
-        latin = re.search("[A-Za-z]", word) or not re.search("[А-Яа-я]", word)
-        folded = word.translate(_TWINS) if latin else word
-        if len(folded) <= 5 and folded.isupper() and len(folded) > 1:
-            out.append(folded.lower())
-            continue
-        low = folded.casefold()
-        if len(low) > 4 and low.endswith("ies"):
-            low = low[:-3] + "y"
-        elif len(low) > 3 and low.endswith("s") and not low.endswith(("ss", "us", "is")):
-            low = low[:-1]
-        out.append(low)
-    return out
+@F.pandas_udf(T.StringType())
+def variant_reason(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Why two similar labels may mean different things, by the first rule that holds; NULL if none does."""
+    return pd.Series([lexical.variant_reason(a, b) for a, b in zip(left, right)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
-def lexical_key(values: pd.Series) -> pd.Series:
-    """Sorted distinct tokens; one key for spellings of one name."""
-    return values.map(lambda v: " ".join(sorted(set(lexical_tokens(v)))))
+def lexical_support(left: pd.Series, right: pd.Series) -> pd.Series:
+    """How two labels themselves confirm that they mean one thing; NULL if they don't."""
+    return pd.Series([lexical.lexical_support(a, b) for a, b in zip(left, right)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def variant_reason(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Why two labels are variants of each other, by the first rule that holds; NULL if none does."""
-
-    def one(a, b):
-        x, y = lexical_tokens(a), lexical_tokens(b)
-        if not x or not y:
-            return None
-        if sorted(x) == sorted(y):
-            return "same_words"
-        short, long = sorted((x, y), key=len)
-        if len(short) == 1 and len(long) > 1 and short[0] == "".join(w[0] for w in long):
-            return "acronym"
-        if "".join(x) == "".join(y):
-            return "spacing"
-        if difflib.SequenceMatcher(None, " ".join(x), " ".join(y)).ratio() >= 0.8:
-            return "spelling"
-        return None
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)])
+def identity_key(name: Column, kind: Column, codes: Column) -> Column:
+    """The key of a name of a concept: a country's code if it is one of the array ``codes``, else the lexical key."""
+    code = F.upper(F.trim(name))
+    return F.when((kind == "Country") & F.array_contains(codes, code), F.concat(F.lit("iso:"), code)).otherwise(lexical_key(name))
+
+
+# Kinds of one identity family, and their rank in it.
+KIND_FAMILIES = {"Technology": "technology", "Method": "technology", "Material": "technology", "Organization": "organization", "Company": "organization", "University": "organization"}
+KIND_RANKS = {"Material": 1, "Method": 2, "Technology": 3, "Organization": 1, "University": 2, "Company": 3}
+
+
+def _looked_up(values: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(v) for kv in values.items() for v in kv)), key)
+
+
+def kind_family(kind: Column) -> Column:
+    """The family in which kinds are one identity; other kinds are their own."""
+    return F.coalesce(_looked_up(KIND_FAMILIES, kind), kind)
+
+
+def settled_kinds(votes: DataFrame, concept: str, kind: str, current: str, family: Column | None = None, rank: Column | None = None, voted: tuple[str, ...] = ("technology",)) -> DataFrame:
+    """(concept, kind): in a ``voted`` family the kind with most votes, else the one of highest rank; ties go to the higher rank.
+
+    ``votes`` has a row a vote (concept, kind) and the concept's ``current`` kind,
+    which stays where no vote is of its family.  ``family`` and ``rank`` are
+    expressions over the kind column, by default those of concept kinds.
+    """
+    c = F.col(kind)
+    family_of = kind_family if family is None else lambda _: family
+    rank = F.coalesce(_looked_up(KIND_RANKS, c), F.lit(0)) if rank is None else rank
+    own = kind_family(F.col(current)) if family is None else F.col(current)
+    counted = votes.withColumn("_family", family_of(c)).withColumn("_own", own).where(c.isNotNull()).groupBy(concept, current, kind, "_family", "_own").agg(F.count("*").alias("_n"), F.max(rank).alias("_rank"))
+    weight = F.struct(F.when(F.col("_family").isin(*voted), F.col("_n")).otherwise(0).alias("n"), F.col("_rank").alias("rank"), c.alias("kind"))
+    best = F.max(F.when(F.col("_family") == F.col("_own"), weight))
+    return counted.groupBy(concept).agg(F.coalesce(best["kind"], F.first(current)).alias(kind))
 
 
 def organization_type(name: Column) -> Column:

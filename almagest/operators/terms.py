@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.functions.expressions import claim_context, parse_number
+from almagest.functions.expressions import claim_modality, claim_polarity, parse_number
 from almagest.operators.components import connected_components
 
 #: Scale words of amounts (fixed values).
@@ -56,13 +56,17 @@ def tag_domains(docs: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
 
 
 def find_names(docs: DataFrame, key: str, text: str, names: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """(key, concept, start, end): names (name, concept) in a text, longest first, not inside words; one that means several concepts is consumed and not reported."""
-    rows = names.select(F.lower("name").alias("name"), "concept").distinct().limit(bound + 1).toPandas()
+    """(key, concept, start, end): names (name, concept) in a text, longest first, not inside words; one that means several concepts is consumed and not reported.
+
+    Places are those of the text as it is; a letter whose small form is longer than itself stays as it is.
+    """
+    small = lambda t: t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    rows = names.where("name is not null").select("name", "concept").distinct().limit(bound + 1).toPandas()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} names")
     meaning: dict = {}
     for name, concept in zip(rows.name, rows.concept):
-        meaning.setdefault(name, set()).add(concept)
+        meaning.setdefault(small(name), set()).add(concept)
 
     def look(batches):
         import ahocorasick
@@ -75,7 +79,7 @@ def find_names(docs: DataFrame, key: str, text: str, names: DataFrame, bound: in
         for part in batches:
             out = []
             for k, t in zip(part["key"], part["text"]):
-                low, hits = (t or "").lower(), []
+                low, hits = small(t or ""), []
                 for end, name in automaton.iter(low) if meaning else ():
                     a, b = end + 1 - len(name), end + 1
                     if not (a and low[a - 1].isalnum()) and not (b < len(low) and low[b].isalnum()):
@@ -101,7 +105,7 @@ def generic_term(label: Column, phrases: tuple[str, ...], fillers: tuple[str, ..
 
 
 def rule_claims(sentences: DataFrame, names: DataFrame, connectors: dict[str, str], key: str, text: str) -> DataFrame:
-    """(key, subject, predicate, object, context): sentences with one name, a connector, and one name after it."""
+    """(key, subject, predicate, object, polarity, modality): sentences with one name, a connector, and one name after it."""
     found = find_names(sentences, key, text, names)
     pair = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "concept"))).alias("n")).where("size(n) = 2")
     rows = sentences.join(pair, key).withColumn("_between", F.lower(F.expr(f"substring({text}, n[0].end + 1, n[1].start - n[0].end)")))
@@ -109,7 +113,7 @@ def rule_claims(sentences: DataFrame, names: DataFrame, connectors: dict[str, st
     for pattern, name in reversed(connectors.items()):
         predicate = F.when(F.col("_between").rlike(pattern), name).otherwise(predicate)
     out = rows.withColumn("predicate", predicate).where("predicate is not null")
-    return out.select(key, F.expr("n[0].concept").alias("subject"), "predicate", F.expr("n[1].concept").alias("object"), claim_context(F.col(text)).alias("context"))
+    return out.select(key, F.expr("n[0].concept").alias("subject"), "predicate", F.expr("n[1].concept").alias("object"), claim_polarity(F.col(text)).alias("polarity"), claim_modality(F.col(text)).alias("modality"))
 
 
 def plan_works(keys: DataFrame, titles: DataFrame) -> DataFrame:

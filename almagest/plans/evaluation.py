@@ -154,9 +154,11 @@ def lexical_keys(spark, sf):
     return table(spark, sf, "part").select("p_partkey", li.lexical_key("p_name").alias("key"))
 
 
-@query("organization_types", """SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^\\p{L}\\p{N}]+', ' ', 'g'), '\\b(inc|ltd|llc|gmbh|corp|corporation|company|co|ag)\\b', '', 'g')) AS key FROM supplier""")
+@query("organization_types", r"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^\p{L}\p{N}]+', ' ', 'g'), '\b(inc|ltd|llc|gmbh|corp|corporation|company|co|ag)\b', '', 'g')) AS key,
+CASE WHEN regexp_matches(lower(s_name), '\b(univ\w*|college|institute|école|hochschule)\b') THEN 'university' WHEN regexp_matches(lower(s_name), '\b(inc|ltd|llc|gmbh|corp|ag|s\.a)\b\.?') THEN 'company' ELSE 'organization' END AS type FROM supplier""")
 def organization_types(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", li.company_key(F.col("s_name")).alias("key"))
+    """Suppliers' names as keys, and what kind of organization each tells of."""
+    return table(spark, sf, "supplier").select("s_suppkey", li.company_key(F.col("s_name")).alias("key"), li.organization_type(F.col("s_name")).alias("type"))
 
 
 @query("mention_resolution", """WITH i AS (SELECT p_brand AS key, p_partkey AS concept FROM part WHERE p_size >= 49), n AS (SELECT p_partkey AS mention, p_brand AS key FROM part)
@@ -174,9 +176,12 @@ def works_by_key(spark, sf):
     return d.groupBy("lang", F.sha2(F.lower(x.plain_title(F.col("text"))), 256).alias("key")).agg(F.min("doc_id").alias("work"), F.count("*").alias("versions")).select("work", "versions")
 
 
-@query("language_guess", r"""SELECT lang, count(*) FILTER (WHERE k >= 3) AS english FROM (SELECT lang, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: w IN ('the', 'and', 'of', 'to', 'in', 'is'))) AS k FROM documents) GROUP BY lang""")
+@query("language_guess", r"""SELECT lang, count(*) FILTER (WHERE NOT ru AND k >= 2) AS english, count(*) FILTER (WHERE ru) AS russian FROM (SELECT lang, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ('the', 'and', 'of', 'with', 'for')))) AS k,
+len(regexp_extract_all(text, '\p{L}')) > 0 AND len(regexp_extract_all(text, '[\x{0400}-\x{04ff}]')) * 10 >= len(regexp_extract_all(text, '\p{L}')) * 3 AS ru FROM documents) GROUP BY lang""")
 def language_guess(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(x.language_guess(F.col("text")) == "en").alias("english"))
+    """How many documents of each language column are taken for English and for Russian."""
+    guess = x.language_guess(F.col("text"))
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(guess == "en").alias("english"), F.count_if(guess == "ru").alias("russian"))
 
 
 @query("html_blocks")

@@ -94,7 +94,10 @@ def test_terms(spark):
     docs = spark.createDataFrame([(1, "A Graph Neural Network uses a GPU; networks and apple"), (2, None)], "id long, text string")
     assert [(r.concept, r.start) for r in t.find_names(docs, "id", "text", names).orderBy("start").collect()] == [("gnn", 2), ("gpu", 30)]
     claim = t.rule_claims(docs, names, {r"\buses\b": "USES"}, "id", "text").head()
-    assert (claim.subject, claim.predicate, claim.object, claim.context) == ("gnn", "USES", "gpu", "reported")
+    assert (claim.subject, claim.predicate, claim.object, claim.polarity, claim.modality) == ("gnn", "USES", "gpu", "affirmed", "reported")
+    turkish = spark.createDataFrame([(1, "İİİ Ankara, ANKARA")], "id long, text string")
+    cities = spark.createDataFrame([("ankara", "c"), (None, "n")], "name string, concept string")
+    assert [(r.start, r.end) for r in t.find_names(turkish, "id", "text", cities).orderBy("start").collect()] == [(4, 10), (12, 18)]
     labels = spark.createDataFrame([("new digital platform",), ("quantum platform",)], "v string")
     assert [r[0] for r in labels.select(t.generic_term(F.col("v"), ("digital platform", "platform"), ("new",))).collect()] == [True, False]
     aliases = spark.createDataFrame([("deep learning", "ai"), ("car", "transport")], "alias string, domain string")
