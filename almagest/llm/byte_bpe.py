@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.llm.common import id_text, trim
@@ -170,7 +170,7 @@ def _encoded(batches, path: str, pattern: str):
             raw = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
             offsets = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *part.columns[2:]], names=["doc_id", "ids", *part.schema.names[2:]])
     bpe.forget()
     trim()
 
@@ -180,7 +180,7 @@ def _decoded(batches, path: str):
     for batch in batches:
         column = batch.column("ids")
         texts = [None if ids is None else decode_ids(tokens, ids) for ids in (column[i].values.to_numpy().tolist() if column[i].is_valid else None for i in range(len(column)))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
         trim()
 
 
@@ -200,19 +200,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path), "doc_id long, ids array<int>, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): ``decode`` of ``encode`` in one pass, which spares a second worker process a task."""
-    return id_text(docs, id_col, text_col).mapInArrow(lambda it: _decoded(_encoded(it, path, pattern), path), "doc_id long, ids array<int>, decoded binary")
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", place: Column | None = None) -> DataFrame:
+    """(doc_id, ids, decoded): ``decode`` of ``encode`` in one pass, which spares a second worker process a task; with ``place`` also that long."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if place is None else [place.cast("long").alias("place")]))
+    schema = "doc_id long, ids array<int>" + ("" if place is None else ", place long")
+    return rows.mapInArrow(lambda it: _decoded(_encoded(it, path, pattern), path), schema + ", decoded binary")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encodes and decodes whole texts; counts and digests per document."""
-    both = round_trip(docs, path)
+def digests(docs: DataFrame, path: str, place: Column | None = None) -> DataFrame:
+    """Encodes and decodes whole texts; counts and digests per document, and ``place`` if it is given."""
+    both = round_trip(docs, path, place=place)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *([] if place is None else ["place"]),
     )
 
 
