@@ -168,7 +168,8 @@ def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
         ids = batch.column("doc_id")
         known = np.asarray(ids.is_valid())
         number = ids.fill_null(0).to_numpy()
-        all_sizes, k1, k2, doc, key = [], [], [], [], []
+        all_sizes, k1, k2, doc, key, copies = [], [], [], [], [], {}
+        tied: list[tuple[int, int]] = []
         for lo, hi in chunked(offsets):
             rows, grams = sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
             sizes = np.bincount(rows, minlength=hi - lo)
@@ -176,7 +177,15 @@ def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
                 total = np.zeros(hi - lo, dtype=np.uint64)
                 np.add.at(total, rows, mix(grams ^ salt))
                 out.append(total)
-            sig_rows, sig = signatures(rows, grams, sizes, classes, frequent)
+            first = np.zeros(hi - lo, dtype=bool)  # of documents of one set, only the first sends signatures; the others are tied to it
+            for i in np.flatnonzero(known[lo:hi] & (sizes > 0)).tolist():
+                d = int(number[lo + i])
+                other = copies.setdefault((int(k1[-1][i]), int(k2[-1][i])), d)
+                first[i] = other == d
+                if other != d:
+                    tied.append((d, other))
+            keep = first[rows]
+            sig_rows, sig = signatures(rows[keep], grams[keep], np.where(first, sizes, 0), classes, frequent)
             ok = known[lo:hi][sig_rows]
             all_sizes.append(sizes)
             doc.append(number[lo:hi][sig_rows[ok]])
@@ -192,7 +201,8 @@ def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
         least = doc[at][np.cumsum(new) - 1] if len(at) else doc
-        ties = _distinct(doc[doc != least], least[doc != least])
+        more = np.array(tied, dtype=np.int64).reshape(-1, 2)
+        ties = _distinct(np.concatenate([doc[doc != least], more[:, 0]]), np.concatenate([least[doc != least], more[:, 1]]))
         doc, key = doc[at], key[at]
         shard = (key % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
@@ -230,17 +240,34 @@ def _ties(batches):
             yield from _pairs(np.frombuffer(keys.as_buffer(), "<i8"), np.frombuffer(ids.as_buffer(), "<i8")).to_batches()
 
 
+def _unpacked(columns: pa.ChunkedArray, size: int, read) -> np.ndarray:
+    """Numbers of all rows in one array, unpacked row by row."""
+    out, at = np.empty(size, dtype=np.uint64), 0
+    for chunk in columns.chunks:
+        for x in chunk:
+            part = read(x.as_buffer())
+            out[at : at + len(part)] = part
+            at += len(part)
+    return out
+
+
 def _shard(table: pa.Table) -> pa.Table:
-    """Ties each batch's least document of a signature to the least of all batches."""
-    keys = np.concatenate([unpack_sorted(x.as_buffer()) for c in table.column("keys").chunks for x in c])
-    ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view("<i8").ravel() for c in table.column("ids").chunks for x in c])
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-    some = ids != least
-    return _pairs(*_distinct(ids[some], least[some]))
+    """Ties each batch's least document of a signature to the least of all batches; a sixteenth of the signatures is sorted at a time."""
+    size = sum(len(x.as_buffer()) for c in table.column("keys").chunks for x in c) // 8
+    keys = _unpacked(table.column("keys"), size, unpack_sorted)
+    ids = _unpacked(table.column("ids"), size, lambda raw: np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()).view(np.int64)
+    part, found = (keys >> np.uint64(60)).astype(np.uint8), []
+    for k in range(16):
+        here = np.flatnonzero(part == k)
+        key, doc = keys[here], ids[here]
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        some = doc != least
+        found.append(_distinct(doc[some], least[some]))
+    return _pairs(*_distinct(*map(np.concatenate, zip(*found))))
 
 
 def _sets(batches, n: int):
