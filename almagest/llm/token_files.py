@@ -2,8 +2,9 @@
 
 Documents are encoded, closed with an end id, and laid end to end in ascending
 doc_id order.  Each doc_id range is one file: record batches with a
-fixed-size-list column ``ids`` and a fixed-size-list column ``mask`` (0 for the
-padding after the range's last token, 1 for a token, 2 for a document's last one).
+fixed-size-list column ``ids`` and fixed-size-list columns ``mask`` (true for a
+token, false for the padding after the range's last one) and ``last`` (true for a
+document's last token).
 The documents' ids are in the schema's metadata, so a file tells all about the
 documents in it.  All batches but the last have one size and a fixed-size list has
 no offsets, so sequence ``k`` of a memory-mapped file lies at a place that
@@ -13,7 +14,6 @@ follows from ``k``, and is read there without a copy.
 from __future__ import annotations
 
 import posixpath
-import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from almagest.llm.common import chunked, distinct_words, id_text, text_bytes, trim, with_blocks, words
 from almagest.sources.runtime import materialise, new_path
 
-PADDING, TOKEN, LAST = 0, 1, 2
+_TAIL = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+_LETTER = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
 
 
 class _Memo(dict):
@@ -40,7 +41,6 @@ class _Memo(dict):
     """
 
     LIMIT = 400_000
-    _TAIL = b".,;:!?"
     _MARK = " \x01 "  # a match of its own between words of letters; no letter has its byte
 
     def __init__(self, path: str, dtype):
@@ -55,57 +55,30 @@ class _Memo(dict):
     def _encode(self, runs: list[str]) -> None:
         """The library's ids of each run; words of letters are given to it many at a time."""
         letters, size = [r for r in runs if r.isalpha()], np.dtype(self.dtype).itemsize
-        for i in range(0, len(letters), 512):
-            part = letters[i : i + 512]
-            ids = np.array(self.tokenizer.encode(self._MARK.join(part), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(ids == self.mark) * size
+        parts = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([self._MARK.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids)
+            cuts = (np.flatnonzero(ids == self.mark) * size).tolist()
             raw = ids.astype(self.dtype).tobytes()
-            for word, lo, hi in zip(part, [0, *(cuts + size).tolist()], [*cuts.tolist(), len(raw)]):
-                self[word.encode()] = raw[lo:hi]
+            self.update(zip([w.encode() for w in part], [raw[lo:hi] for lo, hi in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)])]))
         others = [r for r in runs if not r.isalpha()]
         for i in range(0, len(others), 4096):
             part = others[i : i + 4096]
-            for run, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self[run.encode()] = np.array(e.ids, dtype=self.dtype).tobytes()
 
-    def _missing(self, runs) -> list[bytes]:
-        new, older = [], self.older
-        for run in runs:
-            if run not in self:
-                known = older.get(run)
-                if known is None:
-                    new.append(run)
-                else:
-                    self[run] = known
-        return new
-
-    @staticmethod
-    def _apart(core: bytes) -> bool:
-        """Whether marks after ``core`` are matched apart: as the tokenizer sees it, it ends in a letter (of a script that all Unicode versions have alike)."""
-        if not core:
-            return False
-        if core[-1] < 0x80:
-            return core[-1:].isalpha()
-        last = unicodedata.normalize("NFC", core.decode()).lower()[-1]
-        return last.isalpha() and ord(last) < 0x530
-
-    def learn(self, runs: list[bytes]) -> dict:
-        """Makes sure that all of ``runs``, which are distinct, are known."""
+    def learn(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of all of ``runs``, which are distinct."""
         if len(self) > self.LIMIT:
             self.older = dict(self)
             self.clear()
-        cores, joined = set(), []
-        for run in self._missing(runs):
-            core = run.rstrip(self._TAIL)
-            if len(core) < len(run) and self._apart(core):
-                joined.append((run, core, run[len(core) :]))
-                cores.update(joined[-1][1:])
-            else:
-                cores.add(run)
-        self._encode([c.decode() for c in self._missing(cores)])
-        for run, core, tail in joined:
-            self[run] = self[core] + self[tail]
-        return self
+        found = [self.get(r) for r in runs]
+        new = [r for r, f in zip(runs, found) if f is None]
+        known = [(r, i) for r, i in zip(new, map(self.older.get, new)) if i is not None]
+        self.update(known)
+        if len(known) < len(new):
+            self._encode([r.decode() for r in new if r not in self] if known else [r.decode() for r in new])
+        return list(map(self.__getitem__, runs)) if new else found
 
 
 @lru_cache(maxsize=2)
@@ -116,6 +89,23 @@ def _memo(path: str, dtype: str) -> _Memo:
     return _Memo(path, dtype)
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of runs without white space; marks that end a run after an ASCII letter are a piece of their own, as they are matched apart."""
+    starts, ends, rows = words(data, offsets)
+    core, open_ = ends.copy(), np.arange(len(ends))
+    for _ in range(4):
+        open_ = open_[(core[open_] > starts[open_])]
+        open_ = open_[_TAIL[data[core[open_] - 1]]]
+        core[open_] -= 1
+    core = np.where((core > starts) & (core < ends) & _LETTER[data[np.maximum(core - 1, 0)]], core, ends)
+    split = core < ends
+    at = np.cumsum(1 + split) - 1 - split
+    out = np.empty((2, len(starts) + int(split.sum())), dtype=np.int64)
+    out[0, at], out[1, at] = starts, core
+    out[0, at[split] + 1], out[1, at[split] + 1] = core[split], ends[split]
+    return out[0], out[1], np.repeat(rows, 1 + split)
+
+
 def _joined(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``pool`` from each place, end to end."""
     ends = np.cumsum(size)
@@ -131,14 +121,13 @@ def encode_texts(column: pa.Array, path: str, end_id: int, dtype: str) -> tuple[
     memo, kind = _memo(path, dtype), np.dtype(dtype)
     data, offsets = text_bytes(column)
     out, sizes = [], []
-    for lo, hi in chunked(offsets, 4 << 20):
+    for lo, hi in chunked(offsets, 8 << 20):
         part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        starts, ends, rows = words(part, cuts)
+        starts, ends, rows = _pieces(part, cuts)
         first, which = distinct_words(part, starts, ends)
         raw = part.tobytes()
         runs = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        known = memo.learn(runs)
-        found = [known[r] for r in runs]
+        found = memo.learn(runs)
         length = np.array([len(f) for f in found] + [kind.itemsize], dtype=np.int64) // kind.itemsize
         pool = np.frombuffer(b"".join(found) + np.array([end_id], kind).tobytes(), dtype=kind)
         count = np.bincount(rows, minlength=hi - lo)
@@ -165,17 +154,14 @@ def write_stream(store: fs.FileSystem, path: str, ids: np.ndarray, sizes: np.nda
     """
     rows, kind = -(-len(ids) // length), pa.from_numpy_dtype(ids.dtype)
     about = {"doc_ids": doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes(), "known": np.packbits(np.asarray(doc_ids.is_valid())).tobytes(), "n_ids": str(len(ids))}
-    schema = pa.schema([(c, pa.list_(pa.field("item", k, False), length)) for c, k in (("ids", kind), ("mask", pa.uint8()))], metadata=about)
-    full = np.zeros(rows * length, dtype=ids.dtype)
-    full[: len(ids)] = ids
-    mask = np.zeros(rows * length, dtype=np.uint8)
-    mask[: len(ids)] = TOKEN
-    mask[np.cumsum(sizes) - 1] = LAST
+    schema = pa.schema([(c, pa.list_(pa.field("item", k, False), length)) for c, k in (("ids", kind), ("mask", pa.bool_()), ("last", pa.bool_()))], metadata=about)
+    full, mask, last = (np.zeros(rows * length, dtype=k) for k in (ids.dtype, bool, bool))
+    full[: len(ids)], mask[: len(ids)], last[np.cumsum(sizes) - 1] = ids, True, True
     store.create_dir(posixpath.dirname(path), recursive=True)
     aside = f"{posixpath.dirname(path)}/_{uuid.uuid4().hex}"
     with store.open_output_stream(aside) as sink, pa.ipc.new_stream(sink, schema) as out:
         for lo in range(0, rows * length, per_batch * length):
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[lo : lo + per_batch * length]), type=schema.field(c).type) for c, x in (("ids", full), ("mask", mask))]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[lo : lo + per_batch * length]), type=schema.field(c).type) for c, x in (("ids", full), ("mask", mask), ("last", last))]
             out.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
     try:
         store.move(aside, path)
@@ -187,22 +173,22 @@ def write_stream(store: fs.FileSystem, path: str, ids: np.ndarray, sizes: np.nda
 
 def read_stream(store: fs.FileSystem, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(doc_ids, sizes, ids) of one file: its documents' ids, their numbers of token ids, and those end to end."""
-    ids, masks = [], []
+    ids, ends = [], []
     with store.open_input_file(path) as source, pa.ipc.open_stream(source) as batches:
         about = batches.schema.metadata
         kind = batches.schema.field("ids").type.value_type.to_pandas_dtype()
         for batch in batches:
             ids.append(batch.column("ids").flatten().to_numpy())
-            masks.append(batch.column("mask").flatten().to_numpy())
-    ids, mask = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, kind), (masks, np.uint8)))
+            ends.append(batch.column("last").flatten().to_numpy(zero_copy_only=False))
+    ids, last = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, kind), (ends, bool)))
     numbers = np.frombuffer(about[b"doc_ids"], "<i8")
     known = np.unpackbits(np.frombuffer(about[b"known"], np.uint8), count=len(numbers)).astype(bool)
-    sizes = np.diff(np.flatnonzero(mask == LAST) + 1, prepend=0)
+    sizes = np.diff(np.flatnonzero(last) + 1, prepend=0)
     return pa.array(numbers, mask=~known), sizes, ids[: int(sizes.sum())]
 
 
-def sequence(source: pa.NativeFile, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``k`` of a memory-mapped or in-memory stream file and its mask: views into it, at a computed place."""
+def sequence(source: pa.NativeFile, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """``ids``, ``mask`` and ``last`` of sequence ``k`` of a memory-mapped or in-memory stream file: views into it, at a computed place."""
     source.seek(0)
     schema = pa.ipc.read_schema(source)
     head = source.tell()
@@ -219,7 +205,7 @@ def sequence(source: pa.NativeFile, k: int) -> tuple[np.ndarray, np.ndarray]:
     batch = pa.ipc.read_record_batch(message, schema)
     if here >= len(batch):
         raise IndexError(k)
-    return tuple(batch.column(c).slice(here, 1).flatten().to_numpy() for c in ("ids", "mask"))
+    return tuple(batch.column(c).slice(here, 1).flatten() for c in ("ids", "mask", "last"))
 
 
 def _write_range(table: pa.Table, folder: str, path: str, end_id: int, length: int, dtype: str) -> pa.Table:

@@ -63,11 +63,12 @@ def test_random_access(tmp_path):
         whole = np.frombuffer(source.read_buffer(), np.uint8)
         low, high = whole.ctypes.data, whole.ctypes.data + len(whole)
         for k in (713, 0, 9, 10, 714, 300):
-            got, mask = tf.sequence(source, k)
+            got, mask, last = tf.sequence(source, k)
             part = ids[k * 7 : (k + 1) * 7]
-            assert got[: len(part)].tolist() == part.tolist() and (got[len(part) :] == 0).all()
-            assert ((mask > 0) == (np.arange(7) < len(part))).all()
-            assert low <= got.ctypes.data < high and low <= mask.ctypes.data < high  # no copy
+            assert got.to_pylist() == part.tolist() + [0] * (7 - len(part))
+            assert mask.to_pylist() == [i < len(part) for i in range(7)]
+            assert last.to_pylist() == [k * 7 + i in (2, 4992, 4999) for i in range(7)]
+            assert all(low <= x.buffers()[1].address < high for x in (got, mask, last))  # no copy
         for k in (715, 720, 10**6):
             with pytest.raises(IndexError):
                 tf.sequence(source, k)
