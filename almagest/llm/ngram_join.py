@@ -3,16 +3,14 @@
 The matrix has a row per document and a column per word n-gram; the product with
 its transpose holds the overlap of every pair.  It is never formed whole:
 
-1. Blocking.  Sets of sizes a and b that reach the threshold differ in at most
-   d elements, d following from the sizes.  Documents are put into size classes
-   and their n-grams dealt by hash into more than d parts, so two linked
-   documents have a part in common that is equal and *strong*: it has an n-gram
-   that is not among the frequent ones, which are listed beforehand (a document
-   with more weak or empty parts than the spare ones lists these too, so no link
-   depends on the list).  The hash of a part is
-   a signature; each one ties its documents to the least of them, a block of
-   texts at a time, so no pairs of a group are listed.  What is tied together is
-   a *family*, outside of which no link can exist.
+1. Blocking.  Blocks of texts send shards of the n-grams how many of their documents
+   have each; the shards answer with the number of all documents.  A document can
+   reach a threshold t only if t of its set occurs elsewhere; most can't and are
+   done with.  In the order of rarity, two linked documents have an n-gram in
+   common among the first (1 - t) of each one's set; these, as far as they occur
+   elsewhere, are a document's *signatures*.  Each one ties its documents to the
+   least of them, a block of texts at a time, so no pairs of a group are listed.
+   What is tied together is a *family*, outside of which no link can exist.
 2. Product.  Within a family one row stands for all documents of equal set.
    Rows are cut into tiles in the order of their size, and tiles whose sizes
    exclude a link are not paired.  In a tile pair, overlap counts are
@@ -20,55 +18,31 @@ its transpose holds the overlap of every pair.  It is never formed whole:
    blocks), pairs beyond the size bound are discarded before they are counted,
    and the exact threshold decides on the counts.
 3. The links, reduced to one edge a row and tile pair, give the components.
+
+Columns are 64-bit hashes of n-grams.  Two different n-grams of one tile pair
+(some 10**6) have equal hashes with a chance of 3 in 10**8, and one such
+n-gram changes a link only at the threshold.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunked, corpus_size, id_text, mix, pack_sorted, text_bytes, trim, unpack_sorted, windows, word_hashes, words
+from almagest.llm.common import chunked, corpus_size, id_text, mix, pack_sorted, text_bytes, trim, unpack_sorted, windows, with_blocks, word_hashes, words
 from almagest.operators.components import connected_components
 from almagest.sources.runtime import materialise
 
-#: N-grams that this share of the documents has count as frequent; at most (mean set size) / share of them exist.
-FREQUENT = 1 / 1500
 _SALT = mix(np.arange(1, 6, dtype=np.uint64))
 TILE = 1024
-#: Bytes of text whose signatures a worker sorts at a time.
-SLICE = 6 << 20
-
-
-class SizeClasses:
-    """Bounds of the size classes for a threshold of ``percent``, and the number of parts in each."""
-
-    def __init__(self, percent: int, largest: int = 1):
-        self.percent, self.low, self.parts, self.spare = percent, [1], [], []
-        self.reach(largest)
-
-    def reach(self, largest: int) -> "SizeClasses":
-        while self.low[-1] <= largest or len(self.parts) < 2:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-            k = len(self.low) - 2
-            differ = 2 * (self.low[k + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            least, spare = self.low[max(k - 1, 0)], 0
-            for _ in range(30):  # spare parts for those that chance leaves empty
-                if differ + 1 + spare > max(differ + 1, least // 2 * 4 // 3):  # more would hold an n-gram each
-                    spare = max(differ + 1, least // 2 * 4 // 3) - differ - 1
-                    break
-                parts = differ + 1 + spare
-                empty = parts * (1 - 0.7 / parts) ** least if parts > 1 else 0.0  # up to three tenths of a set may be frequent
-                spare = int(np.ceil(empty + 4 * np.sqrt(empty))) if empty > 1e-4 else 0
-                if differ + 1 + spare <= parts:
-                    break
-            self.parts.append(differ + 1 + spare)
-            self.spare.append(spare)
-        return self
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.low), sizes, side="right") - 1
+#: Bytes of text whose sets a worker holds at a time in the product.
+SLICE = 3 << 20
+#: Documents with an n-gram are counted up to this.
+MOST = 65535
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,43 +69,6 @@ def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return where[new], found[new]
 
 
-def _member(line: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(line):
-        return np.zeros(len(x), dtype=bool)
-    return line[np.minimum(np.searchsorted(line, x), len(line) - 1)] == x
-
-
-def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes: SizeClasses, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each strong part of each set, for its own size class and the next; ``frequent`` ascends."""
-    strong = ~_member(frequent, grams)
-    classes.reach(int(sizes.max(initial=1)) * 2 + 2)
-    parts_of, spare_of = np.array(classes.parts), np.array(classes.spare)
-    full = sizes > 0
-    own = np.where(full, classes.of(np.maximum(sizes, 1)), 0)
-    spread, value = mix(grams + _SALT[0]) >> np.uint64(32), mix(grams ^ _SALT[1])
-    out_rows, out = [], []
-    for up in (0, 1):
-        n_parts = np.where(full, parts_of[own + up], 0)
-        base = np.cumsum(n_parts) - n_parts
-        part = (spread * n_parts[rows].astype(np.uint64)) >> np.uint64(32)
-        slot = base[rows] + part.astype(np.int64)
-        total = np.zeros(int(n_parts.sum()), dtype=np.uint64)
-        np.add.at(total, slot, value)
-        count = np.bincount(slot, minlength=len(total))
-        owner = np.repeat(np.arange(len(sizes)), n_parts)
-        good = np.bincount(slot[strong], minlength=len(total)) > 0
-        weak = np.bincount(owner[~good], minlength=len(sizes))
-        listed = good | (weak > spare_of[own + up])[owner]
-        place = np.arange(len(total)) - base[owner]
-        key = mix(total + mix(((own + up)[owner].astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(1)) + (count > 0).astype(np.uint64)))
-        out_rows.append(owner[listed])
-        out.append(key[listed])
-    return np.concatenate(out_rows), np.concatenate(out)
-
-
-_PROFILE = "kind int, doc_id long, n long, k1 long, k2 long, shard int, keys binary, ids binary"
-
-
 def _sliced(batches, limit: int):
     """The batches in pieces of about ``limit`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
@@ -139,86 +76,80 @@ def _sliced(batches, limit: int):
             yield batch.slice(lo, hi - lo)
 
 
-def _frequent(batches, n: int):
-    """N-grams that more than their share of a batch's documents have (more than five at least); a frequent one is so in some batch."""
-    for batch in _sliced(batches, 4 * SLICE):
-        data, offsets = text_bytes(batch.column("text"))
-        parts = [sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)[1] for lo, hi in chunked(offsets)]
-        for quarter in range(4 if parts else 0):  # a quarter of the n-grams is sorted at a time
-            here = np.sort(np.concatenate([p[(p & np.uint64(3)) == np.uint64(quarter)] for p in parts]))
-            at = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if len(here) else np.zeros(0, np.int64)
-            count = np.diff(np.append(at, len(here)))
-            often = count >= max(6, FREQUENT * len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(here[at[often]].view(np.int64)), pa.array(count[often], pa.int64())], names=["gram", "c"])
-        del parts
-        trim()
+class _Block:
+    """The sets of a block of documents, and its distinct columns with their numbers of documents, in order and so by shard."""
 
+    def __init__(self, table: pa.Table, n: int, bits: int, shards: int):
+        data, offsets = text_bytes(table.column("text"))
+        rows, grams = [], []
+        for lo, hi in chunked(offsets):
+            r, g = sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+            rows.append(r + lo)
+            grams.append(g)
+        self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.sizes = np.bincount(self.rows, minlength=len(table))
+        self.columns, self.which, self.counts = np.unique(self.grams >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        shard = (self.columns >> np.uint64(max(bits - 31, 0))).astype(np.uint64) * np.uint64(shards) >> np.uint64(min(bits, 31))
+        at = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1))
+        self.spans = {s: (a, b) for s, a, b in zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shard)])}
 
-def frequent_grams(docs: DataFrame, n: int, n_docs: int) -> np.ndarray:
-    rows = docs.select("text").mapInArrow(lambda it: _frequent(it, n), "gram long, c long")
-    found = rows.groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= max(6, FREQUENT * n_docs / 2)).select("gram").toPandas()
-    return np.sort(found.gram.to_numpy(np.int64).view(np.uint64))
 
+def _bytes(values: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(values.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
 
-def _profile(batches, n: int, percent: int, shards: int, frequent: np.ndarray):
-    """Per batch: a row (kind 0) per document; signatures with their least document (1); ties within the batch (2)."""
-    classes = SizeClasses(percent)
-    for batch in _sliced(batches, SLICE):
-        data, offsets = text_bytes(batch.column("text"))
-        ids = batch.column("doc_id")
-        known = np.asarray(ids.is_valid())
-        number = ids.fill_null(0).to_numpy()
-        all_sizes, k1, k2, doc, key, copies = [], [], [], [], [], {}
-        tied: list[tuple[int, int]] = []
-        for lo, hi in chunked(offsets):
-            rows, grams = sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-            sizes = np.bincount(rows, minlength=hi - lo)
-            for out, salt in ((k1, _SALT[2]), (k2, _SALT[3])):
-                total = np.zeros(hi - lo, dtype=np.uint64)
-                np.add.at(total, rows, mix(grams ^ salt))
-                out.append(total)
-            first = np.zeros(hi - lo, dtype=bool)  # of documents of one set, only the first sends signatures; the others are tied to it
-            for i in np.flatnonzero(known[lo:hi] & (sizes > 0)).tolist():
-                d = int(number[lo + i])
-                other = copies.setdefault((int(k1[-1][i]), int(k2[-1][i])), d)
-                first[i] = other == d
-                if other != d:
-                    tied.append((d, other))
-            keep = first[rows]
-            sig_rows, sig = signatures(rows[keep], grams[keep], np.where(first, sizes, 0), classes, frequent)
-            ok = known[lo:hi][sig_rows]
-            all_sizes.append(sizes)
-            doc.append(number[lo:hi][sig_rows[ok]])
-            key.append(sig[ok])
-        if not all_sizes:
-            continue
-        size = len(batch)
-        rows = [(pa.array(np.zeros(size), pa.int32()), ids, pa.array(np.concatenate(all_sizes), pa.int64()), pa.array(np.concatenate(k1).view(np.int64)), pa.array(np.concatenate(k2).view(np.int64)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()))]
-        doc, key = np.concatenate(doc), np.concatenate(key)
-        order = np.lexsort((doc, key))
-        doc, key = doc[order], key[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        least = doc[at][np.cumsum(new) - 1] if len(at) else doc
-        more = np.array(tied, dtype=np.int64).reshape(-1, 2)
-        ties = _distinct(np.concatenate([doc[doc != least], more[:, 0]]), np.concatenate([least[doc != least], more[:, 1]]))
-        doc, key = doc[at], key[at]
-        shard = (key % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        doc, key, shard = doc[order], key[order], shard[order]
-        at = np.flatnonzero(np.diff(shard, prepend=-1))
-        spans = zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shard)])
-        sent = [(s, pack_sorted(key[a:b]), np.ascontiguousarray(doc[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for s, a, b in spans]
-        some = len(ties[0]) > 0
-        kinds = [1] * len(sent) + [2] * some
-        keys = [s[1] for s in sent] + [ties[0].astype("<i8").tobytes()] * some
-        others = [s[2] for s in sent] + [ties[1].astype("<i8").tobytes()] * some
-        none = pa.nulls(len(kinds), pa.int64())
-        rows.append((pa.array(kinds, pa.int32()), none, none, none, none, pa.array([s[0] for s in sent] + [None] * some, pa.int32()), pa.array(keys, pa.binary()), pa.array(others, pa.binary())))
-        for columns in rows:
-            yield pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in _PROFILE.split(", ")])
-        trim()
+
+def _from_bytes(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
+_COLUMNS = "shard int, block int, columns binary, counts binary"
+
+
+def _send(table: pa.Table, n: int, bits: int, shards: int) -> pa.Table:
+    block = _Block(table, n, bits, shards)
+    number, spans = table.column("block")[0].as_py(), block.spans.values()
+    counts = np.minimum(block.counts, MOST)
+    return pa.table({
+        "shard": pa.array(list(block.spans), pa.int32()), "block": pa.array([number] * len(spans), pa.int32()),
+        "columns": pa.array([pack_sorted(block.columns[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([_bytes(counts[a:b]) for a, b in spans], pa.binary()),
+    })
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For every block, the number of all documents with each column it sent to this shard, in its order; a sixteenth of the columns at a time."""
+    buffers = [x.as_buffer() for c in table.column("columns").chunks for x in c]
+    sizes = [len(x) // 8 for x in buffers]
+    cuts = np.cumsum([0, *sizes])
+    line, total = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.uint16)
+    for a, b, raw, c in zip(cuts[:-1], cuts[1:], buffers, (x for k in table.column("counts").chunks for x in k)):
+        line[a:b] = unpack_sorted(raw)
+        total[a:b] = _from_bytes(c.as_buffer())
+    part = (mix(line) >> np.uint64(60)).astype(np.uint8)
+    for k in range(16):
+        here = np.flatnonzero(part == k)
+        _, which = np.unique(line[here], return_inverse=True)
+        total[here] = np.minimum(np.bincount(which, weights=total[here]), MOST)[which]
+    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "counts": pa.array([_bytes(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+
+def signatures(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, n-gram): of each set, the rarest ones that any set linked with it must have one of; none if it is linked with no other.
+
+    ``df`` has the number of documents with each n-gram, ``rows`` ascend.
+    """
+    shared = np.bincount(rows[df > 1], minlength=len(sizes))
+    possible = (sizes > 0) & (100 * shared >= percent * sizes)
+    keep = possible[rows]
+    rows, grams, df = rows[keep], grams[keep], df[keep]
+    order = np.lexsort((grams, df, rows))
+    rows, grams, df = rows[order], grams[order], df[order]
+    at = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    first = (at <= sizes[rows] * (100 - percent) // 100) & (df > 1)
+    return rows[first], grams[first]
+
+
+_PROFILE = "kind int, doc_id long, n long, k1 long, k2 long, shard int, keys binary, ids binary"
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +161,58 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+def _profile(table: pa.Table, answers: pa.Table, n: int, percent: int, bits: int, shards: int, deal: int) -> pa.Table:
+    """Of a block: a row (kind 0) per document; signatures with their least document (1); ties within the block (2)."""
+    block = _Block(table, n, bits, shards)
+    df = np.ones(len(block.columns), dtype=np.uint16)
+    for s, raw in zip(answers.column("shard").to_pylist(), (x for k in answers.column("counts").chunks for x in k)):
+        a, b = block.spans[s]
+        df[a:b] = _from_bytes(raw.as_buffer())
+    ids = table.column("doc_id").combine_chunks()
+    known, number, size = np.asarray(ids.is_valid()), ids.fill_null(0).to_numpy(), len(table)
+    keys = []
+    for salt in (_SALT[2], _SALT[3]):
+        total = np.zeros(size, dtype=np.uint64)
+        np.add.at(total, block.rows, mix(block.grams ^ salt))
+        keys.append(total)
+    rows, sig = signatures(block.rows, block.grams, block.sizes, df[block.which], percent)
+    has = np.zeros(size, dtype=bool)
+    has[rows] = True
+    # of documents of one set only the first sends signatures; the others are tied to it
+    some = np.flatnonzero(has & known)
+    some = some[np.lexsort((number[some], keys[1][some], keys[0][some]))]
+    new = np.ones(len(some), dtype=bool)
+    new[1:] = (keys[0][some[1:]] != keys[0][some[:-1]]) | (keys[1][some[1:]] != keys[1][some[:-1]])
+    leader = number[some[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(some) else number[some]
+    sends = np.zeros(size, dtype=bool)
+    sends[some[new]] = True
+    ok = sends[rows]
+    doc, key = number[rows[ok]], sig[ok]
+    order = np.lexsort((doc, key))
+    doc, key = doc[order], key[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    least = doc[at][np.cumsum(first) - 1] if len(at) else doc
+    apart, copy = doc != least, number[some] != leader
+    ties = _distinct(np.concatenate([doc[apart], number[some][copy]]), np.concatenate([least[apart], leader[copy]]))
+    doc, key = doc[at], key[at]
+    shard = (key >> np.uint64(33)) * np.uint64(deal) >> np.uint64(31)
+    at = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1)).tolist()
+    spans = list(zip(shard[at].tolist(), at, [*at[1:], len(shard)])) if at else []
+    sent = [(1, s, pack_sorted(key[a:b]), np.ascontiguousarray(doc[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for s, a, b in spans]
+    if len(ties[0]):
+        sent.append((2, None, ties[0].astype("<i8").tobytes(), ties[1].astype("<i8").tobytes()))
+    kinds, deals, firsts, others = zip(*sent) if sent else ((), (), (), ())
+    none, blank = [None] * len(sent), [None] * size
+    whole = lambda a, kind: pa.concat_arrays([a.cast(kind), pa.array(none, kind)])
+    return pa.table({
+        "kind": pa.array([0] * size + list(kinds), pa.int32()), "doc_id": whole(ids, pa.int64()), "n": whole(pa.array(block.sizes), pa.int64()),
+        "k1": whole(pa.array(keys[0].view(np.int64)), pa.int64()), "k2": whole(pa.array(keys[1].view(np.int64)), pa.int64()),
+        "shard": pa.array(blank + list(deals), pa.int32()), "keys": pa.array(blank + list(firsts), pa.binary()), "ids": pa.array(blank + list(others), pa.binary()),
+    })
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -252,11 +235,11 @@ def _unpacked(columns: pa.ChunkedArray, size: int, read) -> np.ndarray:
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """Ties each batch's least document of a signature to the least of all batches; a sixteenth of the signatures is sorted at a time."""
+    """Ties each block's least document of a signature to the least of all blocks; a sixteenth of the signatures is sorted at a time."""
     size = sum(len(x.as_buffer()) for c in table.column("keys").chunks for x in c) // 8
     keys = _unpacked(table.column("keys"), size, unpack_sorted)
     ids = _unpacked(table.column("ids"), size, lambda raw: np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()).view(np.int64)
-    part, found = (keys >> np.uint64(60)).astype(np.uint8), []
+    part, found = (mix(keys.copy()) >> np.uint64(60)).astype(np.uint8), []
     for k in range(16):
         here = np.flatnonzero(part == k)
         key, doc = keys[here], ids[here]
@@ -271,7 +254,7 @@ def _shard(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches, n: int):
-    for batch in _sliced(batches, SLICE // 2):
+    for batch in _sliced(batches, SLICE):
         data, offsets = text_bytes(batch.column("text"))
         raw = []
         for lo, hi in chunked(offsets):
@@ -349,7 +332,7 @@ def _link(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc, pa.int64()), "least": pa.array(least, pa.int64()), "links": pa.array(degree, pa.int64())})
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
     """One row per input row: doc_id, n_shingles, n_links, component_id.
 
     Two documents link when the Jaccard index of their sets of word ``n``-grams
@@ -358,13 +341,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     by links.  A text of fewer words is one n-gram, its whole sequence; without
     words, or null, it is empty and linked with nothing.  Rows of a null id keep
     their count but take no part (component_id null, n_links 0).  Repeated rows
-    of one id are one document.  Other columns are ignored.
+    of one id are one document.  Other columns are ignored.  ``block_bytes`` of
+    text, a longer document excepted, and the n-grams of ``shard_bytes`` bound what
+    a task of the blocking holds.
     """
     docs = id_text(docs, id_col, text_col)
-    n_docs, size = corpus_size(docs)
-    frequent = frequent_grams(docs, n, n_docs)
-    shards = max(4, -(-size // (24 << 20)))
-    profile = materialise(docs.mapInArrow(lambda it: _profile(it, n, percent, shards, frequent), _PROFILE), "ngram-profile")
+    _, size = corpus_size(docs)
+    shards = max(4, -(-size // shard_bytes))
+    bits = min(64, max(32, size.bit_length() + 6))  # so that one column in 256 meets another by chance
+    blocked, blocks = with_blocks(docs, block_bytes)
+    blocked = blocked.repartition(blocks, "block")
+    sent = blocked.groupBy("block").applyInArrow(lambda t: trim(_send(t, n, bits, shards)), _COLUMNS)
+    answers = sent.groupBy("shard").applyInArrow(lambda t: trim(_count(t)), "shard int, block int, counts binary")
+    profile = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trim(_profile(t, a, n, percent, bits, shards, shards)), _PROFILE)
+    profile = materialise(profile, "ngram-profile")
     rows = profile.where("kind = 0").select("doc_id", "n", "k1", "k2")
     ties = profile.where("kind = 2").select("keys", "ids").mapInArrow(_ties, "a long, b long")
     far = profile.where("kind = 1").select("shard", "keys", "ids").groupBy("shard").applyInArrow(lambda t: trim(_shard(t)), "a long, b long")

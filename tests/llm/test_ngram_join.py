@@ -54,12 +54,12 @@ def near_copies(seed=0):
     return rows + [(7, None), (8, ""), (9, " \n "), (None, rows[0][1]), (10, "solo"), (11, "SOLO"), (12, "a b c a b c a b c"), (13, "a b c a b c")]
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_brute_force(spark, n, percent):
+@pytest.mark.parametrize("n,percent,limits", [(3, 90, {}), (5, 80, {}), (5, 80, {"block_bytes": 700, "shard_bytes": 500}), (3, 90, {"block_bytes": 1})])
+def test_brute_force(spark, n, percent, limits):
     rows = near_copies(n)
     rows.append(rows[0])  # a repeated row
     docs = spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, n int, tile string")
-    assert rows_of(nj.ngram_jaccard_join(docs, n, percent)) == brute(rows, n, percent)
+    assert rows_of(nj.ngram_jaccard_join(docs, n, percent, **limits)) == brute(rows, n, percent)
 
 
 def test_many_tiles(spark, monkeypatch):
@@ -70,9 +70,9 @@ def test_many_tiles(spark, monkeypatch):
 
 
 def test_no_linked_pair_lacks_a_common_signature():
+    """Whatever other documents hold; and a set with too little in common with others has none."""
     r = random.Random(4)
     for percent in (70, 80, 90):
-        classes = nj.SizeClasses(percent)
         for _ in range(300):
             size = r.choice([1, 2, 3, 7, 20, 60, 200, 700])
             base = [r.getrandbits(64) for _ in range(size)]
@@ -81,13 +81,30 @@ def test_no_linked_pair_lacks_a_common_signature():
                 other[r.randrange(len(other))] = r.getrandbits(64)
             other += [r.getrandbits(64) for _ in range(r.randrange(0, 1 + size * (100 - percent) // 200))]
             a, b = set(base), set(other)
+            third = {g for g in a | b if r.random() < r.choice([0, 0.3, 1])}
+            rows = np.repeat([0, 1], [len(a), len(b)])
+            grams = np.array(sorted(a) + sorted(b), dtype=np.uint64)
+            df = np.array([(int(g) in a) + (int(g) in b) + 3 * (int(g) in third) for g in grams])
+            where, sig = nj.signatures(rows, grams, np.bincount(rows), df, percent)
             if 100 * len(a & b) >= percent * len(a | b):
-                rows = np.repeat([0, 1], [len(a), len(b)])
-                grams = np.array(sorted(a) + sorted(b), dtype=np.uint64)
-                for share in (0, 0.2, 0.9, 1):  # whatever n-grams count as frequent
-                    frequent = np.sort(grams)[: int(share * len(grams))]
-                    where, sig = nj.signatures(rows, grams, np.bincount(rows), classes, frequent)
-                    assert set(sig[where == 0].tolist()) & set(sig[where == 1].tolist())
+                assert set(sig[where == 0].tolist()) & set(sig[where == 1].tolist())
+            assert len(where) <= 2 + (100 - percent) * (len(a) + len(b)) // 100
+            for k, own in ((0, a), (1, b)):
+                if 100 * len({g for g in own if g in third or g in (a & b)}) < percent * len(own):
+                    assert not (where == k).any()
+
+
+def test_columns_are_counted_over_all_blocks():
+    r = np.random.RandomState(2)
+    blocks = [{"shard": 0, "block": k, "c": np.unique(r.randint(0, 300, 80).astype(np.uint64) << np.uint64(20))} for k in range(5)]
+    counts = [r.randint(1, 4, len(b["c"])) for b in blocks]
+    table = nj.pa.table({"shard": nj.pa.array([0] * 5, nj.pa.int32()), "block": nj.pa.array(range(5), nj.pa.int32()), "columns": [nj.pack_sorted(b["c"]) for b in blocks], "counts": [nj._bytes(c) for c in counts]})
+    want = {}
+    for b, c in zip(blocks, counts):
+        for x, y in zip(b["c"].tolist(), c.tolist()):
+            want[x] = want.get(x, 0) + y
+    for b, row in zip(blocks, nj._count(table).to_pylist()):
+        assert nj._from_bytes(row["counts"]).tolist() == [want[x] for x in b["c"].tolist()]
 
 
 def test_overlaps():
@@ -123,15 +140,6 @@ def test_words_of_regular_build_differ(spark):
     assert rows_of(nj.ngram_jaccard_join(docs, 3, 90)) == brute(rows, 3, 90)
 
 
-def test_parts_hold_several_grams():
-    """A set's signatures stay fewer than its n-grams."""
-    for percent in (80, 90):
-        r, classes = random.Random(percent), nj.SizeClasses(percent)
-        grams = np.array(sorted({r.getrandbits(64) for _ in range(300)}), dtype=np.uint64)
-        where, _ = nj.signatures(np.zeros(300, np.int64), grams, np.array([300]), classes)
-        assert len(where) < 300
-
-
 def test_many_copies_and_frequent_grams(spark, monkeypatch):
     monkeypatch.setattr(nj, "SLICE", 2000)
     base = " ".join(f"w{i}" for i in range(60))
