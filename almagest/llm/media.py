@@ -285,13 +285,13 @@ def store(payload: bytes) -> bytes:
 
 
 def load(clip: bytes) -> tuple[bytes, list[np.ndarray], float]:
-    """The payload, the 8-bit samples of each frame, and the rate."""
+    """The payload, the decoded 8-bit samples of each frame, and the rate."""
     avi = read_avi(clip)
     if avi["extra"][:4] != _PAYLOAD:
         raise ValueError("the clip holds no payload")
-    frames = [decode_frame(f)["fixed"] for f in avi["frames"]]
+    frames = [decode_frame(f) for f in avi["frames"]]
     size = struct.unpack("<Q", avi["extra"][4:12])[0]
-    return b"".join(f.tobytes() for f in frames)[:size], frames, avi["rate"]
+    return b"".join(f["fixed"].tobytes() for f in frames)[:size], [luma(f) for f in frames], avi["rate"]
 
 
 def shots(samples: list[np.ndarray], rate: float, window: int = 8, factor: float = 2.5, least: float = 0.15) -> list[tuple[float, float, int]]:
@@ -334,7 +334,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double,frames:long>>"
 
 
 def _read(batches):
@@ -343,16 +343,19 @@ def _read(batches):
         for number, n, clip in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):
             payload, frames, rate = load(clip)
             found = shots(frames, rate)
-            seen = np.concatenate(frames).ravel()[: len(payload)]
+            seen = np.concatenate(frames)
             text = f"frames={len(frames)};shots={len(found)};longest={max(s[2] for s in found)};mean={seen.mean():.4f};deviation={seen.std():.4f}"
-            rows.append((number, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(clip), hashlib.sha256(clip).hexdigest(), text))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((number, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(clip), hashlib.sha256(clip).hexdigest(), text, [{"start_s": a, "end_s": b, "frames": n} for a, b, n in found]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64())]))]
         names = [f.split()[0] for f in _FEATURES.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Per clip of ``media_column``: what is read back from the stored bytes, and shot features."""
+    """Per clip of ``media_column``: what is read back from the stored bytes, features of its decoded luma, and its timed clips.
+
+    A null id stays null; equal clips give equal rows, as often as they occur.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, _FEATURES)
 
 
@@ -364,8 +367,7 @@ def _clip_rows(batches):
                 continue
             avi = read_avi(clip)
             decoded = [decode_frame(f) for f in avi["frames"]]
-            samples = [f["fixed"] if avi["extra"][:4] == _PAYLOAD else luma(f) for f in decoded]
-            rows += [(number, i, *s) for i, s in enumerate(shots(samples, avi["rate"]))]
+            rows += [(number, i, *s) for i, s in enumerate(shots([luma(f) for f in decoded], avi["rate"]))]
         kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "shot", "start_s", "end_s", "frames"])
 

@@ -72,3 +72,28 @@ def test_edges(spark):
     rows = media.media_features(media.media_column(docs)).collect()
     assert sorted((r.n_bytes, r.payload_bytes) for r in rows) == [(0, 64), (0, 64), (0, 64), (6000, 6016)]
     assert media.media_features(media.media_column(docs.where("doc_id = 7"))).collect() == []
+
+
+def plain_luma(block):
+    """The 8x8 samples of 64 coefficients in zigzag order, by the formula of the inverse transform."""
+    square = np.zeros((8, 8))
+    for k, place in enumerate(media.ZIGZAG):
+        square[place // 8, place % 8] = block[k]
+    scale = [np.sqrt(0.5)] + [1.0] * 7
+    out = np.zeros((8, 8))
+    for y in range(8):
+        for x in range(8):
+            out[y, x] = 128 + sum(scale[u] * scale[v] / 4 * square[v, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8))
+    return np.clip(np.rint(out), 0, 255)
+
+
+def test_features_are_of_decoded_luma(spark):
+    text = "".join(chr(97 + i % 7) * (i % 50) for i in range(200))
+    row = media.media_features(media.media_column(spark.createDataFrame([(1, text)], "doc_id long, text string"))).head()
+    payload, samples, rate = media.load(media.store(media.pad(text.encode())))
+    raw = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(int) + 256
+    for k in (0, 7, len(raw) - 1):
+        assert (samples[k // 32][k % 32] == plain_luma(raw[k])).all()
+    values = np.concatenate([s.ravel() for s in samples]).astype(float)
+    assert f"mean={values.mean():.4f};deviation={values.std():.4f}" in row.feature
+    assert [(c.start_s, c.end_s, c.frames) for c in row.clips] == media.shots(samples, rate) and sum(c.frames for c in row.clips) == len(samples)
