@@ -5,7 +5,7 @@ their first four to eight bytes, each as "occurs", "occurs twice" and "occurs fo
 times", hashed to 64 bits of which the last two are that level.  The model is
 fitted on a bounded sample of labelled rows.  Besides log loss and an L1
 penalty it pays for every *counterfactual pair*: a labelled text and the same text with
-its identity terms swapped for others of the same kind must score alike, so a
+its identity terms swapped, word by word, for others of the same kind must score alike, so a
 group that is named is no evidence by itself.  A text that names groups is paired
 with each substitute; every text that names none gets a pair in which a group is
 named, and one in which another is.
@@ -13,6 +13,9 @@ named, and one in which another is.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almagest.llm.common import LETTERS, chunked, labelled_sample, lower_case, text_bytes, trim, word_hashes, words
+from almagest.sources.runtime import delete, materialise
 
 _PREFIXES = (4, 5, 6, 7, 8)
 _LEVEL = np.uint64(3)
@@ -102,59 +106,68 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def swapped(found: np.ndarray, groups: list[list[np.ndarray]], turn: int) -> np.ndarray:
-    """The features of a text with each identity term replaced by the next of its kind, as often."""
-    out = found
-    for group in groups:
-        for k, term in enumerate(group):
-            levels = np.intersect1d(term[0] | np.arange(len(_LEVELS), dtype=np.uint64), found)
-            other = group[(k + 1 + turn) % len(group)]
-            if len(levels) and other is not term:
-                out = out[~np.isin(out & ~_LEVEL, term)]
-                out = np.union1d(out, (other[:, None] | (levels & _LEVEL)[None, :]).ravel())
-    return out
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def counterfactual_pairs(found: list[np.ndarray], groups: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What the two texts of each pair have and the other has not; what they share has no part in the gap."""
+def counterfactuals(text: str, identity=IDENTITY_TERMS) -> list[str]:
+    """The text with its identity terms, word by word, replaced by others of their kind, once for each substitute; a text without one, with a term of some kind after it, and with another."""
+    groups = [[t.encode() for t in g] for g in identity]
     if not groups:
         return []
-    terms, most = np.array([term[0] for g in groups for term in g]), max(len(g) for g in groups)
-    pairs, unnamed = [], 0
-    for text in found:
-        if np.isin(terms, text & ~_LEVEL).any():
-            others = {out.tobytes(): out for out in (swapped(text, groups, turn) for turn in range(most - 1))}
-        else:
-            group = groups[unnamed % len(groups)]
-            places = {(unnamed // len(groups) + turn) % len(group) for turn in range(2)}
-            others = {k: np.union1d(text, group[k]) for k in places}
-            unnamed += 1
-        pairs += [(np.setdiff1d(text, o, assume_unique=True), np.setdiff1d(o, text, assume_unique=True)) for o in others.values()]
-    return pairs
-
-
-def fit_features(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray, identity=IDENTITY_TERMS, l1: float = 3e-5, counterfactual: float = 1.0, selected: int = 4000, steps: int = 300, term_features=None) -> Model:
-    """Fit on the distinct features of each sample text.
-
-    ``shares`` holds each row's class share, which restores the natural rate.
-    With one class only, or no rows, the model is constant.
+    place = {t: (g, k) for g, group in enumerate(groups) for k, t in enumerate(group)}
+    raw = text.encode()
+    low = lambda w: lower_case(np.frombuffer(w, np.uint8)).tobytes()
+    named = {place[w][0] for w in (low(m.group()) for m in _WORD.finditer(raw)) if w in place}
+    if named:
+
+        def other(turn: int):
+            def swap(m):
+                found = place.get(low(m.group()))
+                return m.group() if found is None else groups[found[0]][(found[1] + turn) % len(groups[found[0]])]
+
+            return _WORD.sub(swap, raw).decode()
+
+        out = [other(turn) for turn in range(1, max(len(groups[g]) for g in named))]
+    else:
+        number = zlib.crc32(raw)
+        group = groups[number % len(groups)]
+        out = [f"{text} {group[(number // len(groups) + turn) % len(group)].decode()}" for turn in range(2)]
+    return [t for t in dict.fromkeys(out) if t != text]
+
+
+def gaps(texts: list[str], identity=IDENTITY_TERMS) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each text, what it has and each counterfactual has not, and the reverse; what they share has no part in the gap."""
+    others = [counterfactuals(t, identity) for t in texts]
+    found = iter(features_of([t for pair in zip(texts, others) for t in (pair[0], *pair[1])]) if texts else [])
+    out = []
+    for variants in others:
+        own = next(found)
+        out.append([(np.setdiff1d(own, o, assume_unique=True), np.setdiff1d(o, own, assume_unique=True)) for o in (next(found) for _ in variants)])
+    return out
+
+
+def strength(positive, seen, n_positive, n_seen, where=np.where, sqrt=np.sqrt, log=np.log, absolute=np.abs):
+    """How far a feature's rate in label 1 is from that in label 0, in standard errors; 0 for one seen once.  For numbers or columns alike."""
+    p1, p0 = (positive + 0.5) / (n_positive + 1), (seen - positive + 0.5) / (n_seen - n_positive + 1)
+    z = absolute(log(p1 / p0)) / sqrt(1 / (positive + 0.5) + 1 / (seen - positive + 0.5))
+    return where(seen < 2, 0.0, z)
+
+
+def constant(labels: np.ndarray) -> Model:
+    rate = float(labels.mean()) if len(labels) else 0.5
+    return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((rate + 0.01) / (1.01 - rate))))
+
+
+def fit_features(chosen: np.ndarray, found: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, l1: float = 3e-5, counterfactual: float = 1.0, steps: int = 300) -> Model:
+    """Fit the weights of the ``chosen`` features (ascending) on each sample text's features.
+
+    ``pairs`` are the two sides of each gap that shall have no effect; ``shares``
+    holds each row's class share, which restores the natural rate.  With one class
+    only, or no rows, the model is constant.
     """
     labels = np.asarray(labels, dtype=float)
-    if not len(labels) or labels.min() == labels.max():
-        rate = float(labels.mean()) if len(labels) else 0.5
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((rate + 0.01) / (1.01 - rate))))
-    groups = term_features or [_term_features(g) for g in identity]
-    keys = np.concatenate(found)
-    owner = np.repeat(labels, [len(f) for f in found])
-    vocabulary, at = np.unique(keys, return_inverse=True)
-    positive = np.bincount(at, weights=owner, minlength=len(vocabulary))
-    seen = np.bincount(at, minlength=len(vocabulary))
-    p1, p0 = (positive + 0.5) / (labels.sum() + 1), (seen - positive + 0.5) / (len(labels) - labels.sum() + 1)
-    z = np.abs(np.log(p1 / p0)) / np.sqrt(1 / (positive + 0.5) + 1 / (seen - positive + 0.5))
-    z[seen < 2] = 0
-    chosen = vocabulary[np.argsort(-z, kind="stable")[:selected]]
-    terms = np.concatenate([f for g in groups for f in g]) if groups else np.zeros(0, np.uint64)
-    chosen = np.union1d(chosen, vocabulary[np.isin(vocabulary & ~_LEVEL, terms)])
+    if not len(labels) or labels.min() == labels.max() or not len(chosen):
+        return constant(labels)
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = [len(r) for r in rows]
@@ -163,7 +176,6 @@ def fit_features(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray
         ok = chosen[place] == flat
         return np.repeat(np.arange(len(rows)), size)[ok], place[ok]
 
-    pairs = counterfactual_pairs(found, groups)
     r, c = matrix(found)
     ra, ca = matrix([p[0] for p in pairs])
     rb, cb = matrix([p[1] for p in pairs])
@@ -198,34 +210,81 @@ def fit_features(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray
     return Model(chosen, w, float(bias))
 
 
-def _term_features(group) -> list[np.ndarray]:
-    """Each term's features, the whole word first."""
-    out = []
-    for term in group:
-        data, offsets = text_bytes(pa.array([term]))
-        out.append(features(data, offsets)[1] & ~_LEVEL)
-    return out
+def fit_texts(texts: list[str], labels, shares=None, identity=IDENTITY_TERMS, selected: int = 4000, **options) -> Model:
+    """Fit on texts at hand; see ``fit``."""
+    labels = np.asarray(labels, dtype=float)
+    if not len(labels) or labels.min() == labels.max():
+        return constant(labels)
+    if shares is None:
+        shares = np.array([(labels == v).mean() for v in labels])
+    found = features_of(texts)
+    vocabulary, at = np.unique(np.concatenate(found), return_inverse=True)
+    positive, seen = np.bincount(at, weights=np.repeat(labels, [len(f) for f in found])), np.bincount(at)
+    z = strength(positive, seen, labels.sum(), len(labels))
+    chosen = np.sort(vocabulary[np.lexsort((vocabulary.view(np.int64), -z))[:selected]])
+    terms = terms_of(identity)
+    chosen = np.union1d(chosen, vocabulary[np.isin(vocabulary & ~_LEVEL, terms)])
+    return fit_features(chosen, found, [p for g in gaps(texts, identity) for p in g], labels, shares, **options)
 
 
-def fit_texts(texts: list[str], labels, **options) -> Model:
-    labels = np.asarray(labels)
-    shares = np.array([(labels == v).mean() for v in labels]) if len(labels) else np.zeros(0)
-    return fit_features(features_of(texts) if texts else [], labels, shares, **options)
+def terms_of(identity) -> np.ndarray:
+    """Features, of whatever level, of the identity terms."""
+    terms = [t for g in identity for t in g]
+    return np.unique(features(*text_bytes(pa.array(terms, pa.string())))[1] & ~_LEVEL) if terms else np.zeros(0, np.uint64)
 
 
-def _sampled(batches):
+def _counted(batches):
+    """The features of each sample text, one row each."""
     for batch in batches:
         for lo in range(0, len(batch), 64):
             part = batch.slice(lo, 64)
             found = features_of([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("share"), pa.array([f.tobytes() for f in found], pa.binary())], names=["label", "share", "found"])
+            rows = np.repeat(np.arange(len(part)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column("label").take(pa.array(rows))], names=["feature", "label"])
+
 
+def _sampled(batches, chosen: np.ndarray, identity):
+    """Of each sample text the chosen features, and those of its gaps (sizes and features end to end)."""
+    keep = lambda x: x[np.isin(x, chosen)]
+    for batch in batches:
+        for lo in range(0, len(batch), 64):
+            part = batch.slice(lo, 64)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            found = [keep(f) for f in features_of(texts)]
+            sides = [[keep(x) for pair in g for x in pair] for g in gaps(texts, identity)]
+            sizes = [np.array([len(x) for x in g], "<i4").tobytes() for g in sides]
+            flat = [np.concatenate(g).tobytes() if g else b"" for g in sides]
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("share"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], names=["label", "share", "found", "sizes", "gaps"])
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 3000, **options) -> Model:
-    """Fit on at most ``per_class`` labelled training rows of each class; texts with equal features count once."""
-    sample = labelled_sample(docs, labels, label, folds, per_class).select("text", "label", "share").mapInArrow(_sampled, "label int, share double, found binary")
-    rows = sorted({(r.label, r.share, bytes(r.found)) for r in sample.toLocalIterator()})
-    return fit_features([np.frombuffer(f, dtype=np.uint64) for _, _, f in rows], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), **options)
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 3000, identity=IDENTITY_TERMS, selected: int = 4000, **options) -> Model:
+    """Fit on at most ``per_class`` labelled training rows of each class; texts with equal features count once.
+
+    Features are counted in executors and the ``selected`` most telling ones, and
+    the identity terms', chosen; the driver then holds the chosen features of the
+    sample's texts, at most 2 * per_class * selected numbers and as many a counterfactual.
+    """
+    spark = docs.sparkSession
+    sample = materialise(labelled_sample(docs, labels, label, folds, per_class).select("text", "label", "share"), "labelled")
+    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        rows = np.repeat(np.array([*sizes], float), [*sizes.values()]) if sizes else np.zeros(0)
+        delete(sample)
+        return constant(rows)
+    counted = sample.mapInArrow(_counted, "feature long, label int").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("k"), F.count("*").alias("n"))
+    z = strength(F.col("k"), F.col("n"), sizes.get(1, 0), sum(sizes.values()), lambda test, a, b: F.when(test, a).otherwise(b), F.sqrt, F.log, F.abs)
+    terms = spark.createDataFrame([(int(t),) for t in terms_of(identity).view(np.int64)], "term long")
+    best = counted.orderBy(F.desc(F.round(z, 9)), "feature").limit(selected).select("feature")
+    named = counted.join(F.broadcast(terms), F.col("feature").bitwiseAND(F.lit(~3)) == F.col("term")).select("feature")
+    chosen = np.unique(best.union(named).toPandas().feature.to_numpy(np.int64).view(np.uint64))
+    found = sample.mapInArrow(lambda it: _sampled(it, chosen, identity), "label int, share double, found binary, sizes binary, gaps binary")
+    rows = sorted({(r.label, r.share, bytes(r.found), bytes(r.sizes), bytes(r.gaps)) for r in found.toLocalIterator()})
+    delete(sample)
+    pairs = []
+    for r in rows:
+        sides = np.split(np.frombuffer(r[4], np.uint64), np.cumsum(np.frombuffer(r[3], "<i4"))[:-1]) if r[3] else []
+        pairs += list(zip(sides[::2], sides[1::2]))
+    return fit_features(chosen, [np.frombuffer(r[2], np.uint64) for r in rows], pairs, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), **options)
 
 
 def _scored(batches, model: Model):
@@ -248,7 +307,8 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), id_col: st
 
 
 def held_out(folds: int = 5):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
+    """False for a row without an id, though such a row is never learnt from either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -28,11 +28,44 @@ def test_counterfactual_pairs_narrow_the_gap():
     assert gap[10.0] < gap[0.0] / 5 and gap[10.0] < 0.02
 
 
-def test_swap_keeps_counts():
-    f = tx.features_of(["muslims and muslims", "jews and jews", "nothing"])
-    groups = [tx._term_features(("muslims", "jews"))]
-    assert tx.swapped(f[0], groups, 0).tolist() == f[1].tolist()
-    assert tx.swapped(f[2], groups, 0) is f[2]
+def test_counterfactual_texts():
+    identity = (("muslims", "jews", "hindus"), ("gay", "queer"))
+    assert tx.counterfactuals("Muslims and MUSLIMS, muslimsx é", identity) == ["jews and jews, muslimsx é", "hindus and hindus, muslimsx é"]
+    assert tx.counterfactuals("gay jews", identity) == ["queer hindus", "gay muslims"]
+    plain = tx.counterfactuals("nothing named", identity)
+    assert len(plain) == 2 and all(t.startswith("nothing named ") for t in plain) and len(set(plain)) == 2
+    assert tx.counterfactuals("x", ()) == []
+
+
+def test_gaps_are_differences_of_texts():
+    """A feature that another word of the text has too stays: only what the texts differ in is in a gap."""
+    identity = (("muslim", "jewish"),)
+    text = "muslim muslin"
+    ((minus, plus),) = tx.gaps([text], identity)[0]
+    own, other = (set(f.tolist()) for f in tx.features_of([text, "jewish muslin"]))
+    assert set(minus.tolist()) == own - other and set(plus.tolist()) == other - own
+    shared = {int(k) for k in tx.features_of(["musli musl"])[0] if not int(k) & 3}  # no gap holds a prefix that both words have, once
+    assert not {int(k) for k in minus if not int(k) & 3} & {int(k) for k in own & other} and shared
+
+
+def test_every_text_has_pairs():
+    identity = (("muslims", "jews", "hindus"), ("gay", "queer"))
+    texts = [f"w{i} plain" for i in range(500)] + ["w1 muslims", "w2 gay jews"]
+    assert [len(g) for g in tx.gaps(texts, identity)] == [2] * 502
+    used = {t.split()[-1] for i in range(500) for t in tx.counterfactuals(f"w{i} plain", identity)}
+    assert used == {t for g in identity for t in g}
+
+
+def test_fit_in_executors_equals_fit_of_texts(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    got = tx.fit(docs, labels, selected=60)
+    train = sorted({r for i, r in enumerate(rows) if zlib.crc32(str(i).encode()) % 5})
+    share = sum(rows[i][1] for i in range(400) if zlib.crc32(str(i).encode()) % 5) / sum(1 for i in range(400) if zlib.crc32(str(i).encode()) % 5)
+    want = tx.fit_texts([t for t, _ in train], [y for _, y in train], [share if y else 1 - share for _, y in train], selected=60)
+    probe = [t for t, _ in rows[:100]]
+    assert np.allclose(got.scores(probe), want.scores(probe), atol=0.02)
 
 
 def test_scores_equal_brute_force():
@@ -64,13 +97,9 @@ def test_edges(spark):
     assert tx.score(docs.where("false"), model).collect() == []
 
 
-def test_every_text_has_pairs():
-    groups = [tx._term_features(("muslims", "jews", "hindus")), tx._term_features(("gay", "queer"))]
-    texts = [f"w{i} plain" for i in range(500)] + ["w1 muslims", "w2 gay jews"]
-    found = tx.features_of(texts)
-    pairs = tx.counterfactual_pairs(found, groups)
-    assert len(pairs) == 500 * 2 + 2 + 2
-    own = {int(t) & ~3 for g in groups for term in g for t in term}
-    for a, b in pairs:
-        assert {int(x) & ~3 for x in (*a, *b)} <= own and len(b)
-    assert sum(len(a) > 0 for a, _ in pairs) == 4
+def test_edges_of_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "x"), (5, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.held_out for r in tx.op10_toxicity(spark, str(tmp_path)).collect()}
+    assert got == {None: False, 5: zlib.crc32(b"5") % 5 == 0}
