@@ -213,12 +213,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row."""
+    """(doc_id, score) for every row.
+
+    Null and empty texts have the statistics of no words.  Repeated rows come back
+    as often, null ids too; other columns are ignored, whatever their names.
+    """
     return with_statistics(docs, id_col, text_col).select("doc_id", model.column().alias("score"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # without an id: not learnt from, not held out
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -51,3 +51,28 @@ def test_edges(spark):
     one = q.fit(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 0), (3, None)], "doc_id long, quality int"))
     assert all(r.score > 0.9 for r in q.score(docs, one).collect())
     assert q.score(docs.where("false"), model).collect() == []
+
+
+def test_fit_is_the_penalised_optimum():
+    """At the weights found the gradient of the weighted log loss balances the penalty, rule by rule, and that of the bias is none."""
+    rng = np.random.RandomState(5)
+    x = rng.rand(400, len(q.STATISTICS))
+    y = ((x[:, 0] > 0.6) ^ (rng.rand(400) < 0.1)).astype(float)
+    shares = np.where(y == 1, y.mean(), 1 - y.mean())
+    model = q.fit_rules(x, y, shares, trees=6, l1=3e-3, steps=4000)
+    weight = shares / np.array([(y == v).sum() for v in (0, 1)])[y.astype(int)]
+    error = weight / weight.sum() * (model.scores(x) - y)
+    assert abs(error.sum()) < 1e-5 and len(model.rules)
+    for rule, w in zip(model.rules, model.weights):
+        on = np.ones(len(y), dtype=bool)
+        for j, above, cut in rule:
+            on &= (x[:, j] > cut) if above else (x[:, j] <= cut)
+        assert (q.holds(rule, x) == on).all()
+        assert abs(error[on].sum() + 3e-3 * np.sign(w)) < 1e-4
+
+
+def test_held_out_of_a_null_id(spark, tmp_path):
+    spark.createDataFrame([(None, "x"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.held_out for r in q.op8_quality(spark, str(tmp_path)).collect()}
+    assert got == {None: False, 5: zlib.crc32(b"5") % 5 == 0}
