@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.functions.expressions import log_growth, months_before, ratio, window_sum, within
+from almagest.sources.runtime import materialise, small
+from almagest.sources.tables import mentions, snapshots, visible
 
 KEY = ("technology", "snapshot")
 T = F.col
 
 
+def visible_view(spark, sf: str, dates) -> DataFrame:
+    """Facts of the driver's tables known at each of ``dates``."""
+    return visible(mentions(spark, sf), snapshots(spark, dates))
+
+
 def documents(view: DataFrame) -> DataFrame:
     """One row per technology, snapshot and document with the day it became visible."""
     return view.groupBy(*KEY, "document").agg(F.min("observed").alias("first_visible"), F.count("*").alias("mentions"))
@@ -61,16 +68,39 @@ def decline(view: DataFrame) -> DataFrame:
     return rolled.groupBy(*KEY).agg((1 - last / F.max("rolling")).alias("decline_rate"))
 
 
+def _spread(prefix: str, c: str = "c") -> list:
+    """Aggregates over one row a value: distinct values, natural-log entropy, concentration (sum of squared shares) and top share."""
+    n, total = F.col(c).cast("double"), F.sum(F.col(c).cast("double"))
+    return [
+        F.count(c).alias(f"{prefix}_count"), (F.log(total) - F.sum(n * F.log(n)) / total).alias(f"{prefix}_entropy"),
+        (F.sum(n * n) / (total * total)).alias(f"{prefix}_hhi"), (F.max(n) / total).alias(f"top_{prefix}_share"),
+    ]
+
+
 def diversity(view: DataFrame, value: str, prefix: str, weight: str | None = None) -> DataFrame:
     """Distinct values, natural-log entropy, concentration (sum of squared shares) and top share."""
     counts = view.where(F.col(value).isNotNull()).groupBy(*KEY, value).agg((F.count("*") if weight is None else F.sum(weight)).cast("double").alias("c"))
-    total = F.sum("c")
-    return counts.groupBy(*KEY).agg(
-        F.count("*").alias(f"{prefix}_count"),
-        (F.log(total) - F.sum(F.col("c") * F.log("c")) / total).alias(f"{prefix}_entropy"),
-        (F.sum(F.col("c") * F.col("c")) / (total * total)).alias(f"{prefix}_hhi"),
-        (F.max("c") / total).alias(f"top_{prefix}_share"),
+    return counts.groupBy(*KEY).agg(*_spread(prefix))
+
+
+def participants(view: DataFrame, countries: DataFrame) -> DataFrame:
+    """Countries of the organizations, turnover of organizations, and the balance of organizations and users, in one chain of aggregates.
+
+    ``countries`` is (organization, country).  Facts are counted by organization
+    first, then by country, then by technology.
+    """
+    t, d = F.col("snapshot"), F.col("observed")
+    recent, earlier = within(d, months_before(t, 12), t), d <= months_before(t, 12)
+    members = view.groupBy(*KEY, "organization").agg(F.count("*").alias("n"), F.max(recent).alias("r"), F.max(earlier).alias("e"))
+    by_country = members.join(small(countries), "organization", "left").groupBy(*KEY, "country").agg(
+        F.sum("n").alias("n"), F.count("*").alias("o"), F.count_if("r").alias("r"), F.count_if("e").alias("e"), F.count_if(F.col("r") & F.col("e")).alias("both"),
     )
+    known = by_country.withColumn("c", F.when(F.col("country").isNotNull(), F.col("n")))
+    sums = known.groupBy(*KEY).agg(*_spread("country"), *(F.sum(c).alias(f"_{c}") for c in ("o", "r", "e", "both")))
+    users = view.select(*KEY, "customer").distinct().groupBy(*KEY).agg(F.count("customer").alias("_u"))
+    o, u, r, e, both = (F.col(f"_{c}") for c in ("o", "u", "r", "e", "both"))
+    rates = [ratio(r - both, r).alias("new_organization_rate"), ratio(both, e).alias("returning_organization_rate"), ratio(o - u, o + u).alias("organization_user_balance")]
+    return sums.join(users, list(KEY)).select(*KEY, "country_count", "country_entropy", "country_hhi", "top_country_share", *rates)
 
 
 def turnover(view: DataFrame, value: str, prefix: str) -> DataFrame:
@@ -83,17 +113,16 @@ def turnover(view: DataFrame, value: str, prefix: str) -> DataFrame:
 
 
 def convergence(view: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Diversity of sources and the days from the first document of the first kind to that of each other."""
+    """Diversity of sources and the days from the first document of the first kind to that of each other, counted by family first."""
     t, d = F.col("snapshot"), F.col("observed")
-    first = {k: F.min(F.when(F.col("kind") == k, d)) for k in kinds}
+    families = view.groupBy(*KEY, "family").agg(F.count("*").alias("c"), F.max(within(d, months_before(t, 12), t)).alias("r"), *(F.min(F.when(F.col("kind") == k, d)).alias(f"_{k}") for k in kinds))
+    first = {k: F.min(f"_{k}") for k in kinds}
     lags = [F.datediff(first[k], first[kinds[0]]).alias(f"{kinds[0]}_to_{k}_lag_days".lower()) for k in kinds[1:]]
     chain = sum((F.when(first[k] >= first[kinds[0]], 1).otherwise(0) for k in kinds), F.lit(0))
-    base = view.groupBy(*KEY).agg(
-        F.count_distinct("family").alias("source_type_diversity"),
-        F.count_distinct(F.when(within(d, months_before(t, 12), t), F.col("family"))).alias("recent_source_convergence"),
-        *lags, chain.alias("evidence_chain_length"),
-    )
-    return base.join(diversity(view, "family", "source").select(*KEY, "source_entropy"), list(KEY))
+    known = F.col("family").isNotNull()
+    out = families.withColumn("c", F.when(known, F.col("c"))).groupBy(*KEY).agg(*_spread("source"), F.count_if(known & F.col("r")).alias("recent_source_convergence"), *lags, chain.alias("evidence_chain_length"))
+    names = [f"{kinds[0]}_to_{k}_lag_days".lower() for k in kinds[1:]]
+    return out.select(*KEY, F.col("source_count").alias("source_type_diversity"), "recent_source_convergence", *names, "evidence_chain_length", "source_entropy")
 
 
 def credibility(view: DataFrame, tier_max: float = 3.0) -> DataFrame:
@@ -149,11 +178,19 @@ def relations(view: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return view.groupBy(*KEY).pivot("kind", list(types)).agg(F.count_distinct("organization")).na.fill(0)
 
 
+def new_relations(view: DataFrame, edge: tuple[str, ...] = ("organization", "kind"), months: int = 12) -> DataFrame:
+    """(technology, snapshot, new_relation_count): distinct relations that were not known ``months`` before."""
+    first = view.groupBy(*KEY, *edge).agg(F.min("observed").alias("_d"))
+    return first.where(F.col("_d") > months_before(F.col("snapshot"), months)).groupBy(*KEY).agg(F.count("*").alias("new_relation_count"))
+
+
 def midrank(df: DataFrame, columns: list[str], by: str = "snapshot") -> DataFrame:
     """(rows below + half of the equal ones) / rows, among rows of a snapshot that have a value.
 
-    Values are counted first, so windows run over distinct values, not rows.
+    Values are counted first, so windows run over distinct values, not rows; the
+    input is written once and read for each column.
     """
+    df = materialise(df, "midrank")
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(by, c).agg(F.count("*").alias("_n"))
         order, whole = Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
@@ -184,7 +221,7 @@ def outcomes(facts: DataFrame, grid: DataFrame, months: int, end) -> DataFrame:
     """What came after each snapshot, within the horizon: new documents and sources, and first of each kind."""
     t, d = F.col("snapshot"), F.col("observed")
     horizon = F.add_months(t, months)
-    rows = facts.join(F.broadcast(grid))
+    rows = facts.join(small(grid), d <= horizon)
     seen = rows.groupBy(*KEY).agg(
         F.count_if(d <= t).alias("known"), F.count_distinct(F.when(within(d, t, horizon), F.col("document"))).alias("future_documents"),
         F.count_distinct(F.when(within(d, t, horizon), F.col("organization"))).alias("future_sources"),

@@ -32,6 +32,23 @@ def claim_links(claims: DataFrame) -> DataFrame:
     return best.select(F.col("claim").alias("source"), "target", F.when(F.col("side") == F.col("_side"), "CORROBORATES").otherwise("CONTRADICTS").alias("relation"))
 
 
+def new_claim_links(claims: DataFrame, new: DataFrame) -> DataFrame:
+    """Links that start from claims of ``new`` (claim): only the slots they are in are read."""
+    slots = claims.join(new, "claim", "left_semi").select("slot").distinct()
+    links = claim_links(claims.join(slots, "slot", "left_semi"))
+    return links.join(new.withColumnRenamed("claim", "source"), "source", "left_semi")
+
+
+def judge_pairs(pairs: DataFrame, semantic: float = 0.97) -> DataFrame:
+    """Adds action and reason to (left_label, right_label, cosine): held as a variant, merged by the labels or by cosine, else for review."""
+    held, support = variant_reason("left_label", "right_label"), lexical_support("left_label", "right_label")
+    rows = pairs.withColumn("_held", held).withColumn("_support", support)
+    near = F.col("cosine") >= semantic
+    action = F.when(F.col("_held").isNotNull(), "held").when(F.col("_support").isNotNull() | near, "merge").otherwise("review")
+    reason = F.coalesce("_held", "_support", F.when(near, F.lit(f"cosine >= {semantic}")), F.lit("similar embedding only"))
+    return rows.select(*pairs.columns, action.alias("action"), reason.alias("reason"))
+
+
 def identifier_keys(scheme: Column, value: Column) -> Column:
     """Keys of one external identifier, by its scheme."""
     low = F.lower(F.trim(value))

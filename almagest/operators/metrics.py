@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almagest.operators.rows import running
+from almagest.sources.runtime import materialise
+
 
 def curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row a distinct score, falling: rows and positives at or above it, and the totals."""
-    at = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label)).alias("p"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.agg(F.count("*").alias("all_n"), F.sum(F.col(label)).alias("all_p"))
-    return at.withColumn("above_n", F.sum("n").over(down)).withColumn("above_p", F.sum("p").over(down)).join(F.broadcast(totals))
+    """One row a distinct score: rows and positives at or above it, and the totals."""
+    at = materialise(df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label)).alias("p")), "curve")
+    totals = at.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
+    return running(at, "score", ["n", "p"], descending=True).join(F.broadcast(totals))
 
 
 def areas(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almagest.sources.runtime import materialise
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of greatest ``order`` for each key; the order must have no ties.  An aggregate, so hot keys combine before the shuffle."""
@@ -53,12 +55,61 @@ def replace_versions(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
     return old.join(new.select(version).distinct(), version, "left_anti").unionByName(new)
 
 
-def evenly(df: DataFrame, order: list[Column], limit: int, phase: float = 0.0) -> DataFrame:
-    """``limit`` rows evenly spaced in ``order``; for name lists, as all rows are numbered in one task."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    step = F.col("_n") / F.lit(limit)
+def running(df: DataFrame, order: str, sums: list[str], descending: bool = False, parts: int = 256) -> DataFrame:
+    """Adds ``above_x`` for each column of ``sums``: its sum over all rows up to this one in ``order``, which must be distinct.
+
+    Rows are cut at quantiles of ``order``; sums run within a part, and the totals
+    of the parts before, one row a part, are added.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 40 * parts)).head()[0]
+    cuts = F.array(*map(F.lit, sorted(set(cuts or []))))
+    dealt = df.withColumn("_part", F.size(F.filter(cuts, lambda c: c <= F.col(order))) if cuts is not None else F.lit(0))
+    direction = F.desc if descending else F.asc
+    within = Window.partitionBy("_part").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    before = Window.orderBy(direction("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = totals.select("_part", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums))
+    rows = dealt.join(F.broadcast(starts), "_part")
+    return rows.select(*df.columns, *((F.sum(c).over(within) + F.col(f"_{c}")).alias(f"above_{c}") for c in sums))
+
+
+def running_max(df: DataFrame, order: str, value: str, parts: int = 256) -> DataFrame:
+    """Adds ``above_value``: the greatest ``value`` of all rows before this one in ``order``, which must be distinct; NULL for the first.
+
+    Rows are cut at quantiles of ``order``, as in ``running``.
+    """
+    number = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith(("timestamp", "date")) else F.col(order).cast("long")
+    cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 40 * parts)).head()[0]
+    line = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts or []))))
+    dealt = df.withColumn("_part", F.size(F.filter(line, lambda c: c <= number)))
+    tops = dealt.groupBy("_part").agg(F.max(value).alias("_top"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = tops.select("_part", F.max("_top").over(before).alias("_before"))
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(F.broadcast(starts), "_part")
+    return rows.select(*df.columns, F.greatest(F.max(value).over(within), F.col("_before")).alias(f"above_{value}"))
+
+
+def evenly(df: DataFrame, order: list[str], limit: int, phase: float = 0.0) -> DataFrame:
+    """``limit`` rows evenly spaced in ``order``.
+
+    Rows are sorted in ranges, each of which is numbered by itself from the number
+    of rows in the ranges before.
+    """
+    n = df.count()
+    if n <= limit:
+        return df
+    ranges = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n))
+    dealt = materialise(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts, starts, at = dealt.groupBy("_range").agg(F.count("*").alias("n")).collect(), [], 0  # one row a range
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        starts.append((r["_range"], at))
+        at += r.n
+    numbered = dealt.join(F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start long")), "_range")
+    numbered = numbered.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_start"))
+    step = n / limit
     place = F.floor((F.col("_i") + 1 - phase) / step) != F.floor((F.col("_i") - phase) / step)
-    return numbered.where((F.col("_n") <= limit) | place).drop("_i", "_n")
+    return numbered.where(place).select(*df.columns)
 
 
 def round_robin(df: DataFrame, era: Column, order: list[Column], limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.functions.expressions import sigmoid
+from almagest.sources.runtime import materialise, small
 
 
 def tokens(text: Column) -> Column:
@@ -16,18 +17,19 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score) of every document that has a word of the query.
 
-    ``queries`` has (query, term) and must be small; it is joined to the index of
-    term counts, so only its terms' postings move.
+    ``queries`` has (query, term).  Only postings of its terms are kept; they are
+    written once and serve document frequencies and scores.
     """
-    words = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("w")).withColumn("len", F.size("w"))
+    words = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("w")).select("doc", F.size("w").alias("len"), "w")
+    terms = small(queries.select("term").distinct())
+    tf = words.select("doc", "len", F.explode("w").alias("term")).join(terms, "term").groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
+    tf = materialise(tf, "postings")
     stats = words.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
-    terms = queries.select("term").distinct()
-    tf = words.select("doc", "len", F.explode("w").alias("term")).join(F.broadcast(terms), "term").groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    scored = tf.join(df, "term").join(F.broadcast(stats)).withColumn("part", part)
-    return scored.join(F.broadcast(queries), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"))
+    scored = tf.join(small(df), "term").join(F.broadcast(stats)).withColumn("part", part)
+    return scored.join(small(queries), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"))
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, keys: list[str], weight: float = 0.65, least_cosine: float = 0.4) -> DataFrame:

@@ -10,7 +10,7 @@ from almagest.operators import linking as li
 from almagest.operators import metrics as mt
 from almagest.operators import search as s
 from almagest.operators import text as tx
-from almagest.sources.runtime import new_path
+from almagest.sources.runtime import new_path, small
 from almagest.sources.tables import mentions, table
 from almagest.streaming import events as ev
 
@@ -148,7 +148,7 @@ def claim_slots_keyed(spark, sf):
     return l.select(slot.alias("slot")).agg(F.count_distinct("slot").alias("slots"), F.count_if(F.col("slot").isNull()).alias("measurements"))
 
 
-@query("lexical_keys")
+@query("lexical_keys", "SELECT p_partkey, lower(p_name) AS key FROM part")
 def lexical_keys(spark, sf):
     """Names of parts by their spelling-proof key."""
     return table(spark, sf, "part").select("p_partkey", li.lexical_key("p_name").alias("key"))
@@ -199,13 +199,14 @@ def sentence_split(spark, sf):
     return tx.explode_sentences(table(spark, sf, "documents"))
 
 
-@query("near_dup_words")
+@query("near_dup_words", f"""WITH q AS (SELECT DISTINCT item_id AS query, unnest({_TOK.format('text')}) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents), n AS (SELECT query, count(*) AS n FROM q GROUP BY query),
+h AS (SELECT query, doc_id, count(*) AS k FROM d JOIN q USING (term) GROUP BY ALL) SELECT query, doc_id, round(k / n, 6) AS share FROM h JOIN n USING (query) QUALIFY row_number() OVER (PARTITION BY query ORDER BY k DESC, doc_id) = 1""")
 def near_dup_words(spark, sf):
     """Benchmark passages by how many of their words the best document has."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("term"))
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("term"))
     size = q.groupBy("query").agg(F.count("*").alias("n"))
-    hits = d.join(F.broadcast(q), "term").groupBy("query", "doc_id").agg(F.count("*").alias("hits"))
+    hits = d.join(small(q), "term").groupBy("query", "doc_id").agg(F.count("*").alias("hits"))
     best = hits.groupBy("query").agg(F.max(F.struct("hits", -F.col("doc_id"))).alias("b"))
     return best.join(size, "query").select("query", (-F.col("b.col2")).alias("doc_id"), F.round(F.col("b.hits") / F.col("n"), 6).alias("share"))
 
@@ -232,9 +233,18 @@ def stream_session(spark, sf):
 @query("stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedup(spark, sf):
     """Each event once, however often it is sent."""
-    stream = ev.read_events(spark, sf)
-    twice = stream.union(stream).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])
-    return ev.run_to_end(twice.select("event_type", "event_id"), "append").groupBy("event_type").agg(F.count("*").alias("n"))
+    twice = ev.read_events(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return ev.run_to_end(ev.once(twice, "event_id", "60 days").select("event_type", "event_id"), "append").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("late_events", """WITH e AS (SELECT *, ts + to_seconds(CAST((event_id * 7919) % 7200 AS INT)) + to_microseconds(event_id) AS arrived FROM events), m AS (SELECT *, max(ts) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+SELECT event_type, count(*) FILTER (WHERE top IS NULL OR ts >= top - INTERVAL 30 MINUTE) AS in_time, count(*) FILTER (WHERE ts < top - INTERVAL 30 MINUTE) AS late FROM m GROUP BY event_type""")
+def late_events(spark, sf):
+    """Events that arrive up to two hours late, against half an hour that is allowed."""
+    e = table(spark, sf, "events").withColumn("arrived", F.expr("ts + make_dt_interval(0, 0, 0, cast((event_id * 7919) % 7200 + event_id / 1000000.0 as decimal(18,6)))"))
+    kept, dropped = ev.late(e, "30 minutes")
+    both = kept.select("event_type", F.lit(1).alias("k")).unionByName(dropped.select("event_type", F.lit(0).alias("k")))
+    return both.groupBy("event_type").agg(F.sum("k").alias("in_time"), F.count_if(F.col("k") == 0).alias("late"))
 
 
 @query("stream_ledger", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

@@ -150,7 +150,9 @@ def betweenness(spark, sf):
     return g.betweenness(_one_graph(spark, sf), "graph").withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query("two_hop_sample")
+@query("two_hop_sample", f"""WITH {_PART_EDGES}, {_BOTH}, f AS (SELECT p_partkey AS root, dst AS node FROM part JOIN b ON b.src = p_partkey QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(concat_ws('|', '13', p_partkey, dst)), dst) <= 4),
+s AS (SELECT root, b.dst AS node FROM f JOIN b ON b.src = f.node WHERE b.dst <> root QUALIFY row_number() OVER (PARTITION BY root, f.node ORDER BY sha256(concat_ws('|', '13', root, f.node, b.dst)), b.dst) <= 4)
+SELECT root, node, min(hop) AS hop FROM (SELECT p_partkey AS root, p_partkey AS node, 0 AS hop FROM part UNION ALL SELECT root, node, 1 FROM f UNION ALL SELECT root, node, 2 FROM s) GROUP BY ALL""")
 def two_hop_sample(spark, sf):
     """Up to four neighbours a node, two hops from every part."""
     roots = table(spark, sf, "part").select(F.col("p_partkey").alias("root"))
@@ -190,9 +192,8 @@ def nearest_list(spark, sf):
 @query("outlier_distance", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id AND a.label = b.label), n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) SELECT a AS vec_id, round(min(d), 6) AS nearest_known_distance, round(avg(d), 6) AS outlier_distance FROM n WHERE k <= 5 GROUP BY a")
 def outlier_distance(spark, sf):
     """Distance to the nearest earlier vector of the label, and the mean to the five nearest."""
-    pairs = v.pairs_above(table(spark, sf, "embeddings"), "vec_id", "embedding", -2.0, "label")
-    ranked = pairs.select(F.col("right").alias("vec_id"), (1 - F.col("cosine")).alias("d"), F.col("left").alias("b")).withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "b")))
-    return ranked.where("k <= 5").groupBy("vec_id").agg(F.round(F.min("d"), 6).alias("nearest_known_distance"), F.round(F.avg("d"), 6).alias("outlier_distance"))
+    near = v.neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, group="label", earlier=True)
+    return near.groupBy(F.col("a").alias("vec_id")).agg(F.round(F.min(1 - F.col("cosine")), 6).alias("nearest_known_distance"), F.round(F.avg(1 - F.col("cosine")), 6).alias("outlier_distance"))
 
 
 @query("taxonomy")

@@ -112,13 +112,8 @@ SELECT technology, snapshot, country_count, abs(round(country_entropy, 6)) AS co
  round(x, 6) AS new_organization_rate, round(y, 6) AS returning_organization_rate, round((o - u) * 1.0 / (o + u), 6) AS organization_user_balance
 FROM r JOIN t USING (technology, snapshot) JOIN b USING (technology, snapshot)""")
 def snapshot_participants(spark, sf):
-    view = _view(spark, sf)
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("organization"), F.col("s_nationkey").alias("country"))
-    keys = list(f.KEY)
-    o, u = F.count_distinct("organization"), F.count_distinct("customer")
-    balance = view.groupBy(*keys).agg(f.ratio(o - u, o + u).alias("organization_user_balance"))
-    out = f.diversity(view.join(suppliers, "organization"), "country", "country").join(f.turnover(view, "organization", "organization"), keys).join(balance, keys)
-    return _round(out).withColumn("country_entropy", F.abs("country_entropy"))
+    return _round(f.participants(_view(spark, sf), suppliers)).withColumn("country_entropy", F.abs("country_entropy"))
 
 
 @query("snapshot_convergence", f"""WITH {_VIEW}, f AS (SELECT technology, snapshot, count(DISTINCT family) AS source_type_diversity, count(DISTINCT family) FILTER (WHERE observed > {_back(12)}) AS recent_source_convergence,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -65,6 +66,24 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(side, "path", "left")
 
 
+def read_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines: of ``path`` itself, or if it is a zip file, of every .jsonl in it, line by line."""
+    if not path.endswith(".zip"):
+        return spark.read.schema(schema).json(path)
+
+    def lines(batches):
+        for part in batches:
+            for raw in part.content:
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for name in sorted(n for n in z.namelist() if n.endswith(".jsonl")):
+                        with z.open(name) as f:
+                            while rows := [x.decode("utf-8", "replace") for x in itertools.islice(f, 1000)]:
+                                yield pd.DataFrame({"line": rows})
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "line string")
+    return text.select(F.from_json("line", schema).alias("r")).where("r is not null").select("r.*")
+
+
 def manifest(spark: SparkSession, folder: str) -> str:
     """sha256 and size of every file of a run, as JSON with sorted keys."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

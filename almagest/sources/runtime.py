@@ -12,6 +12,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,5 +67,10 @@ def delete(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which are counted; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

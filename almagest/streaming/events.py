@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +38,33 @@ def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything available now, as a batch table (for results small enough to hold)."""
-    spark, name = stream.sparkSession, "almagest_" + uuid.uuid4().hex
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = writer.option("checkpointLocation", new_path(spark, "stream")).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Everything available now, as a table in the shared folder; a batch that runs again writes over its own rows."""
+    spark, folder = stream.sparkSession, new_path(stream.sparkSession, "stream-result")
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(step).trigger(availableNow=True)
+    writer.option("checkpointLocation", new_path(spark, "stream")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder if mode == "complete" else f"{folder}/batch=*")
+
+
+def late(events: DataFrame, allowed: str, arrived: str = "arrived") -> tuple[DataFrame, DataFrame]:
+    """Rows that came in time, and rows dropped as they came more than ``allowed`` after the newest time stamp that had come before them.
+
+    The batch form of a watermark: rows in the order of arrival, each against the
+    greatest ``ts`` so far, for replays and tests; it is a global order.
+    """
+    from almagest.operators.rows import running_max
+
+    seen = running_max(events, arrived, "ts")
+    dropped = F.coalesce(F.col("ts") < F.col("above_ts") - F.expr(f"interval {allowed}"), F.lit(False))
+    return seen.where(~dropped).drop("above_ts"), seen.where(dropped).drop("above_ts")
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def each_batch(stream: DataFrame, ledger: str, key: str, apply: Callable[[DataFrame], DataFrame], sink: str) -> None:
@@ -57,12 +77,9 @@ def each_batch(stream: DataFrame, ledger: str, key: str, apply: Callable[[DataFr
 
     def step(batch: DataFrame, number: int) -> None:
         new = batch.dropDuplicates([key])
-        try:
+        if exists(spark, ledger):
             known = spark.read.parquet(f"{ledger}/*").where(F.col("_batch") != number)
             new = new.join(known.select(key), key, "left_anti")
-        except Exception as e:  # no ledger yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new = new.persist()
         try:
             apply(new).write.mode("overwrite").parquet(f"{sink}/batch={number}")
