@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 #: A source catalogue larger than this is not a mixture; it bounds what the driver holds.
 MOST_SOURCES = 100_000
-BUCKETS = 64
+#: Rows that one task numbers, up to 2**MOST_BITS pieces a source.
+PIECE_ROWS, MOST_BITS = 1 << 18, 20
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -51,26 +52,34 @@ def schedule(quota: dict) -> list:
     return out
 
 
-def numbered(docs: DataFrame, source: str, id_col: str) -> tuple[DataFrame, dict]:
+def numbered(docs: DataFrame, source: str, id_col: str, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, dict]:
     """(doc_id, source, number): a row's place within its source in the order of a hash of its id, and the sizes.
 
-    A source is numbered in pieces: counts of hash ranges give each range its
-    first number, so even a source with most rows is spread over many tasks.
+    A source is numbered in pieces, which are ranges of the hash with about
+    ``piece_rows`` rows, however large the source is: counts of the pieces give each its
+    first number.  The driver holds a row a source and a row a piece.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
-    rows = rows.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("mix")))
-    rows = rows.withColumn("piece", F.shiftrightunsigned("key", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
-    found = rows.groupBy("source", "piece").agg(F.count("*").alias("n")).limit(MOST_SOURCES * BUCKETS + 1).collect()
-    sizes, first = {}, []
-    for r in sorted(found, key=lambda r: (r.source is not None, r.source or "", r.piece)):
-        first.append((r.source, r.piece, sizes.get(r.source, 0)))
-        sizes[r.source] = sizes.get(r.source, 0) + r.n
-    if len(sizes) > MOST_SOURCES:
+    found = rows.groupBy("source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("p", T.IntegerType()), T.StructField("first", T.LongType())])
-    starts = docs.sparkSession.createDataFrame(first, schema)
-    order = Window.partitionBy("source", "piece").orderBy("key", "doc_id")
-    rows = rows.withColumn("here", F.row_number().over(order) - 1)
+    order = lambda r: (r.source is not None, r.source or "")
+    sizes = {r.source: r.n for r in sorted(found, key=order)}
+    bits = {s: min(MOST_BITS, (-(-n // piece_rows) - 1).bit_length()) for s, n in sizes.items()}
+    text = T.StructField("s", T.StringType())
+    cut = spark.createDataFrame(list(bits.items()), T.StructType([text, T.StructField("bits", T.IntegerType())]))
+    rows = rows.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("mix")))
+    rows = rows.withColumn("piece", F.when(F.col("bits") == 0, 0).otherwise(F.expr("shiftrightunsigned(key, 64 - bits)")).cast("int"))
+    counts, first, seen = rows.groupBy("source", "piece").agg(F.count("*").alias("n")).collect(), [], dict.fromkeys(sizes, 0)
+    # windows sort signed keys, so the pieces of a source are in order of the unsigned hash and rows within a piece of the signed one
+    for r in sorted(counts, key=lambda r: (*order(r), r.piece)):
+        first.append((r.source, r.piece, seen[r.source]))
+        seen[r.source] += r.n
+    starts = spark.createDataFrame(first, T.StructType([text, T.StructField("p", T.IntegerType()), T.StructField("first", T.LongType())]))
+    window = Window.partitionBy("source", "piece").orderBy("key", "doc_id")
+    rows = rows.withColumn("here", F.row_number().over(window) - 1)
     rows = rows.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
     return rows.select("doc_id", "source", (F.col("first") + F.col("here")).alias("number")), sizes
 
