@@ -14,7 +14,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 #: A node with more neighbours than this (and than a ten-thousandth of all edges) gets its least one by broadcast, so that its edges stay spread.
-SPREAD = 1000
+SPREAD = 100
 
 
 def _star(directed: DataFrame, edges: int, large: bool) -> DataFrame:
