@@ -200,7 +200,8 @@ def midrank(df: DataFrame, columns: list[str], by: str = "snapshot") -> DataFram
 
 
 def deltas(df: DataFrame, columns: list[str], months: int = 12) -> DataFrame:
-    """Each column minus its value ``months`` earlier; no earlier row counts 0.  The grid may be uneven, so a join, not a lag."""
+    """Each column minus its value ``months`` earlier; no earlier row counts 0.  The grid may be uneven, so a join, not a lag; the input is written once."""
+    df = materialise(df.select(*KEY, *columns), "deltas")
     prior = df.select("technology", F.add_months("snapshot", months).alias("snapshot"), *(F.col(c).alias(f"_{c}") for c in columns))
     return df.join(prior, list(KEY), "left").select(*KEY, *((F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(f"{c}_delta_{months}m") for c in columns))
 

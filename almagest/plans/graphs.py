@@ -159,6 +159,25 @@ def two_hop_sample(spark, sf):
     return g.two_hop_sample(_parts(spark, sf).select("src", "dst"), roots, 4)
 
 
+def _hop_sql(k: int, frontier: str, taken: str) -> str:
+    digest = "sha256('13|' || root || '|' || b.dst)"
+    return f"""h{k} AS (SELECT root, b.src, b.dst, b.type, {digest} AS h FROM {frontier} f JOIN b ON b.src = f.node QUALIFY row_number() OVER (PARTITION BY root, b.src, b.type ORDER BY {digest}, b.dst) <= 4),
+m{k} AS (SELECT root, dst, min(struct_pack(s := src, t := type, h := h)) AS o FROM h{k} GROUP BY root, dst), n{k} AS (SELECT m.root, m.dst AS node, {k} AS hop FROM m{k} m JOIN (SELECT root, 12 - count(*) AS space FROM ({taken}) GROUP BY root) l ON l.root = m.root WHERE NOT EXISTS (SELECT 1 FROM ({taken}) t WHERE t.root = m.root AND t.node = m.dst) QUALIFY row_number() OVER (PARTITION BY m.root ORDER BY o, m.dst) <= any_value(space) OVER (PARTITION BY m.root))"""
+
+
+_TAKEN = ["SELECT root, node FROM n0", "SELECT root, node FROM n0 UNION ALL SELECT root, node FROM n1"]
+
+
+@query("sample_subgraph", f"""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_returnflag AS type FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN' FROM supplier), b AS (SELECT src, dst, type FROM e UNION SELECT dst, src, type FROM e),
+n0 AS (SELECT 's' || s_suppkey AS root, 's' || s_suppkey AS node, 0 AS hop FROM supplier), {_hop_sql(1, 'n0', _TAKEN[0])}, {_hop_sql(2, 'n1', _TAKEN[1])} SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2""")
+def sample_subgraph(spark, sf):
+    """Two hops from every supplier, along four parts a flag and the nation, twelve nodes in all."""
+    lines, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    supplied = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("type"))
+    located = s.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), F.lit("LOCATED_IN"))
+    return g.sample_subgraph(supplied.union(located).distinct(), s.select(F.concat(F.lit("s"), "s_suppkey").alias("root")), 2, 4, 12)
+
+
 @query("typed_snapshot_graph", "SELECT src, dst, type, min(t) AS first, count(*) AS n FROM (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, 'SUPPLIED_BY' AS type, CAST(o_orderdate AS DATE) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate <= TIMESTAMP '1998-01-01' UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN', NULL FROM supplier) GROUP BY ALL")
 def typed_snapshot_graph(spark, sf):
     """Typed edges known at a date, with the earliest day of each."""
