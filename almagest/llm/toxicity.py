@@ -135,14 +135,12 @@ def counterfactuals(text: str, identity=IDENTITY_TERMS) -> list[str]:
     return [t for t in dict.fromkeys(out) if t != text]
 
 
-def gaps(texts: list[str], identity=IDENTITY_TERMS) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each text, what it has and each counterfactual has not, and the reverse; what they share has no part in the gap."""
-    others = [counterfactuals(t, identity) for t in texts]
-    found = iter(features_of([t for pair in zip(texts, others) for t in (pair[0], *pair[1])]) if texts else [])
-    out = []
-    for variants in others:
-        own = next(found)
-        out.append([(np.setdiff1d(own, o, assume_unique=True), np.setdiff1d(o, own, assume_unique=True)) for o in (next(found) for _ in variants)])
+def gaps(text: str, identity=IDENTITY_TERMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What a text has and each of its counterfactuals has not, and the reverse; what they share has no part in the gap."""
+    own, out = features_of([text])[0], []
+    for other in counterfactuals(text, identity):  # one at a time, as a text may be very long
+        other = features_of([other])[0]
+        out.append((np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)))
     return out
 
 
@@ -224,7 +222,7 @@ def fit_texts(texts: list[str], labels, shares=None, identity=IDENTITY_TERMS, se
     chosen = np.sort(vocabulary[np.lexsort((vocabulary.view(np.int64), -z))[:selected]])
     terms = terms_of(identity)
     chosen = np.union1d(chosen, vocabulary[np.isin(vocabulary & ~_LEVEL, terms)])
-    return fit_features(chosen, found, [p for g in gaps(texts, identity) for p in g], labels, shares, **options)
+    return fit_features(chosen, found, [p for t in texts for p in gaps(t, identity)], labels, shares, **options)
 
 
 def terms_of(identity) -> np.ndarray:
@@ -236,25 +234,21 @@ def terms_of(identity) -> np.ndarray:
 def _counted(batches):
     """The features of each sample text, one row each."""
     for batch in batches:
-        for lo in range(0, len(batch), 64):
-            part = batch.slice(lo, 64)
-            found = features_of([t or "" for t in part.column("text").to_pylist()])
-            rows = np.repeat(np.arange(len(part)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column("label").take(pa.array(rows))], names=["feature", "label"])
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+            found = features_of([text.as_py() or ""])[0]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), label), pa.int32())], names=["feature", "label"])
 
 
 def _sampled(batches, chosen: np.ndarray, identity):
     """Of each sample text the chosen features, and those of its gaps (sizes and features end to end)."""
     keep = lambda x: x[np.isin(x, chosen)]
     for batch in batches:
-        for lo in range(0, len(batch), 64):
-            part = batch.slice(lo, 64)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            found = [keep(f) for f in features_of(texts)]
-            sides = [[keep(x) for pair in g for x in pair] for g in gaps(texts, identity)]
-            sizes = [np.array([len(x) for x in g], "<i4").tobytes() for g in sides]
-            flat = [np.concatenate(g).tobytes() if g else b"" for g in sides]
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("share"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], names=["label", "share", "found", "sizes", "gaps"])
+        for i, text in enumerate(batch.column("text")):
+            text = text.as_py() or ""
+            sides = [keep(x) for pair in gaps(text, identity) for x in pair]
+            raw = [keep(features_of([text])[0]).tobytes(), np.array([len(x) for x in sides], "<i4").tobytes(), b"".join(x.tobytes() for x in sides)]
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, 1), batch.column("share").slice(i, 1), *(pa.array([r], pa.binary()) for r in raw)], names=["label", "share", "found", "sizes", "gaps"])
+        trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 3000, identity=IDENTITY_TERMS, selected: int = 4000, **options) -> Model:
@@ -274,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     counted = sample.mapInArrow(_counted, "feature long, label int").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("k"), F.count("*").alias("n"))
     z = strength(F.col("k"), F.col("n"), sizes.get(1, 0), sum(sizes.values()), lambda test, a, b: F.when(test, a).otherwise(b), F.sqrt, F.log, F.abs)
     terms = spark.createDataFrame([(int(t),) for t in terms_of(identity).view(np.int64)], "term long")
-    best = counted.orderBy(F.desc(F.round(z, 9)), "feature").limit(selected).select("feature")
+    best = counted.where("n > 1").coalesce(16).orderBy(F.desc(F.round(z, 9)), "feature").limit(selected).select("feature")
     named = counted.join(F.broadcast(terms), F.col("feature").bitwiseAND(F.lit(~3)) == F.col("term")).select("feature")
     chosen = np.unique(best.union(named).toPandas().feature.to_numpy(np.int64).view(np.uint64))
     found = sample.mapInArrow(lambda it: _sampled(it, chosen, identity), "label int, share double, found binary, sizes binary, gaps binary")

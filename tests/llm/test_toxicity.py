@@ -41,7 +41,7 @@ def test_gaps_are_differences_of_texts():
     """A feature that another word of the text has too stays: only what the texts differ in is in a gap."""
     identity = (("muslim", "jewish"),)
     text = "muslim muslin"
-    ((minus, plus),) = tx.gaps([text], identity)[0]
+    ((minus, plus),) = tx.gaps(text, identity)
     own, other = (set(f.tolist()) for f in tx.features_of([text, "jewish muslin"]))
     assert set(minus.tolist()) == own - other and set(plus.tolist()) == other - own
     shared = {int(k) for k in tx.features_of(["musli musl"])[0] if not int(k) & 3}  # no gap holds a prefix that both words have, once
@@ -51,7 +51,7 @@ def test_gaps_are_differences_of_texts():
 def test_every_text_has_pairs():
     identity = (("muslims", "jews", "hindus"), ("gay", "queer"))
     texts = [f"w{i} plain" for i in range(500)] + ["w1 muslims", "w2 gay jews"]
-    assert [len(g) for g in tx.gaps(texts, identity)] == [2] * 502
+    assert [len(tx.gaps(t, identity)) for t in texts] == [2] * 502
     used = {t.split()[-1] for i in range(500) for t in tx.counterfactuals(f"w{i} plain", identity)}
     assert used == {t for g in identity for t in g}
 
