@@ -15,8 +15,6 @@ explosion into rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,42 +24,42 @@ from almagest.llm.common import id_text, with_blocks
 _PLACE, _WIDE_PLACE = (1 << 24) - 1, (1 << 31) - 1
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _kmers(words: Column, k: int) -> Column:
+    return F.transform(words, lambda h, i: F.xxhash64(h, *(F.coalesce(F.get(words, i + F.lit(d)), F.lit(0).cast("long")) for d in range(1, k))))
 
 
-def _kmers(text: Column, k: int) -> Column:
-    words = F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
-    return _let(words, lambda w: F.transform(w, lambda h, i: F.xxhash64(h, *(F.coalesce(F.get(w, i + F.lit(d)), F.lit(0).cast("long")) for d in range(1, k)))))
+def _key(x: Column, j: int) -> Column:
+    return x.bitwiseAND(F.bitwise_not(F.col(f"_omh_m{j}")))
 
 
-def _numbered(kmers: Column) -> Column:
-    """A hash of each k-mer and its occurrence number, in no certain order, with its place: array<struct<u, p>>.
+def _sorted_kmers(j: int) -> Column:
+    """The high bits of the k-mers' hashes with the place in the low ones, ascending: copies lie together in their order."""
+    return F.sort_array(F.transform(F.col(f"_omh_h{j}"), lambda x, i: _key(x, j).bitwiseOR(i.cast("long"))))
 
-    Copies are found by sorting the high 40 bits of the k-mers' hashes (33 in texts
-    of more than 2**24 words), the place in the bits below.
-    """
 
-    def ranked(h: Column, place: Column) -> Column:
-        key = lambda x: x.bitwiseAND(F.bitwise_not(place))
-        line = F.sort_array(F.transform(h, lambda x, i: key(x).bitwiseOR(i.cast("long"))))
+def _firsts(j: int) -> Column:
+    """Where a run of copies begins."""
+    s = F.col(f"_omh_s{j}")
+    return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (_key(x, j) != _key(F.get(s, i - 1), j)), i).otherwise(-1)), lambda i: i >= 0)
 
-        def runs(s: Column) -> Column:
-            first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(s, i - 1))), i).otherwise(-1)), lambda i: i >= 0)
-            several = lambda firsts: F.flatten(F.transform(firsts, lambda at, r: F.transform(F.slice(s, at + 1, F.coalesce(F.get(firsts, r + 1), F.size(s)) - at), lambda x, n: numbered(x, n))))
-            return _let(first, lambda firsts: F.when(F.size(firsts) == F.size(s), F.transform(s, lambda x: numbered(x, F.lit(0)))).otherwise(several(firsts)))
 
-        def numbered(x: Column, n: Column) -> Column:
-            p = x.bitwiseAND(place).cast("int")
-            return F.struct(F.xxhash64(F.get(h, p), n).alias("u"), p.alias("p"))
+def _numbered(j: int) -> Column:
+    """A hash of each k-mer and its occurrence number, in no certain order, with its place: array<struct<u, p>>.
+
+    Copies are found by the high 40 bits of the k-mers' hashes (33 in texts of more than 2**24 words).
+    """
+    s, h, firsts, mask = F.col(f"_omh_s{j}"), F.col(f"_omh_h{j}"), F.col(f"_omh_r{j}"), F.col(f"_omh_m{j}")
 
-        return _let(line, runs)
+    def numbered(x: Column, n: Column) -> Column:
+        p = x.bitwiseAND(mask).cast("int")
+        return F.struct(F.xxhash64(F.get(h, p), n).alias("u"), p.alias("p"))
 
-    return _let(kmers, lambda h: _let(F.when(F.size(h) > _PLACE, F.lit(_WIDE_PLACE)).otherwise(F.lit(_PLACE)).cast("long"), lambda place: ranked(h, place)))
+    run = lambda at, r: F.slice(s, at + 1, F.coalesce(F.get(firsts, r + 1), F.size(s)) - at)
+    several = F.flatten(F.transform(firsts, lambda at, r: F.transform(run(at, r), lambda x, n: numbered(x, n))))
+    return F.when(F.size(firsts) == F.size(s), F.transform(s, lambda x: numbered(x, F.lit(0)))).otherwise(several)
 
 
-def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64) -> DataFrame:
+def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 32) -> DataFrame:
     """Add, for each text column, an array<long> of ``components`` (an even number) hashes under the name it maps to.
 
     Null text gives null; an empty text is one empty word.  The columns must be
@@ -71,25 +69,31 @@ def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size:
         raise ValueError("components must be even")
     kept, names = df.columns, list(enumerate(columns))
     every = lambda *letters: [f"_omh_{x}{j}" for x in letters for j, _ in names]
-    df = df.select(*kept, *(_kmers(F.col(c), k).alias(f"_omh_h{j}") for j, c in names))
-    df = df.select(*kept, *every("h"), *(_numbered(F.col(f"_omh_h{j}")).alias(f"_omh_n{j}") for j, _ in names))
-    df = df.select(*kept, *every("h"), *(F.col(f"_omh_n{j}")[x].alias(f"_omh_{x}{j}") for x in "up" for j, _ in names))
-
-    def pair(j: int, i: int) -> Column:
+    df = df.select(*kept, *(F.transform(F.split(F.col(c), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)).alias(f"_omh_w{j}") for j, c in names))
+    df = df.select(*kept, *(_kmers(F.col(f"_omh_w{j}"), k).alias(f"_omh_h{j}") for j, _ in names))
+    place = lambda j: F.when(F.size(f"_omh_h{j}") > _PLACE, F.lit(_WIDE_PLACE)).otherwise(F.lit(_PLACE)).cast("long")
+    df = df.select(*kept, *every("h"), *(place(j).alias(f"_omh_m{j}") for j, _ in names))
+    df = df.select(*kept, *every("h", "m"), *(_sorted_kmers(j).alias(f"_omh_s{j}") for j, _ in names))
+    df = df.select(*kept, *every("h", "m", "s"), *(_firsts(j).alias(f"_omh_r{j}") for j, _ in names))
+    df = df.select(*kept, *every("h", "m"), *(_numbered(j).alias(f"_omh_n{j}") for j, _ in names))
+    df = df.select(*kept, *every("h", "m"), *(F.col(f"_omh_n{j}")[x].alias(f"_omh_{x}{j}") for x in "up" for j, _ in names))
+    # one step hashes the numbered k-mers for each order, one sorts, and the last finds the places of both ends
+    orders = [(j, i) for j, _ in names for i in range(components // 2)]
+    hashed = lambda j, i: F.transform(F.col(f"_omh_u{j}"), lambda x: F.xxhash64(x, F.lit(i)))
+    df = df.select(*kept, *every("h", "p"), *(hashed(j, i).alias(f"_omh_t{j}_{i}") for j, i in orders))
+    df = df.select("*", *(F.sort_array(f"_omh_t{j}_{i}").alias(f"_omh_l{j}_{i}") for j, i in orders))
+
+    def pair(j: int, i: int) -> list[Column]:
         """The tuples of order 2i and of its reverse."""
-        h, u, p = (F.col(f"_omh_{x}{j}") for x in "hup")
-
-        def tuple_hash(least: Column, t: Column) -> Column:
-            places = F.sort_array(F.transform(least, lambda v: F.get(p, (F.array_position(t, v) - 1).cast("int"))))
-            return F.xxhash64(F.transform(places, lambda at: F.get(h, at)))
-
-        def ends(t: Column) -> Column:
-            last = lambda s: F.slice(s, F.greatest(F.size(s) - tuple_size, F.lit(0)) + 1, tuple_size)
-            return _let(F.sort_array(t), lambda s: F.array(tuple_hash(F.slice(s, 1, tuple_size), t), tuple_hash(last(s), t)))
-
-        return _let(F.transform(u, lambda x: F.xxhash64(x, F.lit(i))), ends)
-
-    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.flatten(F.array(*(pair(j, i) for i in range(components // 2)))))
+        hashes, line, size = F.col(f"_omh_t{j}_{i}"), F.col(f"_omh_l{j}_{i}"), F.size(f"_omh_l{j}_{i}")
+        out = []
+        for ends in ([F.lit(d) for d in range(tuple_size)], [size - 1 - d for d in range(tuple_size)]):
+            found = F.array_compact(F.array(*(F.array_position(hashes, F.get(line, at)) for at in ends)))
+            places = F.sort_array(F.transform(found, lambda n: F.get(F.col(f"_omh_p{j}"), (n - 1).cast("int"))))
+            out.append(F.xxhash64(F.transform(places, lambda at: F.get(F.col(f"_omh_h{j}"), at))))
+        return out
+
+    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.array(*(c for i in range(components // 2) for c in pair(j, i))))
     return df.select(*kept, *(signature(j).alias(columns[c]) for j, c in names))
 
 
@@ -132,7 +136,7 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - k), F.substring(other, F.lit(1), k))
 
 
-def fingerprint_documents(docs: DataFrame, k: int = 2, tuple_size: int = 2, components: int = 64) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, k: int = 2, tuple_size: int = 2, components: int = 32) -> DataFrame:
     """Per document: n_chars, edited_sha256, its fingerprint, that of its edited text, and both likenesses.
 
     Null text counts as empty.  Null ids come last, rows of one id are ordered by

@@ -132,9 +132,9 @@ def test_equal_texts_and_edit_sensitivity(spark):
     assert all(len(x) == 1 for x in by.values()) and len(rows) == len(texts)
     mean = lambda k: sum(r[k] for r in rows) / len(rows)
     want = {i: chance(t, e) for i, t, e, _ in neighbours(list(texts.items()))}
-    assert abs(mean("near_edited") - sum(want.values()) / len(want)) < 0.015 and mean("near_next") < 0.1
-    for r in rows:  # 64 draws: five deviations
-        assert abs(r.near_edited - want[r.doc_id]) < 5 * (0.25 / 64) ** 0.5
+    assert abs(mean("near_edited") - sum(want.values()) / len(want)) < 0.02 and mean("near_next") < 0.1
+    for r in rows:  # 32 draws: five deviations
+        assert abs(r.near_edited - want[r.doc_id]) < 5 * (0.25 / 32) ** 0.5
 
 
 def test_native(spark):
