@@ -285,7 +285,7 @@ def overlaps(rows: np.ndarray, columns: np.ndarray, sizes: np.ndarray, percent:
             left = np.repeat(lists[:, i], d - 1 - i)
             right = lists[:, i + 1 :].ravel()
             ok = right < reach[left]
-            np.add.at(counts.reshape(-1), left[ok] * n + right[ok], 1)
+            np.add.at(counts.reshape(-1), left[ok] * n + right[ok], np.float32(1))
     common = np.flatnonzero(df > dense)
     for c in range(0, len(common), 2048):
         part = common[c : c + 2048]
