@@ -265,15 +265,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         rows = np.repeat(np.array([*sizes], float), [*sizes.values()]) if sizes else np.zeros(0)
         delete(sample)
         return constant(rows)
-    counted = sample.mapInArrow(_counted, "feature long, label int").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("k"), F.count("*").alias("n"))
+    counted = sample.repartition(64).mapInArrow(_counted, "feature long, label int").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("k"), F.count("*").alias("n"))
     z = strength(F.col("k"), F.col("n"), sizes.get(1, 0), sum(sizes.values()), lambda test, a, b: F.when(test, a).otherwise(b), F.sqrt, F.log, F.abs)
     terms = spark.createDataFrame([(int(t),) for t in terms_of(identity).view(np.int64)], "term long")
     best = counted.where("n > 1").coalesce(16).orderBy(F.desc(F.round(z, 9)), "feature").limit(selected).select("feature")
     named = counted.join(F.broadcast(terms), F.col("feature").bitwiseAND(F.lit(~3)) == F.col("term")).select("feature")
     chosen = np.unique(best.union(named).toPandas().feature.to_numpy(np.int64).view(np.uint64))
-    found = sample.mapInArrow(lambda it: _sampled(it, chosen, identity), "label int, share double, found binary, sizes binary, gaps binary")
+    spread = sample.repartition(64)  # whole texts differ much in size
+    found = materialise(spread.mapInArrow(lambda it: _sampled(it, chosen, identity), "label int, share double, found binary, sizes binary, gaps binary"), "sampled")
     rows = sorted({(r.label, r.share, bytes(r.found), bytes(r.sizes), bytes(r.gaps)) for r in found.toLocalIterator()})
     delete(sample)
+    delete(found)
     pairs = []
     for r in rows:
         sides = np.split(np.frombuffer(r[4], np.uint64), np.cumsum(np.frombuffer(r[3], "<i4"))[:-1]) if r[3] else []
