@@ -164,6 +164,7 @@ def organization_types(spark, sf):
 @query("mention_resolution", """WITH i AS (SELECT p_brand AS key, p_partkey AS concept FROM part WHERE p_size >= 49), n AS (SELECT p_partkey AS mention, p_brand AS key FROM part)
 SELECT mention, CASE WHEN count(concept) = 1 THEN 'accepted' WHEN count(concept) > 1 THEN 'ambiguous' ELSE 'new' END AS state FROM n LEFT JOIN i USING (key) GROUP BY mention, key""")
 def mention_resolution(spark, sf):
+    """All parts by brand, against a registry of the largest ones (the index of the example, not a limit)."""
     p = table(spark, sf, "part")
     index = p.where("p_size >= 49").select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("concept"))
     return li.resolve(p.select(F.col("p_partkey").alias("mention"), F.col("p_brand").alias("key")), index).select("mention", "state")

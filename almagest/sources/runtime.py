@@ -72,5 +72,13 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def fitting(df: DataFrame, group: str, most: int) -> DataFrame:
+    """``df``, whose groups one task can hold: an error if one has more than ``most`` rows."""
+    large = df.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > most).head()
+    if large is not None:
+        raise ValueError(f"{group} {large[0]!r} has {large.n} rows, more than the {most} that one task holds")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
