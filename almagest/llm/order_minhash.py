@@ -7,10 +7,12 @@ k-mers are taken, put back into text order and hashed as a tuple (of the k-mers
 alone), so a component agrees only where both the content and its order agree.  The
 share of equal components estimates how near two texts are in edits.
 
-Orders come in twos: order 2i sorts by a hash of (k-mer, occurrence number, i), and
-order 2i + 1 is its reverse, as random as itself; hashes of different i are
-independent.  Everything is an array expression on one row: no join, no
-explosion into rows.
+An order (i, c) is that of a hash of (k-mer, occurrence number, i), begun at point c
+of the ring of hash values.  Hashes of different i are independent.  Orders of one i
+take their k-mers from different arcs of the ring as long as a text has some for
+each, and in a short text meet those of the other hashes: a text of six k-mers has
+15 pairs, nearly all of which are drawn.  Everything is an array expression on one
+row: no join, no explosion into rows.
 """
 
 from __future__ import annotations
@@ -59,14 +61,14 @@ def _numbered(j: int) -> Column:
     return F.when(F.size(firsts) == F.size(s), F.transform(s, lambda x: numbered(x, F.lit(0)))).otherwise(several)
 
 
-def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 32) -> DataFrame:
-    """Add, for each text column, an array<long> of ``components`` (an even number) hashes under the name it maps to.
+def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64, hashes: int = 8) -> DataFrame:
+    """Add, for each text column, an array<long> of ``components`` hashes, from ``hashes`` independent ones, under the name it maps to.
 
     Null text gives null; an empty text is one empty word.  The columns must be
     plain ones; names that begin with ``_omh`` are used on the way and must not occur.
     """
-    if components % 2 or components < 2:
-        raise ValueError("components must be even")
+    if components % hashes or components < hashes:
+        raise ValueError("components must be a multiple of hashes")
     kept, names = df.columns, list(enumerate(columns))
     every = lambda *letters: [f"_omh_{x}{j}" for x in letters for j, _ in names]
     df = df.select(*kept, *(F.transform(F.split(F.col(c), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)).alias(f"_omh_w{j}") for j, c in names))
@@ -77,23 +79,22 @@ def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size:
     df = df.select(*kept, *every("h", "m", "s"), *(_firsts(j).alias(f"_omh_r{j}") for j, _ in names))
     df = df.select(*kept, *every("h", "m"), *(_numbered(j).alias(f"_omh_n{j}") for j, _ in names))
     df = df.select(*kept, *every("h", "m"), *(F.col(f"_omh_n{j}")[x].alias(f"_omh_{x}{j}") for x in "up" for j, _ in names))
-    # one step hashes the numbered k-mers for each order, one sorts, and the last finds the places of both ends
-    orders = [(j, i) for j, _ in names for i in range(components // 2)]
+    # one step hashes the numbered k-mers for each i, one sorts them, alone and with the points among them, and the last reads what follows each point
+    starts = [-(1 << 63) + c * ((1 << 64) * hashes // components) for c in range(components // hashes)]
+    points = F.array(*(F.lit(x).cast("long") for x in starts))
+    lines = [(j, i) for j, _ in names for i in range(hashes)]
     hashed = lambda j, i: F.transform(F.col(f"_omh_u{j}"), lambda x: F.xxhash64(x, F.lit(i)))
-    df = df.select(*kept, *every("h", "p"), *(hashed(j, i).alias(f"_omh_t{j}_{i}") for j, i in orders))
-    df = df.select("*", *(F.sort_array(f"_omh_t{j}_{i}").alias(f"_omh_l{j}_{i}") for j, i in orders))
-
-    def pair(j: int, i: int) -> list[Column]:
-        """The tuples of order 2i and of its reverse."""
-        hashes, line, size = F.col(f"_omh_t{j}_{i}"), F.col(f"_omh_l{j}_{i}"), F.size(f"_omh_l{j}_{i}")
-        out = []
-        for ends in ([F.lit(d) for d in range(tuple_size)], [size - 1 - d for d in range(tuple_size)]):
-            found = F.array_compact(F.array(*(F.array_position(hashes, F.get(line, at)) for at in ends)))
-            places = F.sort_array(F.transform(found, lambda n: F.get(F.col(f"_omh_p{j}"), (n - 1).cast("int"))))
-            out.append(F.xxhash64(F.transform(places, lambda at: F.get(F.col(f"_omh_h{j}"), at))))
-        return out
-
-    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.array(*(c for i in range(components // 2) for c in pair(j, i))))
+    df = df.select(*kept, *every("h", "p"), *(hashed(j, i).alias(f"_omh_t{j}_{i}") for j, i in lines))
+    df = df.select("*", *(F.sort_array(f"_omh_t{j}_{i}").alias(f"_omh_l{j}_{i}") for j, i in lines), *(F.sort_array(F.concat(f"_omh_t{j}_{i}", points)).alias(f"_omh_q{j}_{i}") for j, i in lines))
+
+    def component(j: int, i: int, c: int) -> Column:
+        values, line, size = F.col(f"_omh_t{j}_{i}"), F.col(f"_omh_l{j}_{i}"), F.size(f"_omh_l{j}_{i}")
+        before = (F.array_position(F.col(f"_omh_q{j}_{i}"), F.lit(starts[c]).cast("long")) - 1 - c).cast("int")  # k-mers before the point
+        least = (F.when(F.lit(d) < size, F.array_position(values, F.get(line, (before + d) % size))) for d in range(tuple_size))
+        places = F.sort_array(F.transform(F.array_compact(F.array(*least)), lambda n: F.get(F.col(f"_omh_p{j}"), (n - 1).cast("int"))))
+        return F.xxhash64(F.transform(places, lambda at: F.get(F.col(f"_omh_h{j}"), at)))
+
+    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.array(*(component(j, i, c) for i in range(hashes) for c in range(components // hashes))))
     return df.select(*kept, *(signature(j).alias(columns[c]) for j, c in names))
 
 
@@ -136,7 +137,7 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - k), F.substring(other, F.lit(1), k))
 
 
-def fingerprint_documents(docs: DataFrame, k: int = 2, tuple_size: int = 2, components: int = 32) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, k: int = 2, tuple_size: int = 2, components: int = 64) -> DataFrame:
     """Per document: n_chars, edited_sha256, its fingerprint, that of its edited text, and both likenesses.
 
     Null text counts as empty.  Null ids come last, rows of one id are ordered by
