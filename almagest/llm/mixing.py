@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 #: A source catalogue larger than this is not a mixture; it bounds what the driver holds.
 MOST_SOURCES = 100_000
-#: Rows that one task numbers, up to 2**MOST_BITS pieces a source.
-PIECE_ROWS, MOST_BITS = 1 << 18, 20
+#: Rows of a piece of a source, at least; there are some MOST_PIECES pieces at most.
+PIECE_ROWS, MOST_PIECES = 1024, 1 << 16
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -56,8 +56,9 @@ def numbered(docs: DataFrame, source: str, id_col: str, piece_rows: int = PIECE_
     """(doc_id, source, number): a row's place within its source in the order of a hash of its id, and the sizes.
 
     A source is numbered in pieces, which are ranges of the hash with about
-    ``piece_rows`` rows, however large the source is: counts of the pieces give each its
-    first number.  The driver holds a row a source and a row a piece.
+    ``piece_rows`` rows (or a ``MOST_PIECES``th of all rows, if that is more), however
+    large the source is: counts of the pieces give each its first number.  The
+    driver holds a row a source and a row a piece.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
@@ -66,7 +67,8 @@ def numbered(docs: DataFrame, source: str, id_col: str, piece_rows: int = PIECE_
         raise ValueError(f"more than {MOST_SOURCES} sources")
     order = lambda r: (r.source is not None, r.source or "")
     sizes = {r.source: r.n for r in sorted(found, key=order)}
-    bits = {s: min(MOST_BITS, (-(-n // piece_rows) - 1).bit_length()) for s, n in sizes.items()}
+    piece_rows = max(piece_rows, -(-sum(sizes.values()) // MOST_PIECES))
+    bits = {s: (-(-n // piece_rows) - 1).bit_length() for s, n in sizes.items()}
     text = T.StructField("s", T.StringType())
     cut = spark.createDataFrame(list(bits.items()), T.StructType([text, T.StructField("bits", T.IntegerType())]))
     rows = rows.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s"))).drop("s")
