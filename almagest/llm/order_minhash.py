@@ -61,7 +61,7 @@ def _numbered(j: int) -> Column:
     return F.when(F.size(firsts) == F.size(s), F.transform(s, lambda x: numbered(x, F.lit(0)))).otherwise(several)
 
 
-def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64, hashes: int = 8) -> DataFrame:
+def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size: int = 2, components: int = 64, hashes: int = 4) -> DataFrame:
     """Add, for each text column, an array<long> of ``components`` hashes, from ``hashes`` independent ones, under the name it maps to.
 
     Null text gives null; an empty text is one empty word.  The columns must be
@@ -79,22 +79,31 @@ def fingerprints(df: DataFrame, columns: dict[str, str], k: int = 2, tuple_size:
     df = df.select(*kept, *every("h", "m", "s"), *(_firsts(j).alias(f"_omh_r{j}") for j, _ in names))
     df = df.select(*kept, *every("h", "m"), *(_numbered(j).alias(f"_omh_n{j}") for j, _ in names))
     df = df.select(*kept, *every("h", "m"), *(F.col(f"_omh_n{j}")[x].alias(f"_omh_{x}{j}") for x in "up" for j, _ in names))
-    # one step hashes the numbered k-mers for each i, one sorts them, alone and with the points among them, and the last reads what follows each point
-    starts = [-(1 << 63) + c * ((1 << 64) * hashes // components) for c in range(components // hashes)]
-    points = F.array(*(F.lit(x).cast("long") for x in starts))
+    # for each i, one step sorts the numbered k-mers with the points among them (a k-mer's number in the low bits, none in a
+    # point's), the next finds the points, and the last reads the k-mers that follow each
+    points = F.array(*(F.lit(-(1 << 63) + c * ((1 << 64) * hashes // components) & ~_WIDE_PLACE).cast("long") for c in range(components // hashes)))
     lines = [(j, i) for j, _ in names for i in range(hashes)]
-    hashed = lambda j, i: F.transform(F.col(f"_omh_u{j}"), lambda x: F.xxhash64(x, F.lit(i)))
-    df = df.select(*kept, *every("h", "p"), *(hashed(j, i).alias(f"_omh_t{j}_{i}") for j, i in lines))
-    df = df.select("*", *(F.sort_array(f"_omh_t{j}_{i}").alias(f"_omh_l{j}_{i}") for j, i in lines), *(F.sort_array(F.concat(f"_omh_t{j}_{i}", points)).alias(f"_omh_q{j}_{i}") for j, i in lines))
-
-    def component(j: int, i: int, c: int) -> Column:
-        values, line, size = F.col(f"_omh_t{j}_{i}"), F.col(f"_omh_l{j}_{i}"), F.size(f"_omh_l{j}_{i}")
-        before = (F.array_position(F.col(f"_omh_q{j}_{i}"), F.lit(starts[c]).cast("long")) - 1 - c).cast("int")  # k-mers before the point
-        least = (F.when(F.lit(d) < size, F.array_position(values, F.get(line, (before + d) % size))) for d in range(tuple_size))
-        places = F.sort_array(F.transform(F.array_compact(F.array(*least)), lambda n: F.get(F.col(f"_omh_p{j}"), (n - 1).cast("int"))))
-        return F.xxhash64(F.transform(places, lambda at: F.get(F.col(f"_omh_h{j}"), at)))
-
-    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.array(*(component(j, i, c) for i in range(hashes) for c in range(components // hashes))))
+    number = lambda x: x.bitwiseAND(F.lit(_WIDE_PLACE))
+    key = lambda x, i, at: F.xxhash64(x, F.lit(i)).bitwiseAND(F.lit(~_WIDE_PLACE)).bitwiseOR(at.cast("long") + 1)
+    line = lambda j, i: F.sort_array(F.concat(F.transform(F.col(f"_omh_u{j}"), lambda x, at: key(x, i, at)), points))
+    found = lambda j, i: F.filter(F.transform(F.col(f"_omh_q{j}_{i}"), lambda x, at: F.when(number(x) == 0, at).otherwise(-1)), lambda at: at >= 0)
+    df = df.select(*kept, *every("h", "p"), *(line(j, i).alias(f"_omh_q{j}_{i}") for j, i in lines))
+    df = df.select("*", *(found(j, i).alias(f"_omh_c{j}_{i}") for j, i in lines))
+
+    def around(j: int, i: int, at: Column) -> Column:
+        """The numbers of the ``tuple_size`` k-mers (all if there are no more) that follow the point at ``at``, over the other points and round the ring."""
+        q, n = F.col(f"_omh_q{j}_{i}"), F.size(f"_omh_q{j}_{i}")
+        near = F.slice(q, at + 2, tuple_size)
+        alone = (F.size(near) == tuple_size) & ~F.exists(near, lambda x: number(x) == 0)
+        ring = F.concat(F.slice(q, at + 2, n), F.slice(q, 1, at))
+        return F.when(alone, near).otherwise(F.slice(F.filter(ring, lambda x: number(x) != 0), 1, tuple_size))
+
+    def component(j: int, i: int, at: Column) -> Column:
+        places = F.sort_array(F.transform(around(j, i, at), lambda x: F.get(F.col(f"_omh_p{j}"), (number(x) - 1).cast("int"))))
+        return F.xxhash64(F.transform(places, lambda p: F.get(F.col(f"_omh_h{j}"), p)))
+
+    of_hash = lambda j, i: F.transform(F.col(f"_omh_c{j}_{i}"), lambda at: component(j, i, at))
+    signature = lambda j: F.when(F.col(f"_omh_h{j}").isNotNull(), F.flatten(F.array(*(of_hash(j, i) for i in range(hashes)))))
     return df.select(*kept, *(signature(j).alias(columns[c]) for j, c in names))
 
 

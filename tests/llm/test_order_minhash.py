@@ -54,8 +54,8 @@ def brute(spark, texts, k, tuple_size, components, hashes_of):
     for line in numbered:
         for i in range(hashes_of):
             for c in range(components // hashes_of):
-                point = -(1 << 63) + c * ((1 << 64) * hashes_of // components)
-                order = sorted(range(len(line)), key=lambda p: (keys[line[p]][f"k{i}"] - point) % (1 << 64))
+                point = -(1 << 63) + c * ((1 << 64) * hashes_of // components) & -(1 << 31)
+                order = sorted(range(len(line)), key=lambda p: ((keys[line[p]][f"k{i}"] & -(1 << 31)) - point) % (1 << 64))
                 tuples.append([line[p][0] for p in sorted(order[:tuple_size])])
     found = spark.createDataFrame([(j, t) for j, t in enumerate(tuples)], "j int, t array<long>").select("j", F.xxhash64("t")).collect()
     flat = [h for _, h in sorted(map(tuple, found))]
@@ -74,7 +74,7 @@ def test_components_of_short_texts_differ(spark):
     """Orders are independent: a text of six k-mers has 15 pairs, and nearly all are drawn."""
     df = spark.createDataFrame([("a b c d e f",), ("a b c d e f g h i",)], "t string")
     got = [len(set(r.f)) for r in omh.fingerprints(df, {"t": "f"}).collect()]
-    assert got[0] >= 13 and got[1] >= 22
+    assert got[0] >= 11 and got[1] >= 20
 
 
 def edits(a, b):
