@@ -78,3 +78,18 @@ def test_query_and_order(spark):
     parts = mx.in_mixed_order(docs).select("doc_id").rdd.glom().collect()
     line = [place[r.doc_id] for p in parts for r in p]
     assert line == sorted(line)
+
+
+def test_numbers_of_many_pieces(spark):
+    """Whatever the size of the pieces, a source's rows have the numbers from 0 on, each once, in one order."""
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(500)] + [(None, None), (None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    orders = []
+    for piece_rows in (1, 20, 10_000):
+        found, sizes = mx.numbered(docs, "source", "doc_id", piece_rows)
+        by = {}
+        for r in found.collect():
+            by.setdefault(r.source, []).append(r.number)
+        assert {s: sorted(n) for s, n in by.items()} == {s: list(range(n)) for s, n in sizes.items()}
+        orders.append(sizes)
+    assert orders[0] == orders[1] == orders[2] and sum(orders[0].values()) == 503
