@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.functions.expressions import log_growth, months_before, ratio, window_sum, within
-from almagest.sources.runtime import materialise, small
+from almagest.sources.runtime import dealt, materialise, small, together
 from almagest.sources.tables import mentions, snapshots, visible
 
 KEY = ("technology", "snapshot")
@@ -18,6 +18,12 @@ def visible_view(spark, sf: str, dates) -> DataFrame:
     return visible(mentions(spark, sf), snapshots(spark, dates))
 
 
+def dealt_facts(spark, sf: str, until) -> DataFrame:
+    """Facts of the driver's tables up to a date, written once by technology: all groups of a technology are counted where its facts lie."""
+    facts = mentions(spark, sf).drop("amount", "quantity").where(F.col("observed") <= until)
+    return dealt(facts, "technology", "facts")
+
+
 def documents(view: DataFrame) -> DataFrame:
     """One row per technology, snapshot and document with the day it became visible."""
     return view.groupBy(*KEY, "document").agg(F.min("observed").alias("first_visible"), F.count("*").alias("mentions"))
@@ -188,14 +194,16 @@ def midrank(df: DataFrame, columns: list[str], by: str = "snapshot") -> DataFram
     """(rows below + half of the equal ones) / rows, among rows of a snapshot that have a value.
 
     Values are counted first, so windows run over distinct values, not rows; the
-    input is written once and read for each column.
+    input is written once and read for each column.  Rows are not shuffled where the
+    distinct values are few enough to be broadcast.
     """
-    df = materialise(df, "midrank")
+    with together(df.sparkSession):
+        df = materialise(df, "midrank")
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(by, c).agg(F.count("*").alias("_n"))
         order, whole = Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
         share = (F.coalesce(F.sum("_n").over(order), F.lit(0)) + 0.5 * F.col("_n")) / F.sum("_n").over(whole)
-        df = df.join(counts.select(by, c, share.alias(f"{c}_snapshot_pct")), [by, c], "left")
+        df = df.join(small(counts.select(by, c, share.alias(f"{c}_snapshot_pct"))), [by, c], "left")
     return df
 
 

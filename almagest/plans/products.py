@@ -9,7 +9,7 @@ from almagest.operators import features as f
 from almagest.operators import ranking as rk
 from almagest.plans import snapshots as sn
 from almagest.sources.runtime import materialise, table
-from almagest.sources.tables import SNAPSHOTS
+from almagest.sources.tables import SNAPSHOTS, snapshots, visible
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -65,7 +65,15 @@ SELECT * EXCLUDE (missing), CAST(missing AS BIGINT) AS feature_missingness_count
 @query("snapshot_rows", _ROWS)
 def snapshot_rows(spark, sf, dates=SNAPSHOTS):
     """All predictors of every part at every date: the feature groups of one shared view, missingness, and ranks within the date."""
-    view = materialise(f.visible_view(spark, sf, dates), "view")
+    return _feature_rows(spark, sf, f.dealt_facts(spark, sf, _last(dates)), dates)
+
+
+def _last(dates):
+    return F.lit(max(dates)).cast("date")
+
+
+def _feature_rows(spark, sf, facts, dates):
+    view = visible(facts, snapshots(spark, dates))
     countries = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("organization"), F.col("s_nationkey").alias("country"))
     r = sn._round
     tiered = view.withColumn("tier", F.left("family", F.lit(1)).try_cast("double"))
