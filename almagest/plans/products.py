@@ -97,9 +97,11 @@ SELECT r.technology, r.snapshot, r.document_count, r.mention_growth_12m, r.data_
 FROM rows_ r LEFT JOIN outcomes o ON o.technology = r.technology AND o.snapshot = r.snapshot LEFT JOIN splits s ON s.technology = r.technology AND s.snapshot = r.snapshot""")
 def dataset_rows(spark, sf):
     """Feature rows of all parts and dates with what came after, and the part of the split each belongs to."""
-    rows = snapshot_rows(spark, sf).select(*_KEY, "document_count", "mention_growth_12m", "data_completeness_score")
-    outcomes = sn.future_outcomes(spark, sf).select(*_KEY, "future_documents", "label_realized", "label_reason")
-    splits = sn.temporal_split_purge(spark, sf).select(*_KEY, "split")
+    facts = f.dealt_facts(spark, sf, F.add_months(_last(SNAPSHOTS), sn.HORIZON))
+    rows = _feature_rows(spark, sf, facts, SNAPSHOTS).select(*_KEY, "document_count", "mention_growth_12m", "data_completeness_score")
+    labelled = materialise(sn.outcomes(spark, facts), "outcomes")
+    outcomes = labelled.select(*_KEY, "future_documents", "label_realized", "label_reason")
+    splits = sn.split(labelled).select(*_KEY, "split")
     return rows.join(outcomes, _KEY, "left").join(splits, _KEY, "left").withColumn("split", F.coalesce("split", F.lit("unlabelled")))
 
 

@@ -216,6 +216,7 @@ def coverage_interval(spark, sf):
 
 
 _END = "2000-06-01"
+HORIZON = 12  # months
 _OUTCOMES = f"""WITH {_GRID}, {_FACTS}, x AS (SELECT *, CAST(snapshot + INTERVAL 12 MONTH AS DATE) AS h FROM m CROSS JOIN g),
 s AS (SELECT technology, snapshot, count(*) FILTER (WHERE observed <= snapshot) AS known, count(DISTINCT document) FILTER (WHERE observed > snapshot AND observed <= h) AS future_documents,
  count(DISTINCT organization) FILTER (WHERE observed > snapshot AND observed <= h) AS future_sources, count(*) FILTER (WHERE kind = 'A' AND observed <= snapshot) AS c, min(observed) FILTER (WHERE kind = 'A' AND observed > snapshot AND observed <= h) AS fc FROM x GROUP BY technology, snapshot),
@@ -225,7 +226,11 @@ l AS (SELECT *, CASE label_reason WHEN 'realized' THEN 1 WHEN 'not_realized' THE
 
 @query("future_outcomes", f"{_OUTCOMES} SELECT technology, snapshot, future_documents, future_sources, label_realized, label_reason FROM l")
 def future_outcomes(spark, sf):
-    return f.outcomes(mentions(spark, sf), snapshots(spark), 12, _END)
+    return outcomes(spark, mentions(spark, sf))
+
+
+def outcomes(spark, facts):
+    return f.outcomes(facts, snapshots(spark), HORIZON, _END)
 
 
 @query("temporal_split_purge", f"""{_OUTCOMES}, a AS (SELECT * FROM l WHERE label_realized IS NOT NULL), d AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot DESC) AS k FROM (SELECT DISTINCT snapshot FROM a)),
@@ -234,8 +239,12 @@ SELECT technology, snapshot, label_realized, CASE WHEN snapshot = test THEN 'tes
  WHEN CAST(snapshot + INTERVAL 12 MONTH AS DATE) > valid THEN 'purged' ELSE 'train' END AS split FROM a CROSS JOIN b""")
 def temporal_split_purge(spark, sf):
     """The last date tests, the one before validates; a row whose horizon reaches into a later part is purged."""
-    rows = future_outcomes(spark, sf).where("label_realized is not null")
+    return split(future_outcomes(spark, sf))
+
+
+def split(outcomes):
+    rows = outcomes.where("label_realized is not null")
     dates = rows.groupBy().agg(F.max("snapshot").alias("test"), F.sort_array(F.collect_set("snapshot"), asc=False).alias("all")).select("test", F.get("all", F.lit(1)).alias("valid"))
-    t, horizon = F.col("snapshot"), F.add_months("snapshot", 12)
+    t, horizon = F.col("snapshot"), F.add_months("snapshot", HORIZON)
     split = F.when(t == F.col("test"), "test").when(t == F.col("valid"), F.when(horizon > F.col("test"), "purged").otherwise("valid")).when(horizon > F.col("valid"), "purged").otherwise("train")
     return rows.join(F.broadcast(dates)).select("technology", "snapshot", "label_realized", split.alias("split"))
