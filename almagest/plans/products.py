@@ -116,9 +116,9 @@ rk AS (SELECT technology, category, CASE WHEN category = 'candidate' THEN round(
 
 
 def _rank(spark, sf):
-    rows = snapshot_rows(spark, sf).where(F.col("snapshot") == F.lit(_AT).cast("date"))
     at = F.lit(_AT).cast("date")
-    facts = f.visible_view(spark, sf, (_AT,))
+    facts = f.dealt_facts(spark, sf, at)
+    rows = _feature_rows(spark, sf, facts, (_AT,)).select("technology", "max_maturity_rank", "age_days", *WEIGHTS)
     sources = rk.independent_sources(facts, "technology", "organization", "observed", x.months_before(at, 24))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("technology"), "p_name", "p_type")
     rows = rows.join(parts, "technology").join(sources, "technology", "left")
