@@ -21,7 +21,7 @@ def visible_view(spark, sf: str, dates) -> DataFrame:
 def dealt_facts(spark, sf: str, until) -> DataFrame:
     """Facts of the driver's tables up to a date, written once by technology: all groups of a technology are counted where its facts lie."""
     facts = mentions(spark, sf).drop("amount", "quantity").where(F.col("observed") <= until)
-    return dealt(facts, "technology", "facts")
+    return dealt(facts, "technology", "facts", by="document")
 
 
 def documents(view: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from almagest.operators import features as f
 from almagest.plans import products, snapshots
+from almagest.sources import runtime
 from almagest.sources.runtime import together
 from almagest.sources.tables import visible
 from almagest.sources.tables import snapshots as grid
@@ -44,3 +45,16 @@ def test_rank_snapshot_works_out_its_own_date_only(spark, monkeypatch):
     monkeypatch.setattr(f, "midrank", lambda df, *a: written.append({str(r[0]) for r in df.select("snapshot").distinct().collect()}) or own(df, *a))
     products.rank_snapshot(spark, SF)
     assert written == [{"1999-01-01"}]
+
+
+def test_large_facts_are_dealt_in_turns(spark, monkeypatch):
+    until = F.lit("1999-01-01").cast("date")
+    plain = f.dealt_facts(spark, SF, until)
+    written, own = [], type(plain.write).saveAsTable
+    monkeypatch.setattr(type(plain.write), "saveAsTable", lambda w, *a, **b: written.append((w._df.count(), str(w._df._jdf.queryExecution().optimizedPlan()))) or own(w, *a, **b))
+    monkeypatch.setattr(runtime, "TURN_BYTES", runtime.input_bytes(plain) // 3)
+    turned = f.dealt_facts(spark, SF, until)
+    assert len(written) > 2 and max(n for n, _ in written) < plain.count() / 2
+    assert all(plan.count("pmod") == 2 for _, plan in written)  # both sides of the join are cut before they are shuffled
+    assert turned.count() == plain.count() and turned.exceptAll(plain).isEmpty()
+    assert exchanges(f.activity(visible(turned, grid(spark)))) == 0
