@@ -114,7 +114,8 @@ class _Block:
         self.table = table
         self.data, self.offsets = text_bytes(table.column("text"))
         ids = table.column("order").to_numpy()
-        self.rank = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
+        small = np.int32 if len(self.data) < 1 << 31 else np.int64  # of places and numbers of leaves
+        self.rank = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]), dtype=small) if len(ids) else np.zeros(0, small)
         rows, leaves, others, places, dealt, seen = [], [], [], [], [], 0
         for lo, hi in chunked(self.offsets):
             part = self.data[self.offsets[lo] : self.offsets[hi]]
@@ -130,26 +131,34 @@ class _Block:
                 todo = todo[_member(heavy, at)]
                 at = _extended(prefix[todo], hashes[first[todo] + depth])
                 prefix[todo] = at
-            rows.append(row + lo)
+            rows.append((row + lo).astype(small))
             leaves.append(leaf)
             others.append((other >> np.uint64(32)).astype(np.uint32))
-            places.append(first + seen)
+            places.append((first + seen).astype(small))
             if deal > 1:
                 prefix = prefix * _NEXT + other % np.uint64(deal)
             dealt.append((mix(prefix) % np.uint64(groups)).astype(np.int32))
             seen += len(starts)
-        flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.rows = flat(rows, np.int64)
-        leaf, other, place, group = flat(leaves, np.uint64), flat(others, np.uint32), flat(places, np.int64), flat(dealt, np.int32)
-        order = np.argsort(leaf)
+
+        def flat(parts, kind):  # the parts go as soon as they are joined
+            out = np.concatenate(parts) if parts else np.zeros(0, kind)
+            parts.clear()
+            return out
+
+        self.rows, leaf, group = flat(rows, small), flat(leaves, np.uint64), flat(dealt, np.int32)
+        order = np.argsort(leaf).astype(small)
         order = order[np.argsort(group[order].astype(np.int16 if groups < 1 << 15 else np.int32), kind="stable")]
-        new = _starts(group[order], leaf[order], other[order])
+        leaf, group, other = leaf[order], group[order], flat(others, np.uint32)[order]
+        self.place = flat(places, small)[order]
+        del order
+        new = _starts(group, leaf, other)
         if new is None:  # unequal runs of one 64-bit hash: they must lie apart
             order = np.lexsort((other, leaf, group))
-            new = _starts(group[order], leaf[order], other[order], apart=True)
-        self.place, leaf, other, group = place[order], leaf[order], other[order], group[order]
-        self.at = np.flatnonzero(new)
-        self.which = np.cumsum(new) - 1
+            self.place, leaf, other, group = self.place[order], leaf[order], other[order], group[order]
+            new = _starts(group, leaf, other, apart=True)
+        self.at = np.flatnonzero(new).astype(small)
+        self.which = np.cumsum(new, dtype=small)
+        self.which -= 1
         self.leaf, self.other, self.group = leaf[self.at], other[self.at], group[self.at]
         self.full = self.group[np.flatnonzero(np.diff(self.group, prepend=-1))]  # the groups that have leaves
         self.cuts = np.append(np.searchsorted(self.group, self.full), len(self.group))
@@ -159,10 +168,10 @@ class _Block:
         rank = self.rank[self.rows[self.place]] if len(self.place) else self.place
         least = np.minimum.reduceat(rank, self.at) if len(self.at) else rank
         hit = self.place[elsewhere[self.which] | (rank > least[self.which])] if len(rank) else self.place
-        edges = np.zeros(len(self.rows) + 1, dtype=np.int64)
-        np.add.at(edges, hit, 1)
-        np.add.at(edges, hit + min_words, -1)
-        return np.cumsum(edges)[:-1] > 0
+        edges, hit, one = np.zeros(len(self.rows) + 1, dtype=hit.dtype), hit.astype(np.int64), hit.dtype.type(1)  # of one type, or adding is slow
+        np.add.at(edges, hit, one)
+        np.add.at(edges, hit + min_words, -one)
+        return np.cumsum(edges, dtype=edges.dtype)[:-1] > 0
 
 
 def _send(table: pa.Table, min_words: int, plan, groups: int, deal: int) -> pa.Table:
@@ -192,19 +201,21 @@ def _subtree(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").cast(pa.int32()), "grp": table.column("grp").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def _remove(table: pa.Table, answers: pa.Table, min_words: int, plan, groups: int, deal: int) -> pa.Table:
+def _remove(table: pa.Table, answers: pa.Table, min_words: int, plan, groups: int, deal: int, text: bool = False) -> pa.Table:
     block = _Block(table, min_words, plan, groups, deal)
     elsewhere = np.zeros(len(block.leaf), dtype=bool)
     for g, bits in zip(np.searchsorted(block.full, answers.column("grp").to_numpy()).tolist(), answers.column("bits").to_pylist()):
         lo, hi = block.cuts[g], block.cuts[g + 1]
         elsewhere[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
+    del block.leaf, block.other, block.group  # only what they decide is needed from here
     gone = block.removed(elsewhere, min_words)
+    del block.place, block.at, block.which
     cuts = np.searchsorted(block.rows, np.arange(len(table) + 1))
     removed = np.concatenate([[0], np.cumsum(gone)])
     removed = removed[cuts[1:]] - removed[cuts[:-1]]
-    raw, kept, spans = block.data.tobytes(), [], []
+    kept, spans = [], []
     for i in range(len(table)):
-        found = raw[block.offsets[i] : block.offsets[i + 1]].split()
+        found = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().split()
         if removed[i]:
             out = gone[cuts[i] : cuts[i + 1]]
             edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
@@ -216,6 +227,7 @@ def _remove(table: pa.Table, answers: pa.Table, min_words: int, plan, groups: in
     return pa.table({
         "doc_id": block.table.column("doc_id").cast(pa.int64()),
         "rest": block.table.column("rest"),
+        **({"text": block.table.column("text")} if text else {}),
         "n_words": pa.array(np.diff(cuts), pa.int64()),
         "n_removed": pa.array(removed, pa.int64()),
         "kept": pa.array(kept, pa.binary()).cast(pa.string()),
@@ -235,7 +247,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     of text, on average, and ``group_words`` suffixes bound what one task holds,
     but for a longer single document; rows of one id are in one block.
     """
-    rest = F.struct(F.lit(True).alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    once = [c == text_col and docs.schema[c].dataType == T.StringType() for c in carry]  # a carried text is the one that is judged, and does not travel twice
+    rest = F.struct(F.lit(True).alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if not once[i]))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     _, size = corpus_size(docs)
     n_words = size // 6  # only sizes groups
@@ -246,9 +259,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     blocked = blocked.repartition(blocks, "block")
     leaves = blocked.groupBy("block").applyInArrow(lambda t: trim(_send(t, min_words, plan, groups, deal)), "grp int, block int, leaves binary, others binary")
     answers = leaves.groupBy("grp").applyInArrow(lambda t: trim(_subtree(t)), "block int, grp int, bits binary")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["rest"], *T.StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>").fields])
-    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trim(_remove(t, a, min_words, plan, groups, deal)), schema)
-    return out.select("doc_id", "n_words", "n_removed", "kept", "spans", *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["rest"], *[T.StructField("text", T.StringType())] * any(once), *T.StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>").fields])
+    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trim(_remove(t, a, min_words, plan, groups, deal, any(once))), schema)
+    return out.select("doc_id", "n_words", "n_removed", "kept", "spans", *(F.col("text" if once[i] else f"rest.c{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
+from almagest.llm import substring_dedup as sd
 from almagest.llm.common import with_blocks
 from almagest.llm.substring_dedup import substring_dedup
 
@@ -132,3 +135,29 @@ def test_leaves_are_dealt_on_past_the_plan(spark, monkeypatch):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     got = substring_dedup(docs, 3, block_bytes=300, group_words=40).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(ROWS, 3)
+
+
+def test_a_carried_text_travels_once(spark):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in ROWS], "doc_id long, text string, source string")
+    out = substring_dedup(docs, carry=("source", "text"))
+    assert out.columns[-2:] == ["source", "text"]
+    assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str) == sorted(((i, t, "s") for i, t in ROWS), key=str)
+    assert not re.search(r"named_struct\([^)]*text", out._jdf.queryExecution().optimizedPlan().toString())  # old: twice in every block
+    numbers = docs.select("doc_id", (F.col("doc_id") * 7).alias("text"))
+    assert {(r.doc_id, r.text) for r in substring_dedup(numbers, carry=("text",)).collect()} == {(i, i and 7 * i) for i, _ in ROWS}  # of the type it came with
+
+
+@pytest.mark.parametrize("step", ["send", "remove"])
+def test_memory_of_a_block(step):
+    """What a task holds besides the text and the result stays within some bytes a byte of text."""
+    rng = np.random.RandomState(3)
+    texts = [" ".join(f"w{i}" for i in rng.randint(0, 100_000, 500)) for _ in range(1000)]
+    table = pa.table({"block": pa.array([1] * len(texts), pa.int32()), "doc_id": list(range(len(texts))), "text": texts, "rest": [{"row": True}] * len(texts)})
+    answers = pa.table({"grp": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+    run = {"send": lambda: sd._send(table, 13, [], 8, 1), "remove": lambda: sd._remove(table, answers, 13, [], 8, 1)}[step]
+    run()
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(map(len, texts))  # old: 22 times
